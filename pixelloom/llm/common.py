@@ -69,10 +69,6 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
