@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, vocabulary
+from . import packing, quality, transducer, vocabulary, wordbpe
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(documents(spark, sf_dir))
 
 
+def op4_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(documents(spark, sf_dir), vocabulary.public_path(BYTE_BPE))
+
+
 def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary.public_path(BYTE_BPE))
 
 
+def op8_contiguous_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.digests(documents(spark, sf_dir), vocabulary.public_path(WORD_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -24,7 +24,7 @@ from .common import texts
 
 CHUNK = 256
 #: Bytes that run in lockstep at once, and states after which a worker's table is begun anew.
-BLOCK_BYTES, MAX_STATES = 4 << 20, 200_000
+BLOCK_BYTES, MAX_STATES = 4 << 20, 250_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Contractions of the pre-tokenizer's pattern (fixed values): their endings by first letter.
 CONTRACTIONS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
@@ -33,6 +33,50 @@ BIAS = 128
 _LOADED: dict[str, Transducer] = {}
 
 
+class Table:
+    """An open-addressing map from 64-bit keys to 32-bit values, read and written by whole arrays."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.size = bits, 0
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.full(1 << bits, -1, np.int32)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 for keys that it lacks."""
+        at = self.slots(keys)
+        there = self.keys.take(at)
+        out = self.values.take(at)
+        left = np.flatnonzero(there != keys)
+        while len(left):
+            out[left] = -1
+            left = left[self.keys.take(at[left]) >= 0]  # an empty slot ends the search
+            at[left] = at[left] + 1 & len(self.keys) - 1
+            out[left] = self.values.take(at[left])
+            left = left[self.keys.take(at[left]) != keys[left]]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that it lacks, each once."""
+        self.size += len(keys)
+        if 3 * self.size > len(self.keys):
+            old, kept = self.values[self.keys >= 0], self.keys[self.keys >= 0]
+            size = self.size
+            self.__init__(self.bits + max(1, (3 * size // len(self.keys)).bit_length()))
+            self.add(kept, old)
+            self.size = size
+        at, left = self.slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            mine = free[self.keys[at[free]] == keys[free]]
+            self.values[at[mine]] = values[mine]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = at[left] + 1 & len(self.keys) - 1
+
+
 class Transducer:
     START, NOTHING = 0, (b"", ((None, 0),))
 
@@ -40,7 +84,7 @@ class Transducer:
         import regex
 
         self.vocab, self.special = vocabulary.byte_bpe(path)
-        self.begins = {b""} | {t[:n] for t in self.vocab for n in range(1, len(t) + 1)}
+        self.begins = {t[:n] for t in self.vocab for n in range(len(t))}  # what a token can still grow from
         self._class = regex.compile(r"(\p{L})|(\p{N})|(\p{White_Space})")
         self._classes: dict[str, str] = {}
         self._fits: dict[tuple, bool] = {}
@@ -49,10 +93,8 @@ class Transducer:
     def clear(self) -> None:
         self.states: list[tuple] = []
         self.numbers: dict[tuple, int] = {}
-        self.columns = np.zeros(256, np.int32)  # column of each byte; 0: none yet
-        self.width = 1
-        self.table = np.full((1024, 64), -1, np.int32)  # next state and count change, or -1
         self.ends = np.zeros(1024, np.int32)
+        self.table = Table()
         self.number(("begin",))
 
     # the pieces of a transition
@@ -90,19 +132,24 @@ class Transducer:
             longer = suffix + bytes([byte])
             for n in range(len(longer), 0, -1):
                 token = longer[-n:]
-                last, count = places[len(suffix) - n + 1]
-                if token in self.vocab and self.fits(last, token):
-                    break
+                if token in self.vocab:
+                    last, count = places[len(suffix) - n + 1]
+                    if self.fits(last, token):
+                        break
             else:
                 raise AssertionError("every byte is a token")
             change += count + 1
             kept = longer
             while kept not in self.begins:
                 kept = kept[1:]
-            old = places[len(places) - len(kept) :] if kept else ()
-            bpe = kept, (*((t, c - count - 1) for t, c in old), (token, 0))
+            start = len(places) - len(kept)
+            bpe = kept, (*(self.place(kept[i:], places[start + i], count + 1) for i in range(len(kept))), (token, 0))
         return bpe, change
 
+    def place(self, grown: bytes, place: tuple | None, base: int) -> tuple | None:
+        """A place in a state, forgotten if no token grows from there."""
+        return (place[0], place[1] - base) if place and grown in self.begins else None
+
     def begin(self, char: str, data: bytes) -> tuple[tuple, int]:
         """A character at the beginning of a pre-token."""
         kind = self.kind(char)
@@ -161,44 +208,35 @@ class Transducer:
         if (n := self.numbers.get(state)) is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
-            if n >= len(self.table):
-                self.table = np.vstack([self.table, np.full_like(self.table, -1)])
+            if n >= len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
             self.ends[n] = self.end(state)
         return n
 
-    def add_columns(self, data: np.ndarray) -> None:
-        for byte in np.unique(data):
-            if not self.columns[byte]:
-                self.columns[byte] = self.width
-                self.width += 1
-        if self.width > self.table.shape[1]:
-            wider = np.full((len(self.table), max(self.width, 2 * self.table.shape[1])), -1, np.int32)
-            wider[:, : self.table.shape[1]] = self.table
-            self.table = wider
-
-    def compile(self, states: np.ndarray, data: np.ndarray) -> None:
-        for state, byte in np.unique(np.stack([states, data.astype(states.dtype)], 1), axis=0).tolist():
-            after, change = self.step(self.states[state], byte)
-            n = self.number(after)
+    def compile(self, keys: np.ndarray) -> None:
+        """The transitions of new (state, byte) pairs."""
+        keys = np.unique(keys)
+        values = np.empty(len(keys), np.int32)
+        for i, key in enumerate(keys.tolist()):
+            after, change = self.step(self.states[key >> 8], key & 255)
             if not -BIAS <= change < BIAS:
                 raise AssertionError("a change that does not fit")
-            self.table[state, self.columns[byte]] = n << 8 | change + BIAS
+            values[i] = self.number(after) << 8 | change + BIAS
+        self.table.add(keys, values)
 
     def advance(self, states: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One byte for each of many states: the next states and the count changes."""
-        index = states * np.int32(self.table.shape[1])
-        index += self.columns.take(data)
-        found = self.table.reshape(-1).take(index)
-        if found.min() < 0:
-            missing = np.flatnonzero(found < 0)
-            self.compile(states[missing], data[missing])
-            found[missing] = self.table[states[missing], self.columns[data[missing]]]
+        keys = states.astype(np.int64) << 8
+        keys |= data
+        found = self.table.get(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            self.compile(keys[missing])
+            found[missing] = self.table.get(keys[missing])
         return found >> 8, (found & 255) - BIAS
 
     def count(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The number of tokens of each text, given as (start, size) in data."""
-        self.add_columns(data)
         chunks = np.maximum(1, -(-sizes // CHUNK))
         first = np.concatenate([[0], np.cumsum(chunks)[:-1]]).astype(np.int64)
         text = np.repeat(np.arange(len(sizes)), chunks)
