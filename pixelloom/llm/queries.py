@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, transducer, vocabulary, wordbpe
+from . import language, packing, quality, toxicity, transducer, vocabulary, wordbpe
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -27,10 +27,18 @@ def op5_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary.public_path(BYTE_BPE))
 
 
+def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_contiguous_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(documents(spark, sf_dir), vocabulary.public_path(WORD_BPE))
 
 
+def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.query(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
