@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lm, packing, pii, quality, toxicity, transducer, vocabulary, wordbpe
+from . import knn, language, lm, packing, pii, quality, toxicity, transducer, vocabulary, wordbpe
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -39,6 +39,10 @@ def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_contiguous_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(documents(spark, sf_dir), vocabulary.public_path(WORD_BPE))
 
