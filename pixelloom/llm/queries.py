@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knn, language, lm, packing, pii, quality, toxicity, transducer, vocabulary, wordbpe
+from . import jaccard, knn, language, lm, packing, pii, quality, toxicity, transducer, vocabulary, wordbpe
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -47,6 +47,10 @@ def op8_contiguous_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordbpe.digests(documents(spark, sf_dir), vocabulary.public_path(WORD_BPE))
 
 
+def op9_universe_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(documents(spark, sf_dir))
+
+
 def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(documents(spark, sf_dir))
 
