@@ -1,15 +1,60 @@
-"""A corpus pipeline over documents."""
+"""A corpus pipeline: language, quality, near duplicates, personal data, packing.
+
+Every stage works on all that the one before kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelloom.llm import jaccard, language, packing, pii, quality, vocabulary
+from pixelloom.llm.common import cut
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which string kernels recognise a language; those without text or letters go."""
+    return language.recognised(docs, language.learn(docs))
+
+
+def compressible(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules and their compression bands keep."""
+    return quality.kept(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id.
+
+    Rows that share an id count as one document here; rows without an id all stay, as they link to nothing."""
+    first = jaccard.link_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    kept = docs.join(first, docs["doc_id"] == first["first"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data masked in the text, and n_chars to match."""
+    masked = pii.masked(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, packed into sequences."""
+    return packing.pack(docs, vocabulary.public_path("byte_bpe_50k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language", known_language),
+    ("quality", compressible),
+    ("near_duplicates", one_of_each),
+    ("personal_data", without_personal_data),
+    ("packing", packed),
+]
+#: No stage's model, compression or tokenizer can be said in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

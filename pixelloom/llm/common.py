@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,6 +37,23 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def keep_rows(docs: DataFrame, make_judge, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text make_judge()'s result approves: it takes a list of
+    texts, null as empty, and returns a list of booleans. Nothing is shuffled or joined."""
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        judge = make_judge()
+        for batch in batches:
+            if len(batch):
+                yield batch.filter(pa.array(judge([t or "" for t in batch.column(place).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remainder(column: str, divisor: int):
     """crc32 of an id's decimal text, modulo divisor; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
@@ -53,10 +71,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors
-    cost no recomputation of what came before. The table goes when the driver exits."""
+    cost no recomputation of what came before. The shuffle files that led to it go at once, the table when the
+    driver exits."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pixelloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, texts
+from .common import keep_rows, remainder, texts
 from .sampling import labelled
 
 ORDER = 3
@@ -139,6 +139,26 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
+def recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text identify() gives a language, with all their columns: those with a letter, as the
+    kernels always name one. With nothing learned, no row is recognised."""
+
+    def judge():
+        table = model.table() if model else None
+
+        def names(found: list[str]) -> list[bool]:
+            out = [False] * len(found)
+            known = [i for i, t in enumerate(found) if model and LETTER.search(t)]
+            for at in range(0, len(known), BATCH):
+                for i, best in zip(known[at : at + BATCH], predict(model, [found[i] for i in known[at : at + BATCH]], table)[0]):
+                    out[i] = model.languages[best] != UNKNOWN
+            return out
+
+        return names
+
+    return keep_rows(docs, judge, text_col)
+
+
 def learn(documents: DataFrame) -> Model | None:
     """Learns from the documents with a language whose remainder of the id's crc32 by 4 is not 2."""
     known = documents.select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("label")).where(remainder("doc_id", 4) != 2)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import keep_rows, texts
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -100,3 +100,15 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64(), pa.float64(), pa.float64()]
     return texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def kept(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
+    """The rows of docs whose text compression_bands() keeps, with all their columns."""
+
+    def judge():
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=LEVEL).compress
+        return lambda found: [measure(text, compress, **limits)[6] for text in found]
+
+    return keep_rows(docs, judge, text_col)
