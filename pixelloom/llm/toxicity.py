@@ -87,7 +87,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     y = np.array([int(label) for _, label in sample], bool)
     if not y.any() or y.all():
         share = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(math.log(share / (1 - share)), {})
+        return Model(-30.0, {}, 0.0, math.log(share / (1 - share)))  # nothing to learn: the same score for all
     counts = [Counter(), Counter()]
     for bag, label in zip(bags, y):
         counts[int(label)].update({f for word in set().union(*bag) for f in features(word)})
