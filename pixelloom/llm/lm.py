@@ -19,15 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordIds, cut, lower_ascii, mix, remainder, texts
 
 #: Characters of a block on average, and n-grams of a bucket at most about.
-BLOCK_CHARS, BUCKET_GRAMS = 12_000_000, 1_500_000
+BLOCK_CHARS, BUCKET_GRAMS = 6_000_000, 1_500_000
+#: Tokens of a text that one lane of the walk takes: a state depends on the token before alone.
+STRIDE = 256
 #: Weight of the root's distribution in a state's, in tokens; what the root adds to each count.
-PRIOR, ADD = 50.0, 0.1
+PRIOR, ADD = 100.0, 0.1
 BEGIN, END = b" begin", b" end"  # no words, as they hold a blank
 LOW = np.uint64((1 << 40) - 1)
 SCHEMA = (
@@ -60,6 +63,8 @@ class Block:
         pairs = self.tokens[:-1].astype(np.int64) << 32 | self.tokens[1:] if len(self.tokens) else np.zeros(0, np.int64)
         whole = inner[1:]  # a pair doesn't reach over to the next text
         codes, at = np.unique(pairs[whole], return_inverse=True)
+        self.pair = np.zeros(len(self.tokens), np.int32)  # the number of the pair that ends at each token
+        self.pair[1:][whole] = at
         weights = np.bincount(at, trains[1:][whole], len(codes)).astype(np.int64)
         both = mix(mix(hashes[codes >> 32]) ^ hashes[codes & 0xFFFFFFFF])
         self.orders = [self.sort(present, hashes[present], count[present], False), self.sort(codes, both, weights, True)]
@@ -70,11 +75,11 @@ class Block:
         bucket = ((hashes >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.int64)
         key = hashes & LOW if short else hashes
         order = np.lexsort((key, bucket))
-        return codes[order], bucket[order], key[order], counts[order]
+        return codes[order], bucket[order], key[order], counts[order], order
 
     def questions(self) -> Iterator[tuple[int, int, bytes, bytes]]:
         """(bucket, order, packed keys, packed training counts)."""
-        for order, (_, bucket, key, counts) in enumerate(self.orders, 1):
+        for order, (_, bucket, key, counts, _) in enumerate(self.orders, 1):
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else []
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
                 yield int(bucket[a]), order, pack_keys(key[a:b]), counts[a:b].astype("<u4").tobytes()
@@ -89,34 +94,35 @@ class Block:
         history = seen.copy()
         history[0] = seen[1]  # as many texts begin as end
         fail = np.log10(PRIOR / (history + PRIOR))  # the failure arcs; 0 where the state is the root
-        there = totals[1] > 0
-        codes = self.orders[1][0][there]
-        arcs = np.argsort(codes)
-        codes = codes[arcs]
+        codes, order = self.orders[1][0], self.orders[1][4]
         state, word = codes >> 32, codes & 0xFFFFFFFF
-        weights = np.log10((totals[1][there][arcs] + PRIOR * (seen[word] + ADD) / scale) / (history[state] + PRIOR))
-        codes, weights = np.append(codes, np.int64(2**62)), np.append(weights, 0.0)
+        arcs = np.zeros(len(codes))  # by number of the pair; 0: no arc
+        arcs[order] = np.where(totals[1] > 0, np.log10((totals[1] + PRIOR * (seen[word] + ADD) / scale) / (history[state] + PRIOR)), 0.0)
         inner = np.ones(len(self.tokens), bool)
         inner[self.starts] = False
         owner = np.repeat(np.arange(texts_), self.sizes)[inner]
         inner = self.tokens[inner]
         known = np.bincount(owner, seen[inner] > 0, texts_).astype(np.int64)
         base = np.bincount(owner, root[inner], texts_)
-        # the walk: all texts at once, the longest first, so that those still going come first
-        order = np.argsort(-self.sizes, kind="stable")
-        starts, going = self.starts[order], np.searchsorted(-self.sizes[order], -np.arange(2, self.sizes.max(initial=0) + 1), side="right")
-        score, backoffs = np.zeros(texts_), np.zeros(texts_, np.int64)
-        state = np.zeros(texts_, np.int64)  # BEGIN's
+        # the walk: texts in lanes of STRIDE tokens, in lockstep, the longest first, so that those still going come first
+        lanes = np.maximum(1, -(-(self.sizes - 1) // STRIDE))
+        text = np.repeat(np.arange(texts_), lanes)
+        skip = (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * STRIDE
+        size = np.minimum(STRIDE, self.sizes[text] - 1 - skip)
+        order = np.argsort(-size, kind="stable")
+        starts, text = (self.starts[text] + skip)[order], text[order]
+        going = np.searchsorted(-size[order], -np.arange(1, size.max(initial=0) + 1), side="right")
+        score, backoffs = np.zeros(len(text)), np.zeros(len(text), np.int64)
+        state = self.tokens[starts].astype(np.int64)  # BEGIN's, or that of the token before the lane
         for step, n in enumerate(going.tolist(), 1):
-            token = self.tokens.take(starts[:n] + step).astype(np.int64)
-            code = state[:n] << 32 | token
-            at = codes.searchsorted(code)
-            arc = codes.take(at) == code
-            score[:n] += np.where(arc, weights.take(at), fail.take(state[:n]) + root.take(token))
-            backoffs[:n] += ~arc
+            place = starts[:n] + step
+            token = self.tokens.take(place)
+            arc = arcs.take(self.pair.take(place))
+            follow = arc < 0
+            score[:n] += np.where(follow, arc, fail.take(state[:n]) + root.take(token))
+            backoffs[:n] += ~follow
             state[:n] = token
-        out = np.empty(texts_), np.empty(texts_, np.int64)
-        out[0][order], out[1][order] = score, backoffs
+        out = np.bincount(text, score, texts_), np.bincount(text, backoffs, texts_).astype(np.int64)
         return self.sizes - 1, known, base, *out
 
 
@@ -177,7 +183,6 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     number of failure arcs taken. A null text counts as empty: its end is its one token. A null id trains and is not
     held out. Every row of equal rows trains and is scored. With no training documents every word is unknown. An
     empty table gives an empty one; other columns are ignored."""
-    spark = docs.sparkSession
     docs = texts(docs, id_col, text_col).withColumn("held_out", F.coalesce(remainder("doc_id", 10) == 0, F.lit(False)))
     chars = docs.agg(F.sum(F.length("text") + 6)).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
@@ -189,7 +194,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             return
         table = pa.Table.from_batches(held)
         for number in table["block"].unique().to_pylist():
-            found = table.filter(pa.compute.equal(table["block"], number))
+            found = table.filter(pc.equal(table["block"], number))
             block = Block(found["text"].to_pylist(), np.array(found["held_out"].to_pylist(), bool), buckets)
             for bucket, order, keys, counts in block.questions():
                 yield pa.RecordBatch.from_arrays(
@@ -198,7 +203,6 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 )
 
     answers = cut(dealt.mapInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answer, ANSWER))
-    free_shuffles(spark)
     total = answers.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
     tokens, words = total["tokens"] or 0, total["words"] or 0
 
@@ -216,14 +220,6 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return dealt.groupBy("block").cogroup(answers.select("block", "bucket", "gram_order", "totals").groupBy("block")).applyInArrow(walk, SCHEMA)
 
 
-def free_shuffles(spark) -> None:
-    """Lets Spark remove the shuffle files of finished queries now, rather than at its next collection of garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def probability(count: int, history: int, root: float) -> float:
     """What a state's arcs and failure arc stand for; for tests."""
     return math.log10((count + PRIOR * root) / (history + PRIOR))
