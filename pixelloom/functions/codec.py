@@ -496,34 +496,41 @@ def unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
         raise PngError("InvalidFilterType", value=int(kinds[kinds > 4][0]))
     height, size = rows.shape
     pixels = -(-size // bpp)
-    padded = np.zeros((height, pixels * bpp), np.uint8)
-    padded[:, :size] = rows
-    cells = padded.reshape(height, pixels, bpp)
-    out = np.zeros((height + 1, pixels + 1, bpp), np.int32)  # a row above and a pixel before of zeros
+    if size == pixels * bpp and not kinds.any():
+        return rows
+    out = np.zeros((height + 1, pixels + 1, bpp), np.uint8)  # a row above and a pixel before of zeros
+    if size == pixels * bpp:
+        out[1:, 1:] = rows.reshape(height, pixels, bpp)
+    else:  # the last pixel of a row of odd bytes is filled up
+        padded = np.zeros((height, pixels * bpp), np.uint8)
+        padded[:, :size] = rows
+        out[1:, 1:] = padded.reshape(height, pixels, bpp)
     hard = np.flatnonzero(kinds >= 3)
     first, last = (int(hard[0]), int(hard[-1]) + 1) if len(hard) else (height, height)
 
-    def easy(y: int) -> None:
-        row = cells[y].astype(np.int32)
-        if kinds[y] == 1:
-            row = np.cumsum(row, 0) & 255
-        elif kinds[y] == 2:
-            row = (row + out[y, 1:]) & 255
-        out[y + 1, 1:] = row
-
-    for y in range(first):
-        easy(y)
-    rows_at, kind = np.arange(first, last), kinds[first:last, None]
-    masks = [kind == k for k in range(1, 5)]
+    def easy(start: int, end: int) -> None:
+        """Runs of one filter at a time; bytes wrap by themselves."""
+        cuts = [start, *(np.flatnonzero(np.diff(kinds[start:end])) + start + 1).tolist(), end]
+        for y, stop in zip(cuts, cuts[1:]):
+            if kinds[y] == 1:
+                np.cumsum(out[y + 1 : stop + 1, 1:], axis=1, dtype=np.uint8, out=out[y + 1 : stop + 1, 1:])
+            elif kinds[y] == 2:
+                np.cumsum(out[y : stop + 1, 1:], axis=0, dtype=np.uint8, out=out[y : stop + 1, 1:])
+
+    if first:
+        easy(0, first)
+    kind = kinds[first:last, None]
+    is_sub, is_up, is_mean, is_paeth = (kind == k for k in range(1, 5))
     for t in range(pixels + last - first - 1 if first < last else 0):
         lo, hi = max(0, t - pixels + 1), min(last - first, t + 1)
-        r, x = rows_at[lo:hi], t - np.arange(lo, hi)
-        a, b, c = out[r + 1, x], out[r, x + 1], out[r, x]
-        guess = np.where(masks[3][lo:hi], paeth(a, b, c), np.where(masks[2][lo:hi], (a + b) >> 1, np.where(masks[1][lo:hi], b, np.where(masks[0][lo:hi], a, 0))))
-        out[r + 1, x + 1] = (cells[r, x] + guess) & 255
-    for y in range(last, height):
-        easy(y)
-    return out[1:, 1:].reshape(height, -1)[:, :size].astype(np.uint8)
+        r = np.arange(first + lo, first + hi)
+        x = t - np.arange(lo, hi)
+        a, b, c = (out[i, j].astype(np.int32) for i, j in ((r + 1, x), (r, x + 1), (r, x)))
+        guess = np.where(is_paeth[lo:hi], paeth(a, b, c), np.where(is_mean[lo:hi], (a + b) >> 1, np.where(is_up[lo:hi], b, np.where(is_sub[lo:hi], a, 0))))
+        out[r + 1, x + 1] += guess.astype(np.uint8)
+    if last < height:
+        easy(last, height)
+    return np.ascontiguousarray(out[1:, 1:]).reshape(height, -1)[:, :size]
 
 
 def filtered(rows: np.ndarray, bpp: int) -> np.ndarray:
@@ -591,12 +598,20 @@ def decode_samples(raw: bytes, header: Header) -> np.ndarray:
 def decode(content: bytes, options: Options = Options()) -> tuple[File, bytes]:
     """A file and its pixels in their own format, rows packed."""
     file = read_file(content, options)
-    samples = decode_samples(inflate(file.image_data, file.header.scanline_size), file.header)
-    return file, pack(samples, file.header.bit_depth).tobytes()
+    return file, native_pixels(inflate(file.image_data, file.header.scanline_size), file.header)
+
+
+def native_pixels(raw: bytes, header: Header) -> bytes:
+    """Inflated scanlines to packed rows; without interlacing they need no unpacking."""
+    if not header.interlace:
+        return unfilter(np.frombuffer(raw, np.uint8).reshape(header.height, -1), header.filter_bpp).tobytes()
+    return pack(decode_samples(raw, header), header.bit_depth).tobytes()
 
 
 def to_bitmap(header: Header, data: bytes, palette: bytes | None, transparency: Transparency | None, alpha: bool = True) -> bytes:
-    """RGBA8 or RGB8 pixels."""
+    """RGBA8 or RGB8 pixels; what is that already stays as it is."""
+    if header.bit_depth == 8 and header.color_type == (RGBA if alpha else RGB):
+        return data
     v = unpack(data, header.width, header.height, header.bit_depth, header.channels)
     if header.color_type == INDEXED:
         entries = len(palette) // 3
@@ -721,7 +736,7 @@ def decode_animation(content: bytes, options: Options = Options()) -> tuple[File
     out = []
     for control, data in frames:
         header = replace(file.header, width=control.width, height=control.height)
-        out.append((control, header, pack(decode_samples(inflate(data, header.scanline_size), header), header.bit_depth).tobytes()))
+        out.append((control, header, native_pixels(inflate(data, header.scanline_size), header)))
     return file, plays, still, out
 
 
