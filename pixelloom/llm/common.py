@@ -110,6 +110,7 @@ class WordIds(dict):
     def __init__(self):
         super().__init__()
         self._hashes: list[int] = []
+        self._known = np.zeros(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -119,11 +120,14 @@ class WordIds(dict):
         return n
 
     def hashes(self) -> np.ndarray:
-        return np.array(self._hashes, np.uint64)
+        if len(self._known) < len(self._hashes):
+            self._known = np.concatenate([self._known, np.array(self._hashes[len(self._known) :], np.uint64)])
+        return self._known
 
     def forget(self) -> None:
         self.clear()
         self._hashes.clear()
+        self._known = np.zeros(0, np.uint64)
 
 
 def lower_ascii(text: str) -> bytes:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,11 @@ WORDS, PERCENT = 5, 80
 #: is a segment of its own; beyond, SEGMENTS segments for each shingle of the band's largest set, of which all
 #: (bands up to ALL_DELETIONS) or one in DELETIONS index their one-deletion neighbourhoods.
 GROWTH, SINGLE, SEGMENTS, ALL_DELETIONS, DELETIONS = 1.3, 32, 0.3, 400, 8
-#: Shingles handled at once, signature rows in a bucket, members in a part of a centre's group.
-FLUSH, BUCKET_ROWS, PART = 1_500_000, 3_000_000, 400
+#: Shingles handled at once, signature rows in a bucket, members in a part of a centre's group, pairs checked at once.
+FLUSH, BUCKET_ROWS, PART, BIN_ROWS = 700_000, 2_000_000, 1000, 1500
 #: Commonest shingles that a task reports, from so many documents on, and that the allocation knows.
 HEAVY_TASK, HEAVY_LEAST, HEAVY = 2000, 4, 50_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 _TAG, _DELETED, _SIDE = np.uint64(0x51ED270B3A1F9C47), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -74,10 +75,16 @@ class Sets:
         return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def shingle_sets(batch: list[str | None], ids: WordIds) -> Sets:
     words = [lower_ascii(t).split() if t else [] for t in batch]
     counts = np.array([len(w) for w in words], np.int64)
-    numbers = np.fromiter((i for w in words for i in map(ids.__getitem__, w)), np.int64, int(counts.sum()))
+    numbers = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
     tokens = ids.hashes()[numbers] if len(numbers) else np.zeros(0, np.uint64)
     if len(ids) > CACHE_WORDS:
         ids.forget()
@@ -87,8 +94,7 @@ def shingle_sets(batch: list[str | None], ids: WordIds) -> Sets:
     out, at = [], 0
     for n in counts.tolist():
         if n >= WORDS:
-            found = np.sort(rolled[at : at + n - WORDS + 1])
-            found = found[np.append(True, found[1:] != found[:-1])]
+            found = distinct(rolled[at : at + n - WORDS + 1])
         elif n:  # a short text is one shingle, of its own kind
             whole = mix(tokens[at : at + 1])
             for word in tokens[at + 1 : at + n]:
@@ -149,7 +155,7 @@ def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.nd
             continue
         who = owner[mine]
         segment = (spread[mine] % segments[who].astype(np.uint64)).astype(np.int64)
-        order = np.argsort(who << 32 | segment, kind="stable")
+        order = np.argsort(who << 32 | segment)
         mine, who, segment = mine[order], who[order], segment[order]
         starts = np.flatnonzero(np.append(True, (np.diff(who) != 0) | (np.diff(segment) != 0)))
         size = np.diff(np.append(starts, len(mine)))
@@ -172,7 +178,7 @@ def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.nd
         offer_seg = np.append(np.arange(len(starts)), double)
         offer_who = seg_who[offer_seg]
         offer_cost = np.minimum(np.append(cost, dear[double]), (1 << 24) - 1)
-        rank = np.argsort(offer_who << 32 | offer_cost << 8 | 255 - np.minimum(size[offer_seg], 255), kind="stable")
+        rank = np.argsort(offer_who << 32 | offer_cost << 8 | 255 - np.minimum(size[offer_seg], 255))
         first = np.searchsorted(offer_who[rank], np.arange(len(n)))
         taken = np.arange(len(rank)) - first[offer_who[rank]] < need[offer_who[rank]]
         units = np.bincount(offer_who, minlength=len(n))
@@ -197,7 +203,7 @@ def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.nd
 def pack_rows(sig: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
     """Signature rows of a bucket, ascending: differences of 32 bits and 16-bit owners, byte planes apart so that
     the shuffle's compression finds the zeros."""
-    order = np.argsort(sig, kind="stable")
+    order = np.argsort(sig)
     steps = np.diff(sig[order].astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
     return steps.view(np.uint8).reshape(-1, 4).T.tobytes(), owner[order].astype("<u2").tobytes()
 
@@ -217,15 +223,14 @@ def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -
         ids = WordIds()
         for batch in batches_of(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), ids)
-            first = {c: i for i, c in reversed(list(enumerate(sets.classes()))) if c is not None}
-            kept = sorted(first.values())
+            classes = sets.classes()
+            kept = sorted({c: i for i, c in reversed(list(enumerate(classes))) if c is not None}.values())
             if not kept:
                 continue
-            classes = sets.classes()
             sets = Sets(np.concatenate([sets.one(i) for i in kept]), sets.sizes[kept])
             rows = signatures(sets, heavy, counts)
             bucket = [((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) for s in (rows[0], rows[2])]
-            order = [np.argsort(b, kind="stable") for b in bucket]
+            order = [np.argsort(b.astype(np.uint16) if buckets < 1 << 16 else b, kind="stable") for b in bucket]
             cuts = [np.searchsorted(b[o], np.arange(buckets + 1)) for b, o in zip(bucket, order)]
             names = np.array([np.frombuffer(classes[i], "V16")[0] for i in kept], "V16")
             out = []
@@ -249,40 +254,57 @@ CANDIDATES = "centre binary, member binary, mutual int"
 def candidates(table: pa.Table) -> pa.Table:
     """A bucket's groups as (centre, member) pairs; mutual: members of a group may also link to each other."""
     rows = table.to_pylist()
-    names = sorted({r["classes"][i : i + 16] for r in rows for i in range(0, len(r["classes"]), 16)})
-    number = {c: i for i, c in enumerate(names)}
-    sig, who = [], []
+    halves = np.frombuffer(b"".join(r["classes"] for r in rows), ">u8").astype(np.uint64).reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    new = np.append(True, (halves[order[1:]] != halves[order[:-1]]).any(1))
+    number = np.empty(len(order), np.uint64)
+    number[order] = np.cumsum(new) - 1  # classes ascending
+    names = [row.tobytes() for row in halves[order[new]].astype(">u8")]
+    sig, who, at = [], [], 0
     for r in rows:
-        mine = np.array([number[r["classes"][i : i + 16]] for i in range(0, len(r["classes"]), 16)], np.uint64)
+        n = len(r["classes"]) // 16
+        mine = number[at : at + n]
+        at += n
         for kind, name in enumerate(("index", "probe")):
             s, o = unpack_rows(r[f"{name}_sig"], r[f"{name}_set"])
             sig.append(s)
             who.append(mine[o] << np.uint64(1) | np.uint64(kind))
-    keys = np.unique(np.concatenate(sig) << np.uint64(32) | np.concatenate(who))
-    both = (keys >> np.uint64(1)).astype(np.int64)  # signature and class
-    group = both >> 31
+    keys = distinct(np.concatenate(sig) << np.uint64(32) | np.concatenate(who))
+    # only signatures of more than one class matter
+    near = np.flatnonzero((keys[1:] >> np.uint64(32) == keys[:-1] >> np.uint64(32)) & (keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)))
+    shared = distinct(keys[near] >> np.uint64(32))
+    if not len(shared):
+        return pa.table({"centre": pa.array([], pa.binary()), "member": pa.array([], pa.binary()), "mutual": pa.array([], pa.int32())})
+    at = np.minimum(np.searchsorted(shared, keys >> np.uint64(32)), len(shared) - 1)
+    keys = keys[shared[at] == keys >> np.uint64(32)]
+    both = keys >> np.uint64(1)  # signature and class
+    group = keys >> np.uint64(32)
     probes = (keys & np.uint64(1)).astype(bool)
-    starts = np.flatnonzero(np.append(True, np.diff(group) != 0))
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     ends = np.append(starts[1:], len(keys))
-    distinct = np.add.reduceat(np.append(True, np.diff(both) != 0).astype(np.int64), starts)
+    several = np.add.reduceat(np.append(True, both[1:] != both[:-1]).astype(np.int64), starts)
     asked, there = np.add.reduceat(probes.astype(np.int64), starts), np.add.reduceat((~probes).astype(np.int64), starts)
-    pairs: dict[tuple[int, int], int] = {}
-    for g in np.flatnonzero((distinct > 1) & (asked > 0) & (there > 0)).tolist():
-        part = both[starts[g] : ends[g]] & 0x7FFFFFFF
-        probe = probes[starts[g] : ends[g]]
-        asking = part[probe].tolist()
-        if len(asking) <= 2:  # few ask: each is a centre, and the others have nothing to do with each other
-            for q in asking:
-                for i in part[~probe].tolist():
-                    if i != q:
-                        pairs.setdefault((min(i, q), max(i, q)) if len(part) <= 3 else (q, i), 0)
-            continue
-        members = np.unique(part).tolist()
-        mutual = int(len(members) > 2)
-        for member in members[1:]:
-            pairs[members[0], member] = max(mutual, pairs.get((members[0], member), 0))
-    left, right = ([names[k[i]] for k in pairs] for i in (0, 1))
-    return pa.table({"centre": pa.array(left, pa.binary()), "member": pa.array(right, pa.binary()), "mutual": pa.array(list(pairs.values()), pa.int32())})
+    member = (keys & np.uint64(0xFFFFFFFF)) >> np.uint64(1)
+    live = (several > 1) & (asked > 0) & (there > 0)
+    two = np.flatnonzero(live & (several == 2))
+    pairs = [distinct(member[starts[two]] << np.uint64(32) | member[ends[two] - 1]) << np.uint64(1)]
+    more = np.flatnonzero(live & (several > 2))
+    if len(more):  # equal groups under many signatures are looked at once
+        low = keys & np.uint64(0xFFFFFFFF)
+        sums = np.stack([np.add.reduceat(mix(low ^ tag), starts)[more] for tag in (_TAG, _SIDE)], 1)
+        for g in more[np.unique(sums, axis=0, return_index=True)[1]].tolist():
+            part, probe = member[starts[g] : ends[g]], probes[starts[g] : ends[g]]
+            asking = part[probe]
+            if len(asking) <= 2:  # few ask: each is a centre, and the others have nothing to do with each other
+                pairs += [(q << np.uint64(32) | others[others != q]) << np.uint64(1) for q in asking for others in [part[~probe]]]
+            else:
+                members = distinct(part)
+                pairs.append((members[0] << np.uint64(32) | members[1:]) << np.uint64(1) | np.uint64(1))
+    found = distinct(np.concatenate(pairs))
+    last = np.append(found[1:] >> np.uint64(1) != found[:-1] >> np.uint64(1), True) if len(found) else found.astype(bool)
+    found = found[last]  # mutual if any group says so
+    left, right = ([names[i] for i in (found >> np.uint64(shift) & np.uint64(0x7FFFFFFF)).tolist()] for shift in (33, 1))
+    return pa.table({"centre": pa.array(left, pa.binary()), "member": pa.array(right, pa.binary()), "mutual": pa.array((found & np.uint64(1)).astype(np.int32))})
 
 
 # Exact comparison
@@ -291,15 +313,16 @@ def candidates(table: pa.Table) -> pa.Table:
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
         return False
-    same = len(np.intersect1d(a, b, assume_unique=True))
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    same = int(np.count_nonzero(large.take(np.minimum(large.searchsorted(small), len(large) - 1)) == small))
     return 100 * same >= PERCENT * (len(a) + len(b) - same)
 
 
 VERIFIED = "left_class binary, right_class binary, link boolean"
 
 
-def known_sets(table: pa.Table) -> list[tuple[bytes, np.ndarray, dict]]:
-    """(class, set, row) of rows whose text has the class it was sent for, each class once."""
+def known_sets(table: pa.Table, keys: tuple[str, ...]) -> list[tuple[bytes, np.ndarray, dict]]:
+    """(class, set, row) of rows whose text has the class it was sent for, each class once under the same keys."""
     rows = table.drop_columns(["text"]).to_pylist()
     out, seen = [], set()
     ids, column = WordIds(), table["text"].combine_chunks()
@@ -307,41 +330,69 @@ def known_sets(table: pa.Table) -> list[tuple[bytes, np.ndarray, dict]]:
         sets = shingle_sets(column[at : at + 256].to_pylist(), ids)
         for i, c in enumerate(sets.classes()):
             row = rows[at + i]
-            if c == row["class"] and (c, row["role"]) not in seen:
-                seen.add((c, row["role"]))
+            mark = (c, row["role"], *(row[k] for k in keys))
+            if c == row["class"] and mark not in seen:
+                seen.add(mark)
                 out.append((c, sets.one(i).copy(), row))
     return out
 
 
-def verify(table: pa.Table) -> pa.Table:
-    """A part of a centre's group: links to the centre, then between members that have none and the others. A row
-    without link reports a mutual member that a part alone can't settle."""
-    found = known_sets(table)
-    centre = next((s for _, s, r in found if r["role"] == 0), None)
-    name = table["centre"][0].as_py()
-    members = [(c, s, r) for c, s, r in found if r["role"] == 1]
-    out: list[tuple[bytes, bytes, bool]] = []
-    near = [centre is not None and linked(centre, s) for _, s, _ in members]
-    out += [(name, c, True) for (c, _, _), yes in zip(members, near) if yes]
-    mutual = [i for i, (_, _, r) in enumerate(members) if r["mutual"]]
-    for i in mutual:
-        if near[i]:
-            continue
-        for j in mutual:
-            if (near[j] or j > i) and j != i and linked(members[i][1], members[j][1]):
-                out.append((members[i][0], members[j][0], True))
-        if members[i][2]["parts"] > 1:
-            out.append((name, members[i][0], False))
+def links_table(out: list[tuple]) -> pa.Table:
     columns = list(zip(*out)) or [()] * 3
     return pa.table({"left_class": pa.array(columns[0], pa.binary()), "right_class": pa.array(columns[1], pa.binary()), "link": pa.array(columns[2], pa.bool_())})
 
 
+def parts_of(table: pa.Table, *keys: str) -> Iterator[list[tuple[bytes, np.ndarray, dict]]]:
+    groups: dict[tuple, list] = {}
+    for row in known_sets(table, keys):
+        groups.setdefault(tuple(row[2][k] for k in keys), []).append(row)
+    yield from groups.values()
+
+
+def verify(table: pa.Table) -> pa.Table:
+    """Parts of centres' groups: links to the centre, then between mutual members that have none and the others, but
+    not inside a component that stands. A row without link reports a member that its part alone can't settle."""
+    out: list[tuple[bytes, bytes, bool]] = []
+    for found in parts_of(table, "centre", "part"):
+        centre = next((s for _, s, r in found if r["role"] == 0), None)
+        name = found[0][2]["centre"]
+        members = [(c, s, r) for c, s, r in found if r["role"] == 1]
+        root = list(range(len(members) + 1))  # the last is the centre
+
+        def find(i: int, root=root) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        near = [centre is not None and linked(centre, s) for _, s, _ in members]
+        for i, yes in enumerate(near):
+            if yes:
+                out.append((name, members[i][0], True))
+                root[i] = len(members)
+        mutual = [i for i, (_, _, r) in enumerate(members) if r["mutual"]]
+        for i in mutual:
+            if not near[i]:
+                for j in mutual:
+                    if find(i) != find(j) and linked(members[i][1], members[j][1]):
+                        out.append((members[i][0], members[j][0], True))
+                        root[find(i)] = find(j)
+        out += [(name, members[i][0], False) for i in mutual if members[i][2]["parts"] > 1 and find(i) != find(len(members))]
+    return links_table(out)
+
+
 def verify_across(table: pa.Table) -> pa.Table:
-    """A part's members (role 1) against unsettled members of other parts (role 2)."""
-    found = known_sets(table)
-    out = [(a, b, True) for a, s, r in found if r["role"] == 2 for b, t, q in found if q["role"] == 1 and q["part"] != r["home"] and linked(s, t)]
-    columns = list(zip(*out)) or [()] * 3
-    return pa.table({"left_class": pa.array(columns[0], pa.binary()), "right_class": pa.array(columns[1], pa.binary()), "link": pa.array(columns[2], pa.bool_())})
+    """Parts' members (role 1) against unsettled members of other parts (role 2). Settled members are one component
+    with their centre, so one link to any of them does."""
+    out = []
+    for found in parts_of(table, "centre", "part", "deal"):
+        there = sorted((m for m in found if m[2]["role"] == 1), key=lambda m: not m[2]["settled"])
+        for a, s, r in found:
+            joined = r["role"] != 2
+            for b, t, q in there:
+                if r["role"] == 2 and q["part"] != r["home"] and not (joined and q["settled"]) and linked(s, t):
+                    out.append((a, b, True))
+                    joined = joined or q["settled"]
+    return links_table(out)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -360,13 +411,17 @@ def components(edges: DataFrame) -> DataFrame:
             moved = moved.where(F.col("v") < F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return moved.where(F.col("a") != F.col("b")).distinct()
 
-    now, before = cut(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct()), None
+    pairs = cut(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    # short numbers for the nodes; a written table, so that they stay
+    nodes = cut(pairs.select("a").union(pairs.select("b")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    left, right = nodes.select(F.col("a"), F.col("id").alias("i")), nodes.select(F.col("a").alias("b"), F.col("id").alias("j"))
+    now, before = cut(pairs.join(left, "a").join(right, "b").select(F.col("i").alias("a"), F.col("j").alias("b"))), None
     while True:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before:
             break
         now, before = cut(star(star(now, True), False)), sign
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return now.join(left, now["a"] == left["i"]).select(left["a"].alias("node"), "b").join(right.withColumnRenamed("b", "root"), F.col("b") == F.col("j")).select("node", "root")
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -388,8 +443,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             seen, times = np.unique(sets.shingles, return_counts=True)
             for s, n in zip(seen[times > 1].view(np.int64).tolist(), times[times > 1].tolist()):
                 common[s] = common.get(s, 0) + n
-            if len(common) > 500_000:
-                common = dict(sorted(common.items(), key=lambda x: -x[1])[:100_000])
+            if len(common) > 200_000:
+                common = dict(sorted(common.items(), key=lambda x: -x[1])[:50_000])
         top = sorted(((s, n) for s, n in common.items() if n >= HEAVY_LEAST), key=lambda x: (-x[1], x[0]))[:HEAVY_TASK]
         if top:
             shingles, times = zip(*top)
@@ -408,15 +463,20 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = emit(docs.where("doc_id is not null"), heavy, counts, buckets).groupBy("bucket").applyInArrow(candidates, CANDIDATES)
     pairs = cut(pairs.groupBy("centre", "member").agg(F.max("mutual").alias("mutual")))
-    routes, parts = route(pairs, classes)
-    sent = docs.join(routes, docs["doc_id"] == routes["first"]).drop("doc_id", "first")
-    verified = cut(sent.groupBy("centre", "part").applyInArrow(verify, VERIFIED))
+    routes = route(pairs, classes)
+    bins = 1 + pairs.count() // BIN_ROWS  # parts of many centres at once
+    needed = routes.select("class", "first").distinct().hint("merge")
+    needed_texts = cut(docs.join(needed, docs["doc_id"] == needed["first"]).select("class", "text"))
+
+    def sent_to(routes: DataFrame, *keys: str) -> DataFrame:
+        sent = needed_texts.join(routes.drop("first").hint("merge"), "class")
+        return sent.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins))).groupBy("bin")
+
+    verified = cut(sent_to(routes, "centre", "part").applyInArrow(verify, VERIFIED))
     edges = verified.where("link").select(F.col("left_class").alias("a"), F.col("right_class").alias("b"))
     unsettled = verified.where("not link").select(F.col("left_class").alias("centre"), F.col("right_class").alias("class"))
     if not unsettled.isEmpty():
-        again = route_across(routes, parts, unsettled)
-        sent = docs.join(again, docs["doc_id"] == again["first"]).drop("doc_id", "first")
-        across = sent.groupBy("centre", "part", "deal").applyInArrow(verify_across, VERIFIED)
+        across = sent_to(route_across(routes, unsettled), "centre", "part", "deal").applyInArrow(verify_across, VERIFIED)
         edges = edges.union(across.select("left_class", "right_class"))
     roots = components(edges)
     of_root = (
@@ -430,7 +490,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def route(pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def route(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Where texts go: each member to a part of its centre's group, the centre to all parts of it."""
     parts = pairs.groupBy(F.col("centre").alias("of")).agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
     members = pairs.join(parts, pairs["centre"] == parts["of"]).select(
@@ -439,18 +499,21 @@ def route(pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     centres = parts.select(
         F.col("of").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("of").alias("class"), F.lit(0).alias("role"), F.lit(0).alias("mutual"), "parts"
     )
-    return members.union(centres).join(classes, "class"), parts
+    return members.union(centres).join(classes, "class")
 
 
-def route_across(routes: DataFrame, parts: DataFrame, unsettled: DataFrame) -> DataFrame:
+def route_across(routes: DataFrame, unsettled: DataFrame) -> DataFrame:
     """Unsettled members go to all parts of their centre, dealt into groups of PART; the parts' members meet each."""
     deals = unsettled.groupBy("centre").agg(F.ceil(F.count("*") / PART).cast("long").alias("deals"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     home = routes.where("role = 1 and mutual = 1").join(deals, "centre")
     asked = (
         home.join(unsettled, ["centre", "class"]).withColumn("home", F.col("part")).withColumn("part", every("parts"))
-        .withColumn("deal", F.pmod(F.xxhash64("class", F.lit(7)), "deals")).withColumn("role", F.lit(2))
+        .withColumn("deal", F.pmod(F.xxhash64("class", F.lit(7)), "deals")).withColumn("role", F.lit(2)).withColumn("settled", F.lit(False))
+    )
+    there = (
+        home.join(unsettled.withColumn("loose", F.lit(True)), ["centre", "class"], "left").withColumn("settled", F.col("loose").isNull())
+        .withColumn("home", F.col("part")).withColumn("deal", every("deals"))
     )
-    there = home.withColumn("home", F.col("part")).withColumn("deal", every("deals"))
-    columns = ["centre", "part", "deal", "class", "role", "home", "first"]
+    columns = ["centre", "part", "deal", "class", "role", "home", "settled", "first"]
     return asked.select(columns).union(there.select(columns))
