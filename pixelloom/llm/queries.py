@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, knn, language, lm, packing, pii, quality, toxicity, transducer, vocabulary, wordbpe
+from . import jaccard, knn, language, lm, oracle, packing, pii, quality, toxicity, transducer, vocabulary, wordbpe
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_voronoi_join": oracle.TOP_PRODUCTS, "op9_universe_partition_join": oracle.JACCARD}
