@@ -946,6 +946,43 @@ def pieces(kind: str, data: bytes, most: int = MAX_LENGTH) -> list[tuple[str, by
     return [(kind, data[i : i + most]) for i in range(0, max(1, len(data)), most)]
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """A file but for its image data: what comes before and after it, and the filtered rows to compress."""
+
+    head: bytes
+    tail: bytes
+    raw: bytes
+
+    @property
+    def segment_count(self) -> int:
+        return max(1, -(-len(self.raw) // SEGMENT))
+
+    def segment(self, i: int) -> bytes:
+        return self.raw[i * SEGMENT : (i + 1) * SEGMENT]
+
+    def finish(self, compressed: list[bytes], options: EncodeOptions) -> bytes:
+        if len(compressed) != self.segment_count:
+            raise PngError("InvalidSegmentCount", expected=self.segment_count, actual=len(compressed))
+        stream = join_segments(compressed, zlib.adler32(self.raw), options.level, options.compression)
+        return self.head + b"".join(chunk_bytes(k, d) for k, d in pieces("IDAT", stream)) + self.tail
+
+
+def prepare(file: File, data: bytes, options: EncodeOptions = EncodeOptions()) -> Prepared:
+    """The first half of encoding; segments may be compressed anywhere, and finish() is the second half."""
+    if options.interlace is not None:
+        file = replace(file, header=replace(file.header, interlace=int(options.interlace)))
+    file = strip(file, options.strip)
+    check_image(file, data)
+    keep_unsafe = options.keep_unsafe
+    if options.palette == "auto" and (found := palettize(file, [(file.header, data)])):
+        file, data, keep_unsafe = found[0], found[1][0][1], False
+    mark = ("IDAT", b"")
+    whole = assemble(file, [mark], options, keep_unsafe)
+    head, tail = whole.split(chunk_bytes(*mark))
+    return Prepared(head, tail, scanlines(file.header, data, options.filter))
+
+
 def encode(file: File, data: bytes, options: EncodeOptions = EncodeOptions()) -> bytes:
     """One image. Stripping comes before checking, so what is stripped can't be wrong."""
     if options.interlace is not None:

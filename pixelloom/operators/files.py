@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..functions import codec
+from ..functions.expressions import chunk_bytes
 
 HEADER = "width long, height long, bit_depth int, color_type int, interlace int"
 ERROR = "error struct<code: string, detail: map<string, string>>"
@@ -176,3 +177,29 @@ def joined_segments(parts: DataFrame, key: str = "file_id", level: int = 6, comp
     body = F.aggregate("s", F.lit(head).cast("binary"), lambda done, now: F.concat(done, now["part"]))
     tail = F.concat(F.lit(b"\x03\x00").cast("binary"), F.unhex(F.lpad(F.hex(checksum), 8, "0")))
     return ordered.select(key, F.size("s").alias("n_segments"), checksum.alias("adler"), F.concat(body, tail).alias("stream"))
+
+
+def prepared(df: DataFrame, options: codec.EncodeOptions = codec.EncodeOptions(), key: str = "file_id") -> DataFrame:
+    """Encoding in two phases, the first: a row for each segment of each image's filtered rows (key, seg_no, n_segments,
+    part), with the file's head and tail beside segment 0. df is as write() takes it."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def one(row: dict) -> list[dict]:
+        whole = codec.prepare(_file(row), row["data"] or b"", options)
+        n = whole.segment_count
+        return [{"seg_no": i, "n_segments": n, "part": whole.segment(i), "head": whole.head if not i else None, "tail": whole.tail if not i else None} for i in range(n)]
+
+    schema = f"{key} {kind}, seg_no int, n_segments int, part binary, head binary, tail binary, {ERROR}"
+    return map_rows(df, schema, lambda row: guarded(row, key, "PERMISSIVE", lambda: one(row)))
+
+
+def finished(whole: DataFrame, compressed: DataFrame, key: str = "file_id", level: int = 6, compression: str = "dynamic") -> DataFrame:
+    """The second phase: (key, content, error) from prepared() and the compressed_segments() of its parts. A file that
+    lacks segments has the error InvalidSegmentCount. Joining is all in Catalyst."""
+    ends = whole.where("seg_no = 0").select(key, "n_segments", "head", "tail")
+    both = ends.join(joined_segments(compressed, key, level, compression).withColumnRenamed("n_segments", "found"), key, "left")
+    bad = F.coalesce(F.col("found"), F.lit(0)) != F.col("n_segments")
+    detail = F.create_map(F.lit("expected"), F.col("n_segments").cast("string"), F.lit("actual"), F.coalesce(F.col("found"), F.lit(0)).cast("string"))
+    content = F.concat("head", chunk_bytes(F.lit("IDAT"), F.col("stream")), "tail")
+    done = both.select(key, F.when(~bad, content).alias("content"), F.when(bad, F.struct(F.lit("InvalidSegmentCount").alias("code"), detail.alias("detail"))).alias("error"))
+    return done.unionByName(whole.where("error is not null").select(key, F.lit(None).cast("binary").alias("content"), "error"))

@@ -211,6 +211,19 @@ def q_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_SEGMENTS = "SELECT doc_id, CAST(greatest(1, ceil(strlen(text) / 1000)) AS INT) AS n_segments, md5(text) AS digest FROM documents"
 
 
+def q_prepare_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding in two phases over two exchanges; of every eleventh file a segment is lost on the way."""
+    whole = files.prepared(_gray_images(spark, sf_dir))
+    sent = files.compressed_segments(whole.where("file_id % 11 <> 0").select("file_id", "seg_no", "part").repartition("file_id", "seg_no"))
+    done = files.finished(whole, sent)
+    read = files.read(done.where("error is null")).select("file_id", F.md5("data").alias("digest"))
+    return done.join(read, "file_id", "left").select(F.col("file_id").alias("img"), F.col("error.code").alias("code"), "digest")
+
+
+SQL_PREPARE_FINISH = f"""WITH {GRAY} SELECT img, CASE WHEN img % 11 = 0 THEN 'InvalidSegmentCount' END AS code,
+CASE WHEN img % 11 <> 0 THEN md5(unhex(string_agg(lpad(to_hex(v), 2, '0'), '' ORDER BY y, x))) END AS digest FROM gray GROUP BY img"""
+
+
 def q_meta_inflate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as compressed iTXt chunks, parsed with a bound on their size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -247,6 +247,19 @@ def test_segments_are_one_stream():
         assert int.from_bytes(stream[:2], "big") % 31 == 0
 
 
+def test_two_phases_are_one_encoding(monkeypatch):
+    monkeypatch.setattr(C, "SEGMENT", 100)
+    data = raster(RGBA)
+    whole = C.prepare(C.File(RGBA), data)
+    compressed = [C.compress_segment(whole.segment(i), 6) for i in range(whole.segment_count)]
+    assert len(compressed) == 4
+    content = whole.finish(compressed, C.EncodeOptions())
+    assert content == C.encode(C.File(RGBA), data, C.EncodeOptions(segments=True))
+    assert C.decode(content)[1] == data
+    with pytest.raises(C.PngError, match="InvalidSegmentCount"):
+        whole.finish(compressed[:-1], C.EncodeOptions())
+
+
 def frames(header: C.Header, count: int, step: int = 2) -> list[tuple[C.Control, bytes]]:
     out = []
     for k in range(count):
