@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A label's ids are first ranked in so many parts, so that no task ranks all ids of a frequent label.
+PARTS = 64
+
 
 def labelled(docs: DataFrame, labels: DataFrame, per_label: int, most: int, max_chars: int) -> list[tuple[str, object]]:
     """(text, label) of at most per_label ids of each label and `most` in all, chosen by a hash of the id.
@@ -14,10 +17,13 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int, most: int, max_
     most most * max_chars characters come to the driver. Null ids, labels and texts are left out.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(PARTS))
     chosen = (
         labels.where("doc_id is not null and label is not null")
         .groupBy("doc_id").agg(F.min("label").alias("label"))
-        .withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(*order)))
+        .withColumn("n", F.row_number().over(Window.partitionBy("label", part).orderBy(*order)))
+        .where(F.col("n") <= per_label)
+        .withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(*order)))  # of PARTS * per_label at most
         .where(F.col("n") <= per_label)
         .orderBy("n", *order)
         .limit(most)
