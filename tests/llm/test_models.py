@@ -122,3 +122,26 @@ def test_viterbi_against_all_paths():
     for e, labels in zip(rows, pii.viterbi(rows, moves)):
         value = lambda p: sum(e[i, k] for i, k in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:]))  # noqa: E731, B023
         assert value(labels.tolist()) == pytest.approx(max(map(value, itertools.product(range(5), repeat=len(e)))))
+
+
+def test_samples_are_bounded_and_whole(spark):
+    from pixelloom.llm.sampling import labelled
+
+    docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(100)] + [(None, "x"), (3, None), (3, "other"), (200, "y" * 50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(100)] + [(None, "a"), (7, None), (200, "a")], "doc_id long, label string")
+    found = labelled(docs, labels, 10, 100, 20)
+    assert len(found) <= 20 and {label for _, label in found} == {"a", "b"}
+    assert found == labelled(docs.repartition(7), labels.repartition(5), 10, 100, 20)
+    assert all(len(text) <= 20 for text, _ in found)
+    everything = labelled(docs, labels, 1000, 5000, 20)
+    assert len(everything) == 91  # 90 texts, each once, and "other", the smaller of the two under id 3
+    assert labelled(docs.where("false"), labels, 10, 100, 20) == []
+
+
+def test_rows_are_kept_with_all_their_columns(spark):
+    from pixelloom.llm.common import keep_rows
+
+    docs = spark.createDataFrame([(1, "keep", [1, 2]), (2, "drop", None), (3, None, [3])], "doc_id long, text string, extra array<int>")
+    kept = keep_rows(docs, lambda: lambda texts: [t != "drop" for t in texts])
+    assert kept.schema == docs.schema
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "keep", [1, 2]), (3, None, [3])]
