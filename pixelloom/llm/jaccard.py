@@ -34,7 +34,9 @@ WORDS, PERCENT = 5, 80
 #: (bands up to ALL_DELETIONS) or one in DELETIONS index their one-deletion neighbourhoods.
 GROWTH, SINGLE, SEGMENTS, ALL_DELETIONS, DELETIONS = 1.3, 32, 0.3, 400, 8
 #: Shingles handled at once, signature rows in a bucket, members in a part of a centre's group, pairs checked at once.
-FLUSH, BUCKET_ROWS, PART, BIN_ROWS = 700_000, 2_000_000, 1000, 1500
+FLUSH, BUCKET_ROWS, PART, BIN_ROWS = 600_000, 1_500_000, 1000, 1500
+#: Bytes of a class that signature rows carry; classes that share them are candidates together, and then told apart.
+REF_BYTES = 8
 #: Commonest shingles that a task reports, from so many documents on, and that the allocation knows.
 HEAVY_TASK, HEAVY_LEAST, HEAVY = 2000, 4, 50_000
 CACHE_WORDS = 200_000
@@ -213,11 +215,16 @@ def unpack_rows(sig: bytes, owner: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint64), np.frombuffer(owner, "<u2").astype(np.int64)
 
 
+def ref_of(name: bytes, length: int) -> bytes:
+    return name[:length] + bytes(8 - length)
+
+
 PACKED = "bucket long, classes binary, index_sig binary, index_set binary, probe_sig binary, probe_set binary"
 
 
 def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
     """PACKED: the signatures of all non-empty sets, equal sets of a flush once."""
+    length = REF_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -232,7 +239,7 @@ def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -
             bucket = [((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) for s in (rows[0], rows[2])]
             order = [np.argsort(b.astype(np.uint16) if buckets < 1 << 16 else b, kind="stable") for b in bucket]
             cuts = [np.searchsorted(b[o], np.arange(buckets + 1)) for b, o in zip(bucket, order)]
-            names = np.array([np.frombuffer(classes[i], "V16")[0] for i in kept], "V16")
+            names = np.frombuffer(b"".join(ref_of(classes[i], length) for i in kept), ">u8")
             out = []
             for k in range(buckets):
                 parts = [o[c[k] : c[k + 1]] for o, c in zip(order, cuts)]
@@ -254,15 +261,14 @@ CANDIDATES = "centre binary, member binary, mutual int"
 def candidates(table: pa.Table) -> pa.Table:
     """A bucket's groups as (centre, member) pairs; mutual: members of a group may also link to each other."""
     rows = table.to_pylist()
-    halves = np.frombuffer(b"".join(r["classes"] for r in rows), ">u8").astype(np.uint64).reshape(-1, 2)
-    order = np.lexsort((halves[:, 1], halves[:, 0]))
-    new = np.append(True, (halves[order[1:]] != halves[order[:-1]]).any(1))
-    number = np.empty(len(order), np.uint64)
-    number[order] = np.cumsum(new) - 1  # classes ascending
-    names = [row.tobytes() for row in halves[order[new]].astype(">u8")]
+    refs = np.frombuffer(b"".join(r["classes"] for r in rows), ">u8").astype(np.uint64)
+    known = distinct(refs)
+    number = known.searchsorted(refs).astype(np.uint64)
+    data = known.astype(">u8").tobytes()
+    names = [data[i : i + 8] for i in range(0, len(data), 8)]
     sig, who, at = [], [], 0
     for r in rows:
-        n = len(r["classes"]) // 16
+        n = len(r["classes"]) // 8
         mine = number[at : at + n]
         at += n
         for kind, name in enumerate(("index", "probe")):
@@ -354,9 +360,12 @@ def verify(table: pa.Table) -> pa.Table:
     not inside a component that stands. A row without link reports a member that its part alone can't settle."""
     out: list[tuple[bytes, bytes, bool]] = []
     for found in parts_of(table, "centre", "part"):
-        centre = next((s for _, s, r in found if r["role"] == 0), None)
-        name = found[0][2]["centre"]
-        members = [(c, s, r) for c, s, r in found if r["role"] == 1]
+        ref = found[0][2]["centre"]
+        centres = sorted((m for m in found if m[2]["role"] == 0), key=lambda m: m[0])  # the same first in all parts
+        name, centre = centres[0][:2] if centres else (ref, None)
+        # other classes that share the centre's few bytes are members here, and any member may be theirs
+        members = [m for m in found if m[2]["role"] == 1] + centres[1:]
+        shared = len(centres) > 1
         root = list(range(len(members) + 1))  # the last is the centre
 
         def find(i: int, root=root) -> int:
@@ -369,14 +378,14 @@ def verify(table: pa.Table) -> pa.Table:
             if yes:
                 out.append((name, members[i][0], True))
                 root[i] = len(members)
-        mutual = [i for i, (_, _, r) in enumerate(members) if r["mutual"]]
+        mutual = [i for i, (_, _, r) in enumerate(members) if r["mutual"] or shared]
         for i in mutual:
             if not near[i]:
                 for j in mutual:
                     if find(i) != find(j) and linked(members[i][1], members[j][1]):
                         out.append((members[i][0], members[j][0], True))
                         root[find(i)] = find(j)
-        out += [(name, members[i][0], False) for i in mutual if members[i][2]["parts"] > 1 and find(i) != find(len(members))]
+        out += [(ref, members[i][0], False) for i in mutual if members[i][2]["parts"] > 1 and find(i) != find(len(members))]
     return links_table(out)
 
 
@@ -462,6 +471,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(1, -(-shingles // BUCKET_ROWS))
 
     pairs = emit(docs.where("doc_id is not null"), heavy, counts, buckets).groupBy("bucket").applyInArrow(candidates, CANDIDATES)
+    twins = referred(classes).groupBy("ref").count().where("count > 1")
+    pairs = pairs.union(twins.select("ref", "ref", F.lit(1)))  # different classes under one reference
     pairs = cut(pairs.groupBy("centre", "member").agg(F.max("mutual").alias("mutual")))
     routes = route(pairs, classes)
     bins = 1 + pairs.count() // BIN_ROWS  # parts of many centres at once
@@ -485,21 +496,27 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .groupBy("root").agg(F.min("first").alias("component_id"))
     )
     members = roots.union(roots.select("root", "root").distinct()).join(of_root, "root").select(F.col("node").alias("class"), "component_id")
-    labels = classes.join(members, "class", "left").select("class", F.coalesce("component_id", "first").alias("component_id"))
+    # a table, so that the join with the documents of a frequent class stands by itself and Spark can split it
+    labels = cut(classes.join(members, "class", "left").select("class", F.coalesce("component_id", "first").alias("component_id")))
     out = documents.join(labels, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def referred(classes: DataFrame) -> DataFrame:
+    rest = bytearray(8 - REF_BYTES)
+    return classes.withColumn("ref", F.concat(F.substring("class", 1, REF_BYTES), F.lit(rest)) if rest else F.substring("class", 1, 8))
+
+
 def route(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Where texts go: each member to a part of its centre's group, the centre to all parts of it."""
     parts = pairs.groupBy(F.col("centre").alias("of")).agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
     members = pairs.join(parts, pairs["centre"] == parts["of"]).select(
-        "centre", F.pmod(F.xxhash64("member"), "parts").alias("part"), F.col("member").alias("class"), F.lit(1).alias("role"), "mutual", "parts"
+        "centre", F.pmod(F.xxhash64("member"), "parts").alias("part"), F.col("member").alias("ref"), F.lit(1).alias("role"), "mutual", "parts"
     )
     centres = parts.select(
-        F.col("of").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("of").alias("class"), F.lit(0).alias("role"), F.lit(0).alias("mutual"), "parts"
+        F.col("of").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("of").alias("ref"), F.lit(0).alias("role"), F.lit(0).alias("mutual"), "parts"
     )
-    return members.union(centres).join(classes, "class")
+    return members.union(centres).join(referred(classes), "ref").drop("ref")
 
 
 def route_across(routes: DataFrame, unsettled: DataFrame) -> DataFrame:
