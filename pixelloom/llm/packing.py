@@ -21,7 +21,7 @@ from .common import cut, texts
 
 LENGTH, END_ID = 2048, 1
 #: Pieces of one length that a rank task holds at most, on average.
-RANK_ROWS = 50_000
+RANK_ROWS = 500
 #: Distinct words whose ids a worker keeps, and the longest word kept.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
 
@@ -147,11 +147,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
     spark = docs.sparkSession
     table = cut(pieces(docs, tokenizer, length, end_id, id_col, text_col))
     histogram = {r["length"]: r["count"] for r in table.groupBy("length").count().collect()}  # at most `length` rows
-    salts = 1 + max(histogram.values(), default=0) // RANK_ROWS
+    salts = spark.createDataFrame([(n, 1 + count // RANK_ROWS) for n, count in histogram.items()], "size long, salts long")
     places = spark.createDataFrame(
         assignments(shortest_pack_first(histogram, length)), "length long, first long, last long, sequence long, offset long"
     )
-    salted = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    salted = (  # each length in parts of its own number; as many rows to broadcast as a sequence has places
+        table.join(F.broadcast(salts), F.col("length") == F.col("size"))
+        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")))
+        .drop("size", "salts")
+    )
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("length", "salt").count().select(
         "length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")
