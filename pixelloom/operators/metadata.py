@@ -80,7 +80,6 @@ def plain_text(data: Column) -> tuple[Column, Column]:
     """tEXt: a keyword, a zero byte and Latin-1 text."""
     text = F.decode(data, "ISO-8859-1")
     mark = F.instr(text, "\0")
-    keyword, rest = F.expr("''"), F.expr("''")
     keyword = F.substring(text, F.lit(1), mark - 1)
     rest = F.substring(text, mark + 1, F.length(text))
     return F.when((mark == 0) | ~keyword_is_valid(keyword), DATA), F.struct(keyword.alias("keyword"), rest.alias("text"))

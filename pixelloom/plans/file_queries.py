@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..functions import expressions as X
 from ..operators import files
 from .rasters import COLORS, FRAMES, GRAY, colors, frames, gray, table
 
