@@ -33,8 +33,9 @@ WORDS, PERCENT = 5, 80
 #: is a segment of its own; beyond, SEGMENTS segments for each shingle of the band's largest set, of which all
 #: (bands up to ALL_DELETIONS) or one in DELETIONS index their one-deletion neighbourhoods.
 GROWTH, SINGLE, SEGMENTS, ALL_DELETIONS, DELETIONS = 1.3, 32, 0.3, 400, 8
-#: Shingles handled at once, signature rows in a bucket, members in a part of a centre's group, pairs checked at once.
-FLUSH, BUCKET_ROWS, PART, BIN_ROWS = 600_000, 1_500_000, 1000, 1500
+#: Shingles handled at once, of a bucket, of the members in a part of a centre's group, and of parts checked at once:
+#: memory follows from shingles, as texts may be long.
+FLUSH, BUCKET_ROWS, PART, BIN = 600_000, 1_500_000, 500_000, 1_000_000
 #: Bytes of a class that signature rows carry; classes that share them are candidates together, and then told apart.
 REF_BYTES = 8
 #: Commonest shingles that a task reports, from so many documents on, and that the allocation knows.
@@ -462,7 +463,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     measured = cut(docs.mapInArrow(measure, "doc_id long, n long, class binary, shingle long"))
     documents = measured.where("shingle is null").drop("shingle")
-    classes = documents.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
+    classes = documents.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     known = measured.where("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HEAVY).collect()
     order = np.argsort(np.array([r["shingle"] for r in known], np.int64).view(np.uint64))
     heavy = np.array([r["shingle"] for r in known], np.int64).view(np.uint64)[order]
@@ -475,12 +476,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.union(twins.select("ref", "ref", F.lit(1)))  # different classes under one reference
     pairs = cut(pairs.groupBy("centre", "member").agg(F.max("mutual").alias("mutual")))
     routes = route(pairs, classes)
-    bins = 1 + pairs.count() // BIN_ROWS  # parts of many centres at once
+    bins = 1 + (routes.agg(F.sum("n")).first()[0] or 0) // BIN  # parts of many centres at once
     needed = routes.select("class", "first").distinct().hint("merge")
     needed_texts = cut(docs.join(needed, docs["doc_id"] == needed["first"]).select("class", "text"))
 
     def sent_to(routes: DataFrame, *keys: str) -> DataFrame:
-        sent = needed_texts.join(routes.drop("first").hint("merge"), "class")
+        sent = needed_texts.join(routes.drop("first", "n").hint("merge"), "class")
         return sent.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins))).groupBy("bin")
 
     verified = cut(sent_to(routes, "centre", "part").applyInArrow(verify, VERIFIED))
@@ -509,19 +510,23 @@ def referred(classes: DataFrame) -> DataFrame:
 
 def route(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Where texts go: each member to a part of its centre's group, the centre to all parts of it."""
-    parts = pairs.groupBy(F.col("centre").alias("of")).agg(F.ceil(F.count("*") / PART).cast("long").alias("parts"))
-    members = pairs.join(parts, pairs["centre"] == parts["of"]).select(
-        "centre", F.pmod(F.xxhash64("member"), "parts").alias("part"), F.col("member").alias("ref"), F.lit(1).alias("role"), "mutual", "parts"
+    named = referred(classes)
+    members = cut(pairs.join(named, pairs["member"] == named["ref"]).select("centre", "mutual", "class", "first", "n"))
+    # a table, so that the join with the members of a large group stands by itself and Spark can split it
+    parts = cut(members.groupBy(F.col("centre").alias("of")).agg(F.ceil(F.sum("n") / PART).cast("long").alias("parts")))
+    members = members.join(parts, members["centre"] == parts["of"]).select(
+        "centre", F.pmod(F.xxhash64("class"), "parts").alias("part"), "class", "first", "n", F.lit(1).alias("role"), "mutual", "parts"
     )
-    centres = parts.select(
-        F.col("of").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("of").alias("ref"), F.lit(0).alias("role"), F.lit(0).alias("mutual"), "parts"
-    )
-    return members.union(centres).join(referred(classes), "ref").drop("ref")
+    centres = parts.join(named, parts["of"] == named["ref"]).select(
+        F.col("of").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "class", "first", "n", F.lit(0).alias("role"), F.lit(0).alias("mutual"), "parts"
+    )
+    return members.union(centres)
 
 
 def route_across(routes: DataFrame, unsettled: DataFrame) -> DataFrame:
     """Unsettled members go to all parts of their centre, dealt into groups of PART; the parts' members meet each."""
-    deals = unsettled.groupBy("centre").agg(F.ceil(F.count("*") / PART).cast("long").alias("deals"))
+    sizes = routes.where("role = 1").select("centre", "class", "n")
+    deals = unsettled.join(sizes, ["centre", "class"]).groupBy("centre").agg(F.ceil(F.sum("n") / PART).cast("long").alias("deals"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     home = routes.where("role = 1 and mutual = 1").join(deals, "centre")
     asked = (
@@ -532,5 +537,5 @@ def route_across(routes: DataFrame, unsettled: DataFrame) -> DataFrame:
         home.join(unsettled.withColumn("loose", F.lit(True)), ["centre", "class"], "left").withColumn("settled", F.col("loose").isNull())
         .withColumn("home", F.col("part")).withColumn("deal", every("deals"))
     )
-    columns = ["centre", "part", "deal", "class", "role", "home", "settled", "first"]
+    columns = ["centre", "part", "deal", "class", "role", "home", "settled", "first", "n"]
     return asked.select(columns).union(there.select(columns))

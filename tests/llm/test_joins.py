@@ -57,7 +57,7 @@ def test_jaccard_components(spark, monkeypatch):
     for small in (False, True):
         if small:
             monkeypatch.setattr(jaccard, "BUCKET_ROWS", 2500)
-            monkeypatch.setattr(jaccard, "PART", 5)
+            monkeypatch.setattr(jaccard, "PART", 150)
             monkeypatch.setattr(jaccard, "FLUSH", 1500)
             monkeypatch.setattr(jaccard, "REF_BYTES", 1)  # many classes share their short form
         found = {r["doc_id"]: r for r in jaccard.link_components(docs).collect()}
