@@ -31,6 +31,25 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: What empties the caches that operators keep in a Python worker between tasks.
+CACHES: list = []
+
+
+def tidy() -> None:
+    """For tasks that need much memory: drops other operators' caches in this worker, and has the allocator map large
+    arrays by themselves and give free memory back."""
+    import ctypes
+
+    for clear in CACHES:
+        clear()
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id (long) and the text (string): columns that clash or don't matter go no further."""
     ship(docs.sparkSession)

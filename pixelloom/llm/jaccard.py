@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, lower_ascii, mix, texts
+from .common import WordIds, cut, lower_ascii, mix, texts, tidy
 
 WORDS, PERCENT = 5, 80
 #: Bands grow by this factor, more than 100 / PERCENT, so that a set mostly probes two. Up to SINGLE shingles each
@@ -40,7 +40,7 @@ FLUSH, BUCKET_ROWS, PART, BIN = 600_000, 1_500_000, 500_000, 1_000_000
 REF_BYTES = 8
 #: Commonest shingles that a task reports, from so many documents on, and that the allocation knows.
 HEAVY_TASK, HEAVY_LEAST, HEAVY = 2000, 4, 50_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 SCHEMA = "doc_id long, n_shingles long, component_id long"
 _TAG, _DELETED, _SIDE = np.uint64(0x51ED270B3A1F9C47), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -228,6 +228,7 @@ def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -
     length = REF_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         ids = WordIds()
         for batch in batches_of(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), ids)
@@ -261,6 +262,7 @@ CANDIDATES = "centre binary, member binary, mutual int"
 
 def candidates(table: pa.Table) -> pa.Table:
     """A bucket's groups as (centre, member) pairs; mutual: members of a group may also link to each other."""
+    tidy()
     rows = table.to_pylist()
     refs = np.frombuffer(b"".join(r["classes"] for r in rows), ">u8").astype(np.uint64)
     known = distinct(refs)
@@ -444,6 +446,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = texts(docs, id_col, text_col)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         ids, common = WordIds(), {}
         for batch in batches_of(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), ids)

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vocabulary
-from .common import cut, texts
+from .common import CACHES, cut, texts
 
 LENGTH, END_ID = 2048, 1
 #: Pieces of one length that a rank task holds at most, on average.
 RANK_ROWS = 500
 #: Distinct words whose ids a worker keeps, and the longest word kept.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 200_000, 48
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -57,6 +57,7 @@ def le(ids: list[int]) -> bytes:
 
 
 _ENCODERS: dict[str, tuple] = {}
+CACHES.append(_ENCODERS.clear)
 
 
 def encoder(path: str):
@@ -67,6 +68,8 @@ def encoder(path: str):
         ranks, special = vocabulary.byte_bpe(path)
         encoding = tiktoken.Encoding("file", pat_str=vocabulary.BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
         _ENCODERS[path] = encoding, list(special), PieceIds(encoding)
+        vocabulary.byte_bpe.cache_clear()
+        vocabulary.load.cache_clear()
     encoding, special, words = _ENCODERS[path]
 
     def encode(text: str) -> bytes:
