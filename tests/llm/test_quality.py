@@ -36,3 +36,28 @@ def test_bands(prose_of):
     half = prose_of(rng, 700, 5000).encode() + b"over and over it goes " * 1200  # most of its chunks repeat
     assert not quality.verdict(half, compress)[2]
     assert quality.verdict(b"", compress)[2]
+
+
+def said_again(rng, words: list[str], times: int, size: int) -> str:
+    """Words each said some times in a row, up to a size: five words in a row seldom come twice."""
+    out = ""
+    while len(out) < size:
+        out += " ".join([rng.choice(words)] * times) + " "
+    return out[:size]
+
+
+def test_bands_reject_what_the_base_passes(prose_of):
+    rng = random.Random(3)
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    words = sorted(set(prose_of(rng, 9000, 8000).replace(".", " ").lower().split()))
+    for size in (300, 450, 900, 2000, 5000, 20_000):
+        for times in (3, 4):
+            row = quality.measure(said_again(rng, words, times, size), compress)
+            assert not row[5] and not row[6], (size, times, row)
+        noise = " ".join("".join(rng.choices([chr(c) for c in range(33, 127)], k=7)) for _ in range(size // 8))
+        row = quality.measure(noise, compress)
+        assert not row[5] and not row[6], (size, row)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz      ", k=6000))
+    assert quality.measure(letters, compress)[5:7] == (False, False)
+    mixed = prose_of(rng, 1800, 5000) + said_again(rng, words, 3, 6000)  # a third of its chunks
+    assert quality.measure(mixed, compress)[5:7] == (False, False)
