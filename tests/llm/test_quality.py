@@ -61,3 +61,15 @@ def test_bands_reject_what_the_base_passes(prose_of):
     assert quality.measure(letters, compress)[5:7] == (False, False)
     mixed = prose_of(rng, 1800, 5000) + said_again(rng, words, 3, 6000)  # a third of its chunks
     assert quality.measure(mixed, compress)[5:7] == (False, False)
+
+
+def test_short_texts_have_bands(prose_of):
+    rng = random.Random(4)
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    words = sorted(set(prose_of(rng, 9000, 8000).replace(".", " ").lower().split()))
+    for size in (170, 210, 250):
+        row = quality.measure(said_again(rng, words, 3, size), compress)
+        assert not row[5] and not row[6], (size, row)
+    for size in (100, 130, 170, 210, 255):
+        assert quality.verdict(prose_of(rng, 80, 8000).encode()[:size], compress)[2]
+    assert quality.out_of_band(204, 0.299) and quality.out_of_band(120, 0.5) and not quality.out_of_band(99, 0.299)
