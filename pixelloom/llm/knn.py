@@ -119,7 +119,9 @@ def top_products(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str
     )
     cells = {r["cell"]: r for r in summary}
     parts = {c: -(-r["n"] // BLOCK) for c, r in cells.items()}
-    queries = assigned.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector").dropDuplicates(["query_id", "vector"])
+    asking = assigned.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vector")
+    own_rows = asking.groupBy("query_id").agg(F.count("*").alias("own"))
+    queries = asking.dropDuplicates(["query_id", "vector"]).join(own_rows, "query_id")
     deals = max(1, -(-queries.count() // QUERIES))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,15 +130,15 @@ def top_products(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str
             by_length.setdefault(c // (PIVOTS + 1), []).append(c)
         for batch in batches:
             out = []
-            for query, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for query, data, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 q = np.frombuffer(data, "<f8")
                 mine = by_length.get(len(q), [])
                 norm = float(np.sqrt((q * q).sum()))
                 near = [c % (PIVOTS + 1) - 1 for c in mine]
                 at = [float(q @ pivots[len(q)][i]) if i >= 0 and len(q) else 0.0 for i in near]
-                # k + 1, as the query itself is among them
+                # the query's own rows may be among them, and are no candidates
                 reached = sorted((a - norm * d if i >= 0 else -norm * cells[c]["norm"] for c, a, i in zip(mine, at, near) for d in cells[c]["nearest"]), reverse=True)
-                floor = reached[k] if len(reached) > k else -np.inf
+                floor = reached[k - 1 + own] if len(reached) >= k + own else -np.inf
                 for c, a, i in zip(mine, at, near):
                     most = min(a + norm * cells[c]["radius"], norm * cells[c]["norm"]) if i >= 0 else norm * cells[c]["norm"]
                     if most >= floor - SLACK * (abs(floor) + norm * cells[c]["norm"]):

@@ -82,6 +82,18 @@ def test_top_products(spark, monkeypatch):
         assert found[q] == [(i, scores[i]) for i in order]
 
 
+def test_top_products_of_a_repeated_id(spark):
+    rng = np.random.default_rng(5)
+    vectors = [[1.0] + [0.0] * 7] * 12 + [[0.5, *rng.normal(scale=0.3, size=7)] for _ in range(40)]  # all are pivots
+    ids = [0] * 12 + list(range(1, 41))
+    table = spark.createDataFrame(list(zip(ids, [list(map(float, v)) for v in vectors])), "vec_id long, embedding array<float>")
+    found = [(r["vec_id"], r["score"]) for r in knn.top_products(table).orderBy("rank").collect()]
+    whole = np.floor(1024 * np.array(vectors, np.float32).astype(float)).astype(int)
+    scores = whole @ whole[0]
+    order = [i for i in np.lexsort((ids, -scores)) if ids[i]][:10]
+    assert found == [(ids[i], scores[i]) for i in order]
+
+
 def test_pipeline_keeps_one_of_each(spark, prose_of):
     rng = random.Random(12)
     texts = [prose_of(rng, 150, 3000) for _ in range(20)]
