@@ -26,6 +26,8 @@ TRAIN_PER_LANGUAGE, TRAIN_MOST, TRAIN_CHARS = 400, 6000, 20_000
 #: n-grams that the kernel sees: in MIN_TEXTS training texts at least, the commonest of them. Landmarks; penalty.
 MIN_TEXTS, GRAMS, LANDMARKS, RIDGE = 3, 4095, 96, 0.01
 BATCH, PART = 256, 1 << 20
+#: A text of a learned language has at least this share of n-grams, each as often as it comes, that the kernel sees.
+LEAST_SEEN = 0.7
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII that is not a letter becomes a blank; bytes of other characters stay.
@@ -68,6 +70,15 @@ def presence(batch: list[str], table: np.ndarray, grams: int) -> np.ndarray:
     return out[:, 1:]
 
 
+def seen_share(text: str, table: np.ndarray) -> float:
+    """The share of a text's n-grams, each as often as it comes, that the kernel sees."""
+    seen = total = 0
+    for code in codes(text):
+        seen += np.count_nonzero(table.take(code))
+        total += len(code)
+    return seen / max(1, total)
+
+
 def fit(sample: list[tuple[str, str]]) -> Model | None:
     """Trains on (text, language) rows; None if no text has a letter."""
     sample = [(text, language) for text, language in sample if LETTER.search(text)]
@@ -140,15 +151,16 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text identify() gives a language, with all their columns: those with a letter, as the
-    kernels always name one. With nothing learned, no row is recognised."""
+    """The rows of docs in which a learned language is recognised, with all their columns: identify() names a language,
+    and at least LEAST_SEEN of the text's n-grams are ones that the kernel sees. Scores do not tell a text of another
+    language, as few n-grams of it take part. With nothing learned, no row is recognised."""
 
     def judge():
         table = model.table() if model else None
 
         def names(found: list[str]) -> list[bool]:
             out = [False] * len(found)
-            known = [i for i, t in enumerate(found) if model and LETTER.search(t)]
+            known = [i for i, t in enumerate(found) if model and LETTER.search(t) and seen_share(t, table) >= LEAST_SEEN]
             for at in range(0, len(known), BATCH):
                 for i, best in zip(known[at : at + BATCH], predict(model, [found[i] for i in known[at : at + BATCH]], table)[0]):
                     out[i] = model.languages[best] != UNKNOWN

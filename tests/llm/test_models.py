@@ -145,3 +145,11 @@ def test_rows_are_kept_with_all_their_columns(spark):
     kept = keep_rows(docs, lambda: lambda texts: [t != "drop" for t in texts])
     assert kept.schema == docs.schema
     assert sorted(tuple(r) for r in kept.collect()) == [(1, "keep", [1, 2]), (3, None, [3])]
+
+
+def test_texts_in_a_language_not_learned_are_not_recognised(spark, prose_of):
+    rng = random.Random(8)
+    model = language.fit([(prose_of(rng, 150, 3000), "en") for _ in range(40)])
+    texts = [prose_of(rng, 80, 3000), prose_of(rng, 9, 3000), "Все люди рождаются свободными и равными в своих правах.", "人人生而自由 在尊严和权利上一律平等", "12 34", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in language.recognised(docs, model).collect()) == [0, 1]
