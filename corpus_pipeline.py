@@ -23,12 +23,19 @@ def compressible(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id.
-
-    Rows that share an id count as one document here; rows without an id all stay, as they link to nothing."""
-    first = jaccard.link_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each component of near duplicates, the row with the smallest id, ids before none; of rows that share it, the
+    one whose text has the smallest hash.
+
+    Rows are compared by themselves, whatever their id: those that share an id but not a text may be in different
+    components, and rows without an id link too. A text without words links to nothing but its own copies under its id."""
+    row, id_ = "pixelloom_row", F.col("doc_id").cast("long")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # a written table, so that the numbers stay
+    linked = jaccard.link_components(numbered, id_col=row).select(F.col("doc_id").alias("linked"), "component_id", "n_shingles")
+    rows = numbered.select(row, id_.alias("id"), F.xxhash64("text").alias("hash")).join(linked, F.col(row) == F.col("linked"))
+    wordless = F.col("n_shingles") == 0
+    keys = [F.when(~wordless | F.col("id").isNull(), F.col("component_id")).alias("component"), F.when(wordless, F.col("id")).alias("alone"), F.when(wordless, F.col("hash")).alias("copy")]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(F.col("id").isNull(), "id", "hash", row)).alias("first")).select(F.col(f"first.{row}").alias("first"))
+    return numbered.join(first, numbered[row] == first["first"], "left_semi").select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

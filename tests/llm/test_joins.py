@@ -107,6 +107,17 @@ def test_pipeline_keeps_one_of_each(spark, prose_of):
     assert {r["doc_id"] for r in pieces} == set(kept)
 
 
+def test_one_of_each_component(spark, prose_of):
+    rng = random.Random(13)
+    a, b, c = (prose_of(rng, 150, 3000) for _ in range(3))
+    rows = [(1, a), (5, a + " more"), (5, b), (7, b + " more"), (None, a), (None, c), (None, c + " more"), (2, ""), (2, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    found = sorted((r["doc_id"] or 0, r["text"]) for r in kept)
+    assert [f for f in found if f[0]] == [(1, a), (2, ""), (3, ""), (5, b)]
+    assert len(found) == 5 and found[0][1] in (c, c + " more")
+
+
 def test_personal_data_stage(spark):
     docs = spark.createDataFrame([(1, "write to a@b.org now", 20)], "doc_id long, text string, n_chars long")
     (row,) = corpus_pipeline.without_personal_data(spark, docs, "").collect()
