@@ -2,8 +2,8 @@
 
 The field labels words by their shapes and their neighbours' (letters, digits, marks; never the words of a corpus,
 except a few cue words). It is trained on the small labelled table below, and decoded by Viterbi over many windows
-of words at once in numpy. Only words near a digit, an @ or a spelled-out dot can be personal data here, so windows
-around those are decoded and every other word is outside by definition: a linear scan finds them.
+of words at once in numpy. Only words near a digit, an @, a spelled-out dot or an "at" before a dotted name can be
+personal data here, so windows around those are decoded and every other word is outside by definition: a linear scan finds them.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]|\bdot\b|[(\[]at[)\]]", re.I)
+TRIGGER = re.compile(r"[0-9@]|\bdot\b|[(\[]at[)\]]|\bat (?=[\w-]{1,63}\.\w)", re.I)
 WORD = re.compile(r"\S+")
 #: What a spelled-out address must look like inside the words labelled as one.
 _DOT = r"(?:\.| ?[\[(]?dot[\])]? )"
@@ -69,6 +69,19 @@ email {email:sales [at] shop [dot] net} now
 e-mail {email:support [at] example.com} first
 reach {email:peter at firm dot co dot uk} by noon
 write {email:mark (at) site (dot) de} or call
+write to {email:jane.doe at example.com} please
+write to {email:anna.k at mail.firm.org} about it
+contact {email:peter.smith at firm.co.uk} by noon
+mail {email:sales at shop.net} now
+email {email:info at example.org} first
+e-mail {email:office at mail.site.de} or call
+read more at example.com today
+have a look at example.org please
+he works at site.net now
+we met at shop.com last year
+visit us at www.firm.co.uk now
+see us at www.site.org today
+find it at www.books.com or call
 the server {ip:2001:db8:85a3:0:0:8a2e:370:7334} answered
 host {ip:fe80::1ff:fe23:4567:890a} is up
 from {ip:2001:db8::1} port 22
@@ -324,7 +337,7 @@ def viterbi(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
 
 
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words (start, end) around digits, @ and spelled-out marks."""
+    """Runs of words (start, end) around digits, @, spelled-out marks and "at" before a dotted name."""
     out, lo, hi = [], 0, -1
     spans: list[tuple[int, int]] = []
     at = 0

@@ -153,3 +153,12 @@ def test_texts_in_a_language_not_learned_are_not_recognised(spark, prose_of):
     texts = [prose_of(rng, 80, 3000), prose_of(rng, 9, 3000), "Все люди рождаются свободными и равными в своих правах.", "人人生而自由 在尊严和权利上一律平等", "12 34", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in language.recognised(docs, model).collect()) == [0, 1]
+
+
+def test_addresses_with_a_plain_at():
+    field = pii.train()
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.find([t], field)[0][1]]
+    assert found("write to jane.doe at example.com") == [("email", "jane.doe at example.com")]
+    assert found("you can mail orders at books.org any day") == [("email", "orders at books.org")]
+    for other in ("have a look at books.org any day", "she was at home.\nThe dog at work."):
+        assert found(other) == []
