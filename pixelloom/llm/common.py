@@ -88,16 +88,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors
     cost no recomputation of what came before. The shuffle files that led to it go at once, the table when the
-    driver exits."""
+    driver exits. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pixelloom-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     atexit.register(remove, spark, path)

@@ -11,31 +11,80 @@ import pytest
 from pixelloom.llm import language, lm, pii, toxicity
 
 
-def test_backoff_automaton(spark, prose_of, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_CHARS", 9000)
-    monkeypatch.setattr(lm, "BUCKET_GRAMS", 600)
-    monkeypatch.setattr(lm, "STRIDE", 16)
+@pytest.mark.parametrize(("order", "block", "range_grams", "fan"), [(3, 9000, 1500, 8), (4, 700, 300, 3), (1, 9000, 1500, 8)])
+def test_backoff_automaton(spark, prose_of, order, block, range_grams, fan):
+    settings = lm.Settings(order=order, block_bytes=block, range_grams=range_grams, fan_bits=fan, stride=16)
     rng = random.Random(5)
-    texts = [prose_of(rng, rng.choice([0, 1, 5, 60, 300])) for _ in range(120)] + ["", None, "Same same SAME"] * 3
-    found = lm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    texts = [prose_of(rng, rng.choice([0, 1, 5, 60, 300]), 60) for _ in range(120)] + ["", None, "Same same SAME", "x" * 900 + " y", " " * 900] * 3
+    found = lm.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), settings=settings).collect()
     tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
-    words, pairs, histories = collections.Counter(), collections.Counter(), collections.Counter()
-    for i, t in tokens.items():
-        if not held[i]:
-            words.update(t)
-            pairs.update(zip(["<"] + t, t))
-            histories.update((["<"] + t)[:-1])
-    total = sum(words.values())
-    scale = total + 0.1 * (len(words) + 1)
+    model = PlainModel([t for i, t in tokens.items() if not held[i]], order)
     assert len(found) == len(texts)
     for r in found:
         t = tokens[r["doc_id"]]
-        root = [(words[w] + 0.1) / scale for w in t]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), sum(words[w] > 0 for w in t), total)
-        assert r["base_score"] == pytest.approx(sum(map(math.log10, root)), rel=1e-9)
-        assert r["score"] == pytest.approx(sum(lm.probability(pairs[h, w], histories[h], p) for h, w, p in zip(["<"] + t, t, root)), rel=1e-9)
-        assert r["n_backoffs"] == sum((h, w) not in pairs for h, w in zip(["<"] + t, t))
+        known = sum(model.counts[w,] > 0 for w in t)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(t), known, model.tokens)
+        assert r["base_score"] == pytest.approx(sum(math.log10(model.chance((), w)) for w in t), rel=1e-9)
+        steps = [model.step(t, i) for i in range(len(t))]
+        assert r["score"] == pytest.approx(sum(math.log10(p) for p, _ in steps), rel=1e-9)
+        assert r["n_backoffs"] == sum(n for _, n in steps)
+
+
+class PlainModel:
+    """Counts of n-grams up to an order, and probabilities straight from the definition."""
+
+    def __init__(self, training, order):
+        self.order, self.counts, self.histories = order, collections.Counter(), collections.Counter()
+        for t in training:
+            padded = ["<", *t]
+            for i in range(1, len(padded)):
+                for n in range(1, order + 1):
+                    if i - n + 1 >= 0:
+                        self.counts[tuple(padded[i - n + 1 : i + 1])] += 1
+                        self.histories[tuple(padded[i - n + 1 : i])] += 1
+        self.tokens = sum(map(len, training))
+        self.words = sum(len(g) == 1 for g in self.counts)
+
+    def chance(self, history, word):
+        if not history:
+            return (self.counts[word,] + lm.DEFAULT.add) / (self.tokens + lm.DEFAULT.add * (self.words + 1))
+        prior = lm.DEFAULT.priors[len(history) - 1]
+        return (self.counts[*history, word] + prior * self.chance(history[1:], word)) / (self.histories[history] + prior)
+
+    def step(self, t, i):
+        """(probability of a text's token, failure arcs taken) from the longest known history."""
+        padded = ["<", *t]
+        history = tuple(padded[max(0, i + 2 - self.order) : i + 1])
+        while history and not self.histories[history]:
+            history = history[1:]
+        chance, backs = self.chance(history, t[i]), 0
+        while history and not self.counts[*history, t[i]]:
+            history, backs = history[1:], backs + 1
+        return chance, backs
+
+
+def test_probabilities_of_a_state_add_up(prose_of):
+    rng = random.Random(3)
+    training = [re.findall(r"\S+", prose_of(rng, 80, 30).lower()) + [None] for _ in range(20)]
+    model = PlainModel(training, 3)
+    words = {g[0] for g in model.counts if len(g) == 1}
+    unseen = model.chance((), "never seen")  # the root keeps this for all other words together
+    for history in [(), *[g for g in model.histories if g and g[-1] is not None][:200]]:
+        prior = math.prod(lm.DEFAULT.priors[n - 1] / (model.histories[history[len(history) - n :]] + lm.DEFAULT.priors[n - 1]) for n in range(1, len(history) + 1))
+        assert sum(model.chance(history, w) for w in words) + unseen * prior == pytest.approx(1)
+
+
+def test_long_texts_are_cut_between_words():
+    rng = random.Random(2)
+    for _ in range(200):
+        data = bytes(rng.choices(b"ab \n", k=rng.randint(0, 60)))
+        pieces = list(lm.pieces_of(data, 3, rng.randint(1, 9)))
+        words = [piece.split()[skip:] for piece, _, skip, _ in pieces]
+        assert sum(words, []) == data.split() and [last for *_, last in pieces] == [False] * (len(pieces) - 1) + [True]
+        for i, (piece, head, skip, _) in enumerate(pieces):
+            before = sum(words[:i], [])
+            assert piece.split()[:skip] == before[-2:] and head == (len(before) < 2)
 
 
 def test_toxicity_from_document_labels(prose_of):
