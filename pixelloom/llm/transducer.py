@@ -5,10 +5,13 @@ begun, what its tokens so far can still become: the longest suffix that begins s
 the relative count at each place in it. That is enough to continue, so there are finitely many states; they and
 their transitions are compiled when first met. A transition is annotated with the change in the number of tokens.
 
-Texts are cut into chunks of fixed size. All chunks advance in lockstep, one table lookup for a whole row of them;
-each assumes that it begins a text. That gives a map from a chunk's entry state to its exit state and its count at
-one entry. The maps compose in a scan: chunks whose predecessor ends elsewhere are evaluated again, in lockstep,
-up to where they meet their earlier path, mostly within a word. When no entry changes any more, the scan is done.
+Texts are cut into chunks of fixed size. All chunks advance in lockstep, one table lookup for a whole row of them.
+Each chunk has a map from the entry states that can occur to its exit state and count: first the one at which a text
+begins, then, round by round, whatever its predecessor's map leads to, until the maps are closed. An evaluation at a
+further entry runs up to where it meets the chunk's first path, mostly within a word. So the rounds follow from how
+many states can stand at one boundary (two on ordinary text, the length of a token on periodic text), not from the
+number of chunks. The closed maps then compose in a parallel prefix scan, in as many steps as the number of chunks has
+binary digits. Maps still open after MAX_ROUNDS are followed chunk by chunk from where they end, so counts are exact.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import texts
 CHUNK = 256
 #: Bytes that run in lockstep at once, and states after which a worker's table is begun anew.
 BLOCK_BYTES, MAX_STATES = 4 << 20, 250_000
+#: Rounds in which the maps of chunks grow, and pairs of tokens whose fit a worker remembers.
+MAX_ROUNDS, MAX_FITS = 40, 500_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Contractions of the pre-tokenizer's pattern (fixed values): their endings by first letter.
 CONTRACTIONS = {"s": "", "t": "", "m": "", "d": "", "r": "e", "v": "e", "l": "l"}
@@ -88,6 +93,7 @@ class Transducer:
         self._class = regex.compile(r"(\p{L})|(\p{N})|(\p{White_Space})")
         self._classes: dict[str, str] = {}
         self._fits: dict[tuple, bool] = {}
+        self.rounds = self.steps = 0  # of the last count: rounds in which maps grew, steps of the scan
         self.clear()
 
     def clear(self) -> None:
@@ -121,6 +127,8 @@ class Transducer:
         if left is None:
             return True
         if (found := self._fits.get((left, right))) is None:
+            if len(self._fits) >= MAX_FITS:
+                self._fits.clear()
             found = self._fits[left, right] = self.encode(left + right) == [left, right]
         return found
 
@@ -204,6 +212,11 @@ class Transducer:
 
     # the compiled table
 
+    def tidy(self) -> None:
+        """Begins the table anew when it has grown; state numbers hold until then."""
+        if len(self.states) > MAX_STATES:
+            self.clear()
+
     def number(self, state: tuple) -> int:
         if (n := self.numbers.get(state)) is None:
             n = self.numbers[state] = len(self.states)
@@ -235,56 +248,91 @@ class Transducer:
             found[missing] = self.table.get(keys[missing])
         return found >> 8, (found & 255) - BIAS
 
-    def count(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The number of tokens of each text, given as (start, size) in data."""
+    def count(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens counted, exit state) of each text, given as (start, size) in data and its entry state."""
         chunks = np.maximum(1, -(-sizes // CHUNK))
-        first = np.concatenate([[0], np.cumsum(chunks)[:-1]]).astype(np.int64)
+        first = np.cumsum(chunks) - chunks
         text = np.repeat(np.arange(len(sizes)), chunks)
         place = np.arange(len(text)) - first[text]
         at = starts[text] + place * CHUNK
         size = np.minimum(CHUNK, sizes[text] - place * CHUNK)
         order = np.argsort(-size, kind="stable")  # so that those still running come first
-        at, size, head, text = at[order], size[order], (place == 0)[order], text[order]
-        before = np.empty(len(order), np.int64)  # the lane of the chunk before
+        running = np.searchsorted(-size[order], -np.arange(CHUNK), side="left")  # lanes with more than i bytes
         lane = np.empty(len(order), np.int64)
         lane[order] = np.arange(len(order))
-        before[:] = lane[np.maximum(order - 1, 0)]
-        running = np.searchsorted(-size, -np.arange(CHUNK), side="left")  # lanes with more than i bytes
-        entry = np.zeros(len(order), np.int32)
         path = np.zeros((CHUNK + 1, len(order)), np.int32)
         total = np.zeros((CHUNK + 1, len(order)), np.int32)
+        path[0, lane[first]] = heads
+        ends = at[order]
         for i in range(CHUNK):
             n = running[i]
             path[i + 1, n:], total[i + 1, n:] = path[i, n:], total[i, n:]
             if n:
-                path[i + 1, :n], change = self.advance(path[i, :n], data.take(at[:n] + i))
+                path[i + 1, :n], change = self.advance(path[i, :n], data.take(ends[:n] + i))
                 np.add(total[i, :n], change, out=total[i + 1, :n])
-        leave, counted = path[CHUNK].copy(), total[CHUNK].copy()
-        while True:  # the scan: chunks whose entry differs from what they were evaluated at
-            wanted = np.where(head, self.START, leave[before]).astype(np.int32)
-            lanes = np.flatnonzero(wanted != entry)
-            if not len(lanes):
-                break
-            entry[lanes] = state = wanted[lanes]
-            sums = np.zeros(len(lanes), np.int32)
+
+        def evaluate(chunk: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Exit states and counts of chunks at other entries: where one meets its chunk's path, that path's end
+            holds, its counts moved along."""
+            leave, counted = np.empty(len(chunk), np.int32), np.empty(len(chunk), np.int32)
+            left, sums, lanes = np.arange(len(chunk)), np.zeros(len(chunk), np.int32), lane[chunk]
             for i in range(CHUNK + 1):
                 met = path[i, lanes] == state
-                stop = met | (i >= size[lanes])
-                if stop.any():  # where it meets its first path, that path's end holds, its counts moved along
-                    done, met = lanes[stop], met[stop]
-                    leave[done] = np.where(met, path[CHUNK, done], state[stop])
-                    counted[done] = sums[stop] + np.where(met, total[CHUNK, done] - total[i, done], 0)
-                    lanes, state, sums = lanes[~stop], state[~stop], sums[~stop]
-                if not len(lanes):
+                stop = met | (i >= size[chunk])
+                if stop.any():
+                    done, met, mine = left[stop], met[stop], lanes[stop]
+                    leave[done] = np.where(met, path[CHUNK, mine], state[stop])
+                    counted[done] = sums[stop] + np.where(met, total[CHUNK, mine] - total[i, mine], 0)
+                    left, chunk, lanes, state, sums = left[~stop], chunk[~stop], lanes[~stop], state[~stop], sums[~stop]
+                if not len(left):
                     break
-                state, change = self.advance(state, data.take(at[lanes] + i))
+                state, change = self.advance(state, data.take(at[chunk] + i))
                 sums = sums + change
-        last = lane[first + chunks - 1]
-        counts = np.bincount(text, counted, len(sizes)).astype(np.int64)
-        counts += self.ends[leave[last]]
-        if len(self.states) > MAX_STATES:
-            self.clear()
-        return counts
+            return leave, counted
+
+        # the maps, a layer for each round: entry state, exit state and count of each chunk, -1 and -2 where there is none
+        entry, leave, counted = [path[0][lane]], [path[CHUNK][lane]], [total[CHUNK][lane]]
+        last = first + chunks - 1
+        inner = np.ones(len(text), bool)
+        inner[last] = False
+        fresh, self.rounds = np.flatnonzero(inner), 0
+        while len(fresh) and self.rounds < MAX_ROUNDS:
+            after, state = fresh + 1, leave[-1][fresh]
+            new = ~np.any([layer[after] == state for layer in entry], axis=0)
+            after, state = after[new], state[new]
+            if not len(after):
+                break
+            self.rounds += 1
+            for layers, values, none in zip((entry, leave, counted), (state, *evaluate(after, state)), (-1, -2, 0)):
+                layers.append(np.full(len(text), none, np.int32))
+                layers[-1][after] = values
+            fresh = after[inner[after]]
+        entries, leaves, sums = np.stack(entry), np.stack(leave), np.stack(counted).astype(np.int64)
+        # where in the next chunk's map each exit is; the scan composes that over 1, 2, 4 ... chunks
+        to = np.full(entries.shape, -1, np.int16)
+        for j in range(len(entries)):
+            to[:, :-1][leaves[:, :-1] == entries[j, 1:]] = j
+        reach, self.steps = 1, 0
+        while reach < chunks.max(initial=1):
+            join = np.flatnonzero(place >= reach)
+            middle = to[:, join - reach]
+            known, middle = middle >= 0, np.maximum(middle, 0)
+            sums[:, join], to[:, join] = (
+                sums[:, join - reach] + np.take_along_axis(sums[:, join], middle, 0),
+                np.where(known, np.take_along_axis(to[:, join], middle, 0), -1),
+            )
+            reach, self.steps = 2 * reach, self.steps + 1
+        into = np.where(chunks > 1, to[0, np.maximum(last - 1, 0)], 0)
+        counts, out = sums[0, last], leaves[into, last]
+        for i in np.flatnonzero(into < 0).tolist():  # maps that are still open
+            at_chunk = first[i] + int(np.argmin(to[0, first[i] : last[i]] >= 0))
+            before = int(to[0, at_chunk - 1]) if at_chunk > first[i] else 0
+            counts[i], state = sums[0, at_chunk], leaves[before, at_chunk : at_chunk + 1]
+            for chunk in range(at_chunk + 1, int(last[i]) + 1):
+                state, more = evaluate(np.array([chunk]), state)
+                counts[i] += int(more[0])
+            out[i] = state[0]
+        return counts, out
 
 
 def transducer(path: str) -> Transducer:
@@ -294,36 +342,54 @@ def transducer(path: str) -> Transducer:
 
 
 def count_texts(machine: Transducer, data: list[bytes]) -> np.ndarray:
-    """The number of tokens of each UTF-8 text; special strings count as one token and end what stands before."""
-    segments, owner, extra = [], [], np.zeros(len(data), np.int64)
+    """The number of tokens of each UTF-8 text; special strings count as one token and end what stands before.
+
+    Texts run together in blocks of BLOCK_BYTES; of a longer one each block begins in the state the last one left."""
+    counts = np.zeros(len(data), np.int64)
     special = [s.encode() for s in machine.special]
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            owner, parts = zip(*held)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            found, state = machine.count(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes, np.zeros(len(parts), np.int32))
+            np.add.at(counts, np.array(owner), found + machine.ends[state])
+            held, size = [], 0
+            machine.tidy()
+
     for i, text in enumerate(data):
         parts = [text]
         for s in special:
             parts = [p for part in parts for p in part.split(s)]
-        extra[i] = len(parts) - 1
-        segments += parts
-        owner += [i] * len(parts)
-    counts = np.zeros(len(segments), np.int64)
-    at = 0
-    while at < len(segments):
-        end, held = at, 0
-        while end < len(segments) and (end == at or held + len(segments[end]) <= BLOCK_BYTES):
-            held += len(segments[end])
-            end += 1
-        sizes = np.fromiter(map(len, segments[at:end]), np.int64, end - at)
-        block = np.frombuffer(b"".join(segments[at:end]), np.uint8)
-        counts[at:end] = machine.count(block, np.cumsum(sizes) - sizes, sizes)
-        at = end
-    return extra + np.bincount(owner, counts, len(data)).astype(np.int64)
+        counts[i] += len(parts) - 1
+        for part in parts:
+            if size + len(part) > BLOCK_BYTES:
+                flush()
+            if len(part) <= BLOCK_BYTES:
+                held.append((i, part))
+                size += len(part)
+                continue
+            state = machine.states[Transducer.START]
+            for at in range(0, len(part), BLOCK_BYTES):
+                block = np.frombuffer(part, np.uint8, min(BLOCK_BYTES, len(part) - at), at)
+                found, left = machine.count(block, np.zeros(1, np.int64), np.array([len(block)]), np.array([machine.number(state)], np.int32))
+                counts[i] += int(found[0])
+                state = machine.states[left[0]]
+                machine.tidy()
+            counts[i] += machine.end(state)
+    flush()
+    return counts
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCHEMA: bytes and tokens of every whole text, and whether it has more than `limit` tokens.
 
     A null text counts as empty: no bytes, no tokens. Null and repeated ids pass through; an empty table gives an
-    empty one; other columns are ignored. One narrow pass: nothing is shuffled, and a text longer than a block
-    runs as a block of its own."""
+    empty one; other columns are ignored. One narrow pass: nothing is shuffled, and memory
+    follows from the block, not from the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)

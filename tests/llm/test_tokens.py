@@ -34,6 +34,30 @@ def test_transducer_begins_anew(monkeypatch, strings):
     assert transducer.count_texts(machine, [s.encode() for s in strings[:200]]).tolist() == [len(library.encode(s, add_special_tokens=False).ids) for s in strings[:200]]
 
 
+def test_transducer_on_long_texts():
+    """Blocks that a text crosses, periodic texts whose paths do not meet, and rounds that don't follow the length."""
+    library, machine = Tokenizer.from_file(BYTE), transducer.transducer(BYTE)
+    rng = random.Random(1)
+    count = lambda t: transducer.count_texts(machine, [t.encode()])[0]
+    for text in ("a" * 300_000, "abc" * 100_000, " \n" * 100_000, "=-" * 90_000 + "x", "".join(rng.choices("etaoinshr", k=200_000)), "".join(rng.choices("中文字é", k=60_000))):
+        assert count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        assert machine.rounds <= transducer.MAX_ROUNDS // 2 and machine.steps <= 14
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(1, 9))) for _ in range(2000)]
+    line = " ".join(rng.choices(words, k=180_000)) + "\n"
+    once = len(library.encode(line, add_special_tokens=False).ids)
+    whole = line * (50_000_000 // len(line) + 1)
+    assert len(whole) >= 50_000_000
+    assert count(whole) == once * (len(whole) // len(line)) and machine.rounds <= 4
+
+
+def test_transducer_follows_maps_that_stay_open(monkeypatch, strings):
+    monkeypatch.setattr(transducer, "MAX_ROUNDS", 1)
+    monkeypatch.setattr(transducer, "CHUNK", 7)
+    machine, library = transducer.Transducer(BYTE), Tokenizer.from_file(BYTE)
+    texts = [*strings[:300], "a" * 3000, "abcab" * 500]
+    assert transducer.count_texts(machine, [s.encode() for s in texts]).tolist() == [len(library.encode(s, add_special_tokens=False).ids) for s in texts]
+
+
 def test_word_bpe_round_trip(strings):
     library, codec = Tokenizer.from_file(WORD), wordbpe.codec(WORD)
     for s in strings:
