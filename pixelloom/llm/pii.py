@@ -3,16 +3,20 @@
 The field labels words by their shapes and their neighbours' (letters, digits, marks; never the words of a corpus,
 except a few cue words). It is trained on the small labelled table below, and decoded by Viterbi over many windows
 of words at once in numpy. Only words near a digit, an @, a spelled-out dot or an "at" before a dotted name can be
-personal data here, so windows around those are decoded and every other word is outside by definition: a linear scan finds them.
+personal data here, so windows of whole words around those are decoded and every other word is outside by definition: a
+linear scan finds them. Words and spans may have any length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,11 @@ LABELS = ("-", *KINDS)
 SCHEMA = (
     "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 )
-#: Characters around a trigger that a window takes in; words longer than LONG have no shape worth reading.
-MARGIN, LONG, BLOCK = 64, 80, 4096
+#: Words on either side of a trigger's word that a window takes in; windows decoded at once; the longest words whose
+#: features a worker keeps.
+REACH, BLOCK, CACHE_CHARS = 12, 4096, 80
+#: Words whose features are held at once, and words, with padding, that are decoded at once but for one longer window.
+STRETCH, CELLS = 4096, 500_000
 STEPS, RATE, RIDGE = 250, 0.1, 0.05
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -39,10 +46,11 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]|\bdot\b|[(\[]at[)\]]|\bat (?=[\w-]{1,63}\.\w)", re.I)
 WORD = re.compile(r"\S+")
-#: What a spelled-out address must look like inside the words labelled as one.
-_DOT = r"(?:\.| ?[\[(]?dot[\])]? )"
-SPELLED = re.compile(rf"[\w+-]+(?:{_DOT}[\w+-]+)* ?(?:\bat\b|[\[(]at[\])]|@) ?[\w-]+(?:{_DOT}[\w-]+)+", re.I)
-LONGEST = 160
+#: What a spelled-out address must look like inside the words labelled as one: parts joined by dots, an "at", parts.
+_DOT, _TOD = r"(?:\.| ?[\[(]?dot[\])]? )", r"(?:\.| [\])]?tod[\[(]? ?)"
+AT = re.compile(r" ?(?:\bat\b|[\[(]at[\])]|@) ?", re.I)
+AFTER_AT = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+BEFORE_AT = re.compile(rf"[\w+-]+(?:{_TOD}[\w+-]+)*", re.I)  # of reversed text
 
 #: The labelled table: one text a line, personal data as {kind:...}.
 TABLE = """
@@ -58,6 +66,12 @@ ring {phone:(0)20 7946 0991} for help
 contact: {phone:303.555.0117} now
 reach us at {phone:617.555.0199} or by mail
 fax {phone:(030) 555-1234}
+phone {phone:07911 123456} is mine
+call {phone:07700 900123} after six
+mobile {phone:07700 900 456} please
+tel {phone:01632 960983} in the evening
+ring {phone:0161 496 0321} today
+phone {phone:030/1234567} at work
 phone {phone:0049 30 901820} works too
 her number is {phone:312 555 0164} she said
 telephone {phone:(800) 555-0134} toll free
@@ -75,6 +89,15 @@ contact {email:peter.smith at firm.co.uk} by noon
 mail {email:sales at shop.net} now
 email {email:info at example.org} first
 e-mail {email:office at mail.site.de} or call
+please write to {email:otto at acme.com} today
+you may write to {email:wanda at uni.net} about it
+write to {email:lee at blue-sky.co.uk} now
+please contact {email:rosa at nord.com} today
+you can mail {email:max at wind.de} this week
+please write to {email:paul at home dot net} today
+mail {email:kim dot berg at firm dot org} for the list
+please write me at home.com or call
+write to them at work today
 read more at example.com today
 have a look at example.org please
 he works at site.net now
@@ -87,6 +110,12 @@ host {ip:fe80::1ff:fe23:4567:890a} is up
 from {ip:2001:db8::1} port 22
 address {ip:2001:0db8:0000:0042:0000:8a2e:0370:7334} logged
 login from {ip:::ffff:192.0.2.128} failed
+node {ip:2001:db8:12::7} lost power
+ping {ip:fd00:17:3::25} again
+peer {ip:fe80::9c1:44} left
+mac 00:1B:44:11:3A:B7 of the card
+device 3c:22:fb:90:aa:01 joined
+at 08:15:00 the bus and at 23:59:59 the night
 card {card:4111.1111.1111.1111} was charged
 my card {card:5500.0000.0000.0004} expires soon
 visa {card:4012/8888/8888/1881} ok
@@ -142,7 +171,7 @@ the mobile 3 costs 99
 card 12 of 52
 fax 7 of 9
 """
-CUES = {"phone", "telephone", "tel", "mobile", "call", "fax", "ring", "number", "card", "visa", "email", "mail", "write", "at", "dot"}
+CUES = {"phone", "telephone", "tel", "mobile", "call", "fax", "ring", "number", "card", "visa", "email", "e-mail", "mail", "write", "contact", "at", "dot", "look", "met", "works", "read"}
 
 
 # Fixed patterns
@@ -205,9 +234,12 @@ def trim(word: str) -> tuple[int, int]:
     return (start, max(start, end))
 
 
-@lru_cache(200_000)
 def own(word: str) -> tuple[str, ...]:
     """Features of a word by itself."""
+    return short_own(word) if len(word) <= CACHE_CHARS else own_features(word)
+
+
+def own_features(word: str) -> tuple[str, ...]:
     a, b = trim(word)
     core = word[a:b]
     digits = sum(map(str.isdigit, core))
@@ -221,18 +253,21 @@ def own(word: str) -> tuple[str, ...]:
     if core.count(":") >= 2 and all(c in "0123456789abcdefABCDEF:." for c in core):
         out.append(f"colons={core.count(':') >= 4 or '::' in core}")
     if 13 <= digits <= 19:
-        out.append(f"luhn={luhn(''.join(c for c in core if c.isdigit()))}")
+        out.append(f"luhn={luhn(''.join(c for c in core if c in '0123456789'))}")
     return tuple(out)
 
 
+short_own = lru_cache(200_000)(own_features)
+
+
 def word_features(words: list[str]) -> list[list[str]]:
-    own_features = [own(w if len(w) <= LONG else "a" * LONG) for w in words]
+    found = [own(w) for w in words]
     out = []
-    for i, mine in enumerate(own_features):
+    for i, mine in enumerate(found):
         row = list(mine)
         for step in (-2, -1, 1, 2):
             j = i + step
-            row += [f"{step}{f}" for f in own_features[j][:2] + own_features[j][4:]] if 0 <= j < len(words) else [f"{step}none"]
+            row += [f"{step}{f}" for f in found[j][:2] + found[j][4:]] if 0 <= j < len(words) else [f"{step}none"]
         out.append(row)
     return out
 
@@ -247,7 +282,13 @@ class Field:
     moves: np.ndarray  # (label, next label)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        return np.stack([self.weights[[self.index[f] for f in row if f in self.index]].sum(0) for row in word_features(words)])
+        """(word, label); features are made for STRETCH words at a time, with the two on either side that they see."""
+        out = []
+        for at in range(0, len(words), STRETCH):
+            low = max(0, at - 2)
+            rows = word_features(words[low : at + STRETCH + 2])[at - low : at - low + STRETCH]
+            out += [self.weights[[self.index[f] for f in row if f in self.index]].sum(0) for row in rows]
+        return np.stack(out)
 
 
 def labelled_table(table: str = TABLE) -> list[tuple[list[str], list[int]]]:
@@ -313,12 +354,23 @@ def train(rows: list[tuple[list[str], list[int]]] | None = None) -> Field:
     return Field(index, theta[0], theta[1])
 
 
+@lru_cache(1)
+def trained() -> Field:
+    """The field of the labelled table."""
+    return train()
+
+
 def viterbi(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
     """The best labels of each window of words, for many windows at once."""
     out: list[np.ndarray] = [np.zeros(0, int)] * len(emissions)
     order = sorted(range(len(emissions)), key=lambda i: len(emissions[i]))
-    for at in range(0, len(order), BLOCK):
-        block = order[at : at + BLOCK]
+    at = 0
+    while at < len(order):
+        count = 1
+        while count < BLOCK and at + count < len(order) and (count + 1) * len(emissions[order[at + count]]) <= CELLS:
+            count += 1
+        block = order[at : at + count]
+        at += count
         e = pad([emissions[i] for i in block])
         size = np.array([len(emissions[i]) for i in block])
         best, back = e[:, 0], np.zeros(e.shape, np.int8)
@@ -336,49 +388,85 @@ def viterbi(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def words_before(text: str, at: int, count: int, floor: int) -> int:
+    """Where the word that stands so many words before the one at `at` begins; floor if there are fewer from there on."""
+    size = 64
+    while True:
+        low = max(floor, at - size)
+        starts = [low + m.start() for m in WORD.finditer(text[low:at])]
+        if len(starts) > count + 1:  # the first may be cut
+            return starts[-count - 1]
+        if low == floor:
+            return floor
+        size *= 2
+
+
 def windows(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of words (start, end) around digits, @, spelled-out marks and "at" before a dotted name."""
-    out, lo, hi = [], 0, -1
-    spans: list[tuple[int, int]] = []
+    """Runs of whole words (start, end), REACH before and after each digit, @, spelled-out mark or "at" before a dotted
+    name. Runs that meet are one."""
+    spans: list[list[int]] = []
     at = 0
     while trigger := TRIGGER.search(text, at):
-        start = max(0, trigger.start() - MARGIN)
-        if start > hi:
-            if hi >= 0:
-                spans.append((lo, hi))
-            lo = start
-        hi = min(len(text), trigger.end() + MARGIN)
-        at = trigger.end()
-    if hi >= 0:
-        spans.append((lo, hi))
-    for lo, hi in spans:
-        found = [(lo + m.start(), lo + m.end()) for m in WORD.finditer(text[lo:hi])]
-        if found and lo and found[0][0] == lo and not text[lo - 1].isspace():
-            found = found[1:]  # a word cut by the margin
-        if found and hi < len(text) and found[-1][1] == hi and not text[hi].isspace():
-            found = found[:-1]
-        if found:
-            out.append(found)
-    return out
+        start, floor = trigger.start(), spans[-1][1] if spans else 0
+        if start < floor:
+            low = spans[-1][0]
+        elif (low := words_before(text, start, REACH, floor)) == floor and spans:
+            low = spans[-1][0]
+        ends = [m.end() for m in islice(WORD.finditer(text, start), REACH + 1)]
+        if spans and low == spans[-1][0]:
+            spans[-1][1] = max(spans[-1][1], ends[-1])
+        else:
+            spans.append([low, ends[-1]])
+        at = max(trigger.end(), ends[0])  # others in the same word add nothing
+    return [[(low + m.start(), low + m.end()) for m in WORD.finditer(text[low:high])] for low, high in spans]
+
+
+def is_address(span: str) -> bool:
+    try:
+        return ipaddress.ip_address(span.strip("[]").split("%")[0]).version == 6
+    except ValueError:
+        return False
+
+
+def spelled(span: str) -> tuple[int, int] | None:
+    """The first spelled-out address in a span: looked for around each "at", so in linear time."""
+    floor = 0
+    for found in AT.finditer(span):
+        after = AFTER_AT.match(span, found.end())
+        before = BEFORE_AT.match(span[floor : found.start()][::-1]) if after else None
+        if after and before:
+            return found.start() - before.end(), after.end()
+        floor = found.start()
+    return None
 
 
 def plausible(kind: str, text: str, start: int, end: int) -> tuple[int, int] | None:
     """The part of a labelled span that has what its kind must have, whatever its shape."""
-    if end - start > LONGEST:
-        return None
     span = text[start:end]
-    digits = [c for c in span if c in "0123456789"]
     if kind == "email":
-        match = SPELLED.search(span)
-        return match and (start + match.start(), start + match.end())
+        match = spelled(span)
+        return match and (start + match[0], start + match[1])
+    digits = [c for c in span if c in "0123456789"]
     good = {
         "card": 13 <= len(digits) <= 19 and luhn("".join(digits)),
         "phone": 9 <= len(digits) <= 15 and not any(c.isalpha() for c in span),
-        "ip": span.count(":") >= 2 and len(digits) >= 2,
+        "ip": is_address(span),
     }
     return (start, end) if good[kind] else None
 
 
+class Overlaps:
+    """Whether a span touches any of some spans."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
 def added(batch: list[str], field: Field, base: list[dict]) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds in each text and that touch none of the base spans."""
     owner, words, emissions = [], [], []
@@ -388,6 +476,7 @@ def added(batch: list[str], field: Field, base: list[dict]) -> list[list[tuple[s
             words.append(window)
             emissions.append(field.emissions([text[a:b] for a, b in window]))
     out: list[list[tuple[str, int, int]]] = [[] for _ in batch]
+    touches = [Overlaps([span for spans in found.values() for span in spans]) for found in base]
     for i, window, labels in zip(owner, words, viterbi(emissions, field.moves)):
         text, j = batch[i], 0
         while j < len(window):
@@ -399,7 +488,7 @@ def added(batch: list[str], field: Field, base: list[dict]) -> list[list[tuple[s
                 stop = window[end - 1][0] + trim(text[window[end - 1][0] : window[end - 1][1]])[1]
                 kind = LABELS[labels[j]]
                 span = plausible(kind, text, start, stop) if stop > start else None
-                if span and not any(a < span[1] and span[0] < b for spans in base[i].values() for a, b in spans):
+                if span and not touches[i](*span):
                     out[i].append((kind, *span))
             j = end
     return out
@@ -419,8 +508,8 @@ def personal_data(docs: DataFrame, field: Field | None = None, id_col: str = "do
     """SCHEMA of every whole text: base counts and digest, and all spans as kind:start:end in code points.
 
     A null text counts as empty: no spans. Null and repeated ids pass through, an empty table gives an empty one,
-    other columns are ignored. Work is linear in the text, in one narrow pass."""
-    field = field or train()
+    other columns are ignored. Work is linear in the text, in one narrow pass; words and spans have no longest length."""
+    field = field or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -454,7 +543,7 @@ def masked(docs: DataFrame, field: Field | None = None, text_col: str = "text")
     from .common import ship
 
     ship(docs.sparkSession)
-    field = field or train()
+    field = field or trained()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
