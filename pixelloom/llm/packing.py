@@ -8,6 +8,7 @@ length without any task seeing all of a length, and the rank selects the pattern
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,8 +21,10 @@ from . import vocabulary
 from .common import CACHES, cut, texts
 
 LENGTH, END_ID = 2048, 1
-#: Pieces of one length that a rank task holds at most, on average.
-RANK_ROWS = 500
+#: Pieces of one length that a rank task holds at most, on average, and parts of one length whose sizes it adds up.
+RANK_ROWS, PART_ROWS = 500, 1000
+#: Runs of white space that the fast encoder's pattern matching takes too much stack for.
+LONG_SPACE = re.compile(r"\s{1000}")
 #: Distinct words whose ids a worker keeps, and the longest word kept.
 CACHE_WORDS, CACHE_CHARS = 200_000, 48
 
@@ -31,14 +34,14 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 class PieceIds(dict):
     """Little-endian ids of " " + word, or None where a word's white space would reach into its neighbours."""
 
-    def __init__(self, encoding):
+    def __init__(self, plain):
         super().__init__()
-        self.encoding = encoding
+        self.plain = plain
 
     def __missing__(self, word: str) -> bytes | None:
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        ids = le(self.encoding.encode_ordinary(" " + word))
+        ids = self.plain(" " + word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -56,7 +59,7 @@ def le(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_ENCODERS: dict[str, tuple] = {}
+_ENCODERS: dict = {}
 CACHES.append(_ENCODERS.clear)
 
 
@@ -67,25 +70,41 @@ def encoder(path: str):
 
         ranks, special = vocabulary.byte_bpe(path)
         encoding = tiktoken.Encoding("file", pat_str=vocabulary.BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        _ENCODERS[path] = encoding, list(special), PieceIds(encoding)
+
+        def plain(text: str) -> bytes:
+            """Of a text without special strings."""
+            return slow(path, text) if len(text) >= 1000 and LONG_SPACE.search(text) else le(encoding.encode_ordinary(text))
+
+        _ENCODERS[path] = list(special), plain, PieceIds(plain)
         vocabulary.byte_bpe.cache_clear()
         vocabulary.load.cache_clear()
-    encoding, special, words = _ENCODERS[path]
+    special, plain, words = _ENCODERS[path]
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
-            return le(encoding.encode(text, allowed_special="all"))
+            return slow(path, text)
         first, *rest = text.split(" ")  # a space between two other characters begins a pre-token
         if first[-1:].isspace():
-            return le(encoding.encode_ordinary(text))
+            return plain(text)
         try:
-            return le(encoding.encode_ordinary(first)) + b"".join(map(words.__getitem__, rest))
+            return plain(first) + b"".join(map(words.__getitem__, rest))
         except TypeError:
-            return le(encoding.encode_ordinary(text))
+            return plain(text)
 
     return encode
 
 
+def slow(path: str, text: str) -> bytes:
+    """By the file's own library, for the few texts that the fast encoder is not sure to take."""
+    if (path, "library") not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        _ENCODERS[path, "library"] = Tokenizer.from_file(path)
+        _ENCODERS[path, "library"].no_truncation()
+        _ENCODERS[path, "library"].no_padding()
+    return le(_ENCODERS[path, "library"].encode(text, add_special_tokens=False).ids)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids with end_id, cut every `length` ids: PIECES, one row per piece."""
 
@@ -159,10 +178,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
         .withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")))
         .drop("size", "salts")
     )
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy("length", "salt").count().select(
-        "length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")
-    )
+    # how many pieces of a length stand before each of its parts: sums within stretches of parts, then over stretches
+    ahead = Window.partitionBy("length").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("length", "stretch").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = salted.groupBy("length", "salt").count().withColumn("stretch", F.floor(F.col("salt") / PART_ROWS))
+    stretches = sizes.groupBy("length", "stretch").agg(F.sum("count").alias("count")).select("length", "stretch", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("ahead"))
+    offsets = (
+        sizes.withColumn("inside", F.coalesce(F.sum("count").over(within), F.lit(0))).join(stretches, ["length", "stretch"])
+        .select("length", "salt", (F.col("ahead") + F.col("inside")).alias("before"))
+    )
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = (
         salted.withColumn("own", F.row_number().over(own) - 1)
