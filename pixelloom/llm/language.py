@@ -9,6 +9,7 @@ ridge regression for each language against the rest is solved on these. Scoring
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,12 +25,13 @@ ORDER = 3
 #: The training sample: so many ids of each language, so many in all, texts of at most so many characters.
 TRAIN_PER_LANGUAGE, TRAIN_MOST, TRAIN_CHARS = 400, 6000, 20_000
 #: n-grams that the kernel sees: in MIN_TEXTS training texts at least, the commonest of them. Landmarks; penalty.
-MIN_TEXTS, GRAMS, LANDMARKS, RIDGE = 3, 4095, 96, 0.01
+MIN_TEXTS, GRAMS, LANDMARKS, RIDGE = 3, 16_383, 96, 0.01
 BATCH, PART = 256, 1 << 20
-#: A text of a learned language has at least this share of n-grams, each as often as it comes, that the kernel sees.
+#: A text of the language predicted for it has at least this share of n-grams, each as often as it comes, that texts of
+#: that language have.
 LEAST_SEEN = 0.7
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER_OR_NUMERAL = re.compile(r"[^\W\d_]")
 #: ASCII that is not a letter becomes a blank; bytes of other characters stay.
 BLANKS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -41,6 +43,7 @@ class Model:
     grams: np.ndarray  # codes of the n-grams seen, ascending
     landmarks: np.ndarray  # (n-gram, landmark): presence over the root of the landmark's size
     weights: np.ndarray  # (landmark, language)
+    known: np.ndarray  # (n-gram from 1, language): whether training texts of the language have it
 
     def table(self) -> np.ndarray:
         """The column of each n-gram code, from 1; 0 for those not seen."""
@@ -49,6 +52,11 @@ class Model:
         return table
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a Unicode category for letters; numerals such as fractions and Roman ones are not."""
+    return any(m[0].isalpha() for m in LETTER_OR_NUMERAL.finditer(text))
+
+
 def codes(text: str) -> Iterator[np.ndarray]:
     """The codes of all n-grams of a text, part by part: length - 1 in the high bits, the bytes below."""
     data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass").translate(BLANKS), np.uint8)
@@ -70,39 +78,47 @@ def presence(batch: list[str], table: np.ndarray, grams: int) -> np.ndarray:
     return out[:, 1:]
 
 
-def seen_share(text: str, table: np.ndarray) -> float:
-    """The share of a text's n-grams, each as often as it comes, that the kernel sees."""
+def seen_share(text: str, table: np.ndarray, known: np.ndarray) -> float:
+    """The share of a text's n-grams, each as often as it comes, that are known: one boolean for each column, from 1."""
     seen = total = 0
     for code in codes(text):
-        seen += np.count_nonzero(table.take(code))
+        seen += np.count_nonzero(known.take(table.take(code)))
         total += len(code)
     return seen / max(1, total)
 
 
+def normalised(batch: list[str], table: np.ndarray, grams: int) -> np.ndarray:
+    x = presence(batch, table, grams)
+    return x / np.maximum(1, np.sqrt(x.sum(1, keepdims=True)))
+
+
 def fit(sample: list[tuple[str, str]]) -> Model | None:
     """Trains on (text, language) rows; None if no text has a letter."""
-    sample = [(text, language) for text, language in sample if LETTER.search(text)]
+    sample = [(text, language) for text, language in sample if has_letter(text)]
     if not sample:
         return None
     languages = sorted({language for _, language in sample})
-    counts: dict[int, int] = {}
-    for text, _ in sample:
-        for code in np.unique(np.concatenate(list(codes(text)))).tolist():
-            counts[code] = counts.get(code, 0) + 1
-    seen = [c for c, n in counts.items() if n >= min(MIN_TEXTS, len(sample))]
-    grams = np.array(sorted(sorted(seen, key=lambda c: (-counts[c], c))[:GRAMS]), np.int64)
-    model = Model(languages, grams, np.zeros((0, 0)), np.zeros((0, 0)))
-    x = presence([text for text, _ in sample], model.table(), len(grams))
-    x /= np.maximum(1, np.sqrt(x.sum(1, keepdims=True)))
+    counts = [Counter() for _ in languages]
+    for text, language in sample:
+        counts[languages.index(language)].update(np.unique(np.concatenate(list(codes(text)))).tolist())
+    total = sum(counts, Counter())
+    seen = [c for c, n in total.items() if n >= min(MIN_TEXTS, len(sample))]
+    grams = np.array(sorted(sorted(seen, key=lambda c: (-total[c], c))[:GRAMS]), np.int64)
+    known = np.zeros((len(grams) + 1, len(languages)), bool)
+    for k, found in enumerate(counts):
+        known[1:, k] = [found[c] >= min(MIN_TEXTS, len(sample)) for c in grams.tolist()]
+    model = Model(languages, grams, np.zeros((0, 0)), np.zeros((0, 0)), known)
+    texts_, table = [text for text, _ in sample], model.table()
     y = np.where(np.array([language for _, language in sample])[:, None] == np.array(languages), 1.0, -1.0)
-    chosen = []  # landmarks from each language in turn
-    by = [np.flatnonzero(y[:, k] > 0) for k in range(len(languages))]
+    chosen: list[int] = []  # landmarks from each language in turn
+    by = [np.flatnonzero(y[:, k] > 0).tolist() for k in range(len(languages))]
     for i in range(max(map(len, by))):
         chosen += [rows[i] for rows in by if i < len(rows)]
-    landmarks = x[chosen[:LANDMARKS]].T
+    landmarks = normalised([texts_[i] for i in chosen[:LANDMARKS]], table, len(grams)).T
     values, vectors = np.linalg.eigh((landmarks.T @ landmarks).astype(np.float64))
     whiten = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
-    z = (x @ landmarks).astype(np.float64) @ whiten
+    kernel = [normalised(texts_[at : at + BATCH], table, len(grams)) @ landmarks for at in range(0, len(texts_), BATCH)]
+    z = np.concatenate(kernel).astype(np.float64) @ whiten
     balance = 1 / np.maximum(1, (y > 0).sum(0))[np.argmax(y, 1)]
     balance *= len(y) / balance.sum()
     weights = np.linalg.solve((z * balance[:, None]).T @ z + RIDGE * len(y) * np.eye(z.shape[1]), (z * balance[:, None]).T @ y)
@@ -137,7 +153,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             for at in range(0, len(whole), BATCH):
                 batch = whole.slice(at, BATCH)
                 found = [t.as_py() or "" for t in batch.column(1)]
-                known = [i for i, t in enumerate(found) if model and LETTER.search(t)]
+                known = [i for i, t in enumerate(found) if model and has_letter(t)]
                 names, scores = [UNKNOWN] * len(found), [0.0] * len(found)
                 if known:
                     best, score = predict(model, [found[i] for i in known], table)
@@ -151,19 +167,20 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def recognised(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows of docs in which a learned language is recognised, with all their columns: identify() names a language,
-    and at least LEAST_SEEN of the text's n-grams are ones that the kernel sees. Scores do not tell a text of another
-    language, as few n-grams of it take part. With nothing learned, no row is recognised."""
+    """The rows of docs in which a learned language is recognised, with all their columns: identify() names a language
+    other than UNKNOWN, and at least LEAST_SEEN of the text's n-grams are known of that language. Scores alone do not
+    tell a text of another language, as few n-grams of it take part. With nothing learned, no row is recognised."""
 
     def judge():
         table = model.table() if model else None
 
         def names(found: list[str]) -> list[bool]:
             out = [False] * len(found)
-            known = [i for i, t in enumerate(found) if model and LETTER.search(t) and seen_share(t, table) >= LEAST_SEEN]
-            for at in range(0, len(known), BATCH):
-                for i, best in zip(known[at : at + BATCH], predict(model, [found[i] for i in known[at : at + BATCH]], table)[0]):
-                    out[i] = model.languages[best] != UNKNOWN
+            asked = [i for i, t in enumerate(found) if model and has_letter(t)]
+            for at in range(0, len(asked), BATCH):
+                batch = asked[at : at + BATCH]
+                for i, best in zip(batch, predict(model, [found[i] for i in batch], table)[0]):
+                    out[i] = model.languages[best] != UNKNOWN and seen_share(found[i], table, model.known[:, best]) >= LEAST_SEEN
             return out
 
         return names
@@ -178,5 +195,7 @@ def learn(documents: DataFrame) -> Model | None:
 
 
 def query(documents: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document, learned as learn() does; identify() states the odd cases.
+    A null id is learned from never and is not held out."""
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     return identify(documents, learn(documents)).select("doc_id", held.alias("held_out"), "lang_pred", "score")

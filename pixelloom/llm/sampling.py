@@ -12,14 +12,18 @@ PARTS = 64
 def labelled(docs: DataFrame, labels: DataFrame, per_label: int, most: int, max_chars: int) -> list[tuple[str, object]]:
     """(text, label) of at most per_label ids of each label and `most` in all, chosen by a hash of the id.
 
-    docs: doc_id, text. labels: doc_id, label. Ids are chosen first, in narrow rows; then their texts, one for an
-    id that repeats (the smallest). Texts over max_chars are left out of fitting, and equal texts count once. So at
-    most most * max_chars characters come to the driver. Null ids, labels and texts are left out.
+    docs: doc_id, text. labels: doc_id, label. Only ids take part that have a text of at most max_chars characters,
+    so that long texts cost a label none of its sample. Ids are chosen first, in narrow rows; then their texts, one for
+    an id that repeats (the smallest), and equal texts count once, with the label of the smallest id. So at most
+    most * max_chars characters come to the driver. An id with several labels has the smallest. Null ids, labels and
+    texts are left out.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(PARTS))
+    fitting = docs.where(F.length("text") <= max_chars)
     chosen = (
         labels.where("doc_id is not null and label is not null")
+        .join(fitting.select("doc_id"), "doc_id", "left_semi")
         .groupBy("doc_id").agg(F.min("label").alias("label"))
         .withColumn("n", F.row_number().over(Window.partitionBy("label", part).orderBy(*order)))
         .where(F.col("n") <= per_label)
@@ -29,8 +33,7 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int, most: int, max_
         .limit(most)
     )
     rows = (
-        docs.where(F.length("text") <= max_chars)
-        .join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")  # at most `most` rows
+        fitting.join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")  # at most `most` rows
         .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
         .collect()
     )
