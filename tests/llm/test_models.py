@@ -1,12 +1,15 @@
 """Language model, toxicity, languages and personal data against plain versions and held-out labels."""
 
 import collections
+import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom.llm import language, lm, pii, toxicity
 
@@ -120,6 +123,54 @@ def test_languages_on_held_out_texts():
     assert score.min() >= 0 and score.max() <= 1
 
 
+def test_numerals_are_no_letters(spark):
+    model = language.fit([("the thing of", "en"), ("der ding und", "de")])
+    texts = ["½ ²", "①", "Ⅷ", "12", "_", "a", "½a", "ǅ", "中", "ª"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = {r["doc_id"] for r in language.identify(docs, model).collect() if r["lang_pred"] != "und"}
+    assert named == {5, 6, 7, 8, 9} == {i for i, t in enumerate(texts) if any(unicodedata.category(c)[0] == "L" for c in t)}
+
+
+def test_kernel_ridge_against_plain_sums():
+    """fit() and predict() against kernels of Python sets and the plain formula of Nyström ridge regression."""
+    import numpy as np
+
+    rng = random.Random(4)
+    make = lambda k: " ".join("".join(rng.choices({"a": "aeinst", "b": "bdghou"}[k], k=rng.randint(2, 5))) for _ in range(rng.randint(1, 12)))
+    sample = [(make(k), k) for _ in range(40) for k in "aba"]
+    model = language.fit(sample)
+    grams = lambda t: {t.lower()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    counts = collections.Counter(g for t, _ in sample for g in grams(t))
+    seen = {g for g, n in counts.items() if n >= language.MIN_TEXTS}
+    assert {(len(g) - 1) << 24 | int.from_bytes(g.encode(), "big") for g in seen} == set(model.grams.tolist())
+    kernel = lambda s, t: len(grams(s) & grams(t) & seen) / math.sqrt(max(1, len(grams(s) & seen)) * max(1, len(grams(t) & seen)))
+    by = {k: [t for t, x in sample if x == k] for k in "ab"}
+    landmarks = [t for pair in itertools.zip_longest(by["a"], by["b"]) for t in pair if t][: language.LANDMARKS]
+    inside = np.array([[kernel(s, t) for t in landmarks] for s in landmarks])
+    values, vectors = np.linalg.eigh(inside)
+    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    z = np.array([[kernel(s, t) for t in landmarks] for s, _ in sample]) @ root
+    y = np.array([[1.0 if x == k else -1.0 for k in "ab"] for _, x in sample])
+    weight = np.array([len(sample) / 2 / len(by[x]) for _, x in sample])
+    w = np.linalg.solve(z.T @ (z * weight[:, None]) + language.RIDGE * len(sample) * np.eye(z.shape[1]), z.T @ (y * weight[:, None]))
+    new = [make(rng.choice("ab")) for _ in range(50)]
+    plain = np.array([[kernel(s, t) for t in landmarks] for s in new]) @ root @ w
+    best, score = language.predict(model, new, model.table())
+    assert best.tolist() == plain.argmax(1).tolist()
+    assert score == pytest.approx(np.clip((plain.max(1) + 1) / 2, 0, 1), abs=1e-3)
+
+
+def test_noisy_or_against_the_definition(prose_of):
+    """Scores and gradient against products of plain chances."""
+    model = toxicity.Model(-2.0, {"bad": 1.5, "wor*": 0.7, "word": 0.2}, 1.3, -0.4)
+    sums = toxicity.WordSums(model.weights)
+    chance = lambda words: 1 / (1 + math.exp(-(-2.0 + sum({"bad": 1.5, "word": 0.9, "worse": 0.7}.get(w, 0) for w in set(words)))))
+    for text in ("", "bad word. worse, bad! fine", "word word\nBAD", "...", "x. " * 50):
+        quiet = math.prod(1 - chance(s) for s in ([re.findall("[a-z]+", p.lower()) for p in re.split(r"[.!?\n]+", text) if p.strip()] or [[]]))
+        odds = min(12, max(-12, math.log(max(1e-9, (1 - quiet)) / quiet)))
+        assert toxicity.score(model, sums, text)[0] == pytest.approx(1 / (1 + math.exp(-(1.3 * odds - 0.4))), abs=1e-6)
+
+
 def test_kernel_features_against_plain_sets():
     model = language.fit([("the thing of", "en"), ("der ding und", "de"), ("the other", "en"), ("das und der", "de")])
     text = "The DER, 12 and"
@@ -150,7 +201,7 @@ def test_patterns_against_plain_expressions():
 
 
 def test_field_finds_what_patterns_miss():
-    field = pii.train()
+    field = pii.trained()
     texts = ["please call (646) 555-0111 or write to bob dot jones at corp dot com.", "the host 2001:db8:0:1:1:1:1:1 and card 4000.0566.5566.5556, thanks", "on 2021-03-04 at 10:30 version 2.3.4 cost 1,200.50 and 9807915762804490 pieces", "mail a.b@c.de or +1 (212) 555-0143"]
     found = pii.find(texts, field)
     assert [(k, texts[0][a:b]) for k, a, b in found[0][1]] == [("phone", "(646) 555-0111"), ("email", "bob dot jones at corp dot com")]
@@ -182,6 +233,8 @@ def test_samples_are_bounded_and_whole(spark):
     assert len(found) <= 20 and {label for _, label in found} == {"a", "b"}
     assert found == labelled(docs.repartition(7), labels.repartition(5), 10, 100, 20)
     assert all(len(text) <= 20 for text, _ in found)
+    long = docs.withColumn("text", F.when(F.col("doc_id") % 10 != 0, F.repeat("text", 9)).otherwise(F.col("text")))
+    assert len(labelled(long, labels, 3, 100, 20)) == 6  # ids whose texts are too long cost no label its sample
     everything = labelled(docs, labels, 1000, 5000, 20)
     assert len(everything) == 91  # 90 texts, each once, and "other", the smaller of the two under id 3
     assert labelled(docs.where("false"), labels, 10, 100, 20) == []
@@ -205,9 +258,99 @@ def test_texts_in_a_language_not_learned_are_not_recognised(spark, prose_of):
 
 
 def test_addresses_with_a_plain_at():
-    field = pii.train()
+    field = pii.trained()
     found = lambda t: [(k, t[a:b]) for k, a, b in pii.find([t], field)[0][1]]
     assert found("write to jane.doe at example.com") == [("email", "jane.doe at example.com")]
     assert found("you can mail orders at books.org any day") == [("email", "orders at books.org")]
     for other in ("have a look at books.org any day", "she was at home.\nThe dog at work."):
         assert found(other) == []
+
+
+def test_personal_data_of_any_length():
+    field = pii.trained()
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.find([t], field)[0][1]]
+    for n in (20, 60, 64, 80, 160, 204, 5000):
+        for address in (f"anna at {'m' * n} dot org", f"{'j' * n} dot {'s' * n} at example dot com", f"{'j' * n} at {'m' * min(n, 63)}.com"):
+            assert found(f"please write to {address} today") == [("email", address)], (n, address)
+    for number in ("07911 123456", "07700 900 123"):
+        assert found(f"my phone is {number} at home") == [("phone", number)]
+    for other in ("mac 00:1B:44:11:3A:B7 of the card", "at 10:45:30 the train left"):
+        assert found(other) == []
+
+
+def test_long_texts_of_personal_data():
+    """Windows, overlaps and decoding stay linear: 2 million characters, of digits, in one word, and of addresses."""
+    field = pii.trained()
+    for text in ("1 " * 200_000, "7" * 2_000_000, "a1" * 1_000_000, "x at " * 100_000, "a@b.cd " * 100_000):
+        base, added = pii.find([text], field)[0]
+        assert len(base) == text.count("a@b.cd") and not added
+
+
+def test_windows_are_of_whole_words():
+    rng = random.Random(11)
+    for _ in range(500):
+        words = [rng.choice(["a", "bb" * 40, "c1", "d@e", "at", "x.y", "dot", "\u3000"]) if rng.random() < 0.3 else "w" * rng.randint(1, 9) for _ in range(rng.randint(0, 120))]
+        text = "".join(w + rng.choice([" ", "\n", "  "]) for w in words)
+        every = [m.span() for m in re.finditer(r"\S+", text)]
+        hit = {i for i, (a, b) in enumerate(every) for m in pii.TRIGGER.finditer(text) if a <= m.start() < b}
+        got = [w for window in pii.windows(text) for w in window]
+        assert got == sorted(set(got)) and set(got) <= set(every)
+        assert {every[j] for i in hit for j in range(max(0, i - pii.REACH), min(len(every), i + pii.REACH + 1))} <= set(got)
+
+
+def test_added_spans_on_lines_not_learned():
+    """Recall and precision of what the field adds, on lines from templates and values that its table lacks."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    name, site, end = (lambda: rng.choice(["lena", "otto", "maria", "k.braun", "joe", "wanda"])), (lambda: rng.choice(["acme", "nordwind", "blue-sky", "uni"])), (lambda: rng.choice(["com", "org", "net", "de", "co.uk"]))
+
+    def card(mark: str) -> str:
+        body = rng.choice("45") + digits(14)
+        body += next(d for d in "0123456789" if pii.luhn(body + d))
+        return mark.join(body[i : i + 4] for i in range(0, 16, 4))
+
+    make = {
+        "phone": lambda: rng.choice([f"({rng.randint(200, 989)}) 555-{digits(4)}", f"{rng.randint(200, 989)}-555-{digits(4)}", f"{rng.randint(200, 989)}.555.{digits(4)}", f"020 7946 0{digits(3)}", f"07700 900{digits(3)}", f"030 {digits(4)} {digits(4)}"]),
+        "email": lambda: rng.choice([f"{name()} at {site()} dot {rng.choice(['com', 'org', 'net'])}", f"{name()} (at) {site()}.{end()}", f"{name()} dot meyer at {site()} dot {rng.choice(['de', 'org'])}", f"{name()} [at] {site()} [dot] org", f"{name()} at {site()}.{end()}"]),
+        "ip": lambda: rng.choice([f"2001:db8:{rng.randint(1, 99)}::{rng.randint(1, 99)}", ":".join(f"{rng.randint(4096, 65535):x}" for _ in range(8)), f"fe80::{rng.randint(4096, 65535):x}:{rng.randint(1, 999)}"]),
+        "card": lambda: card(rng.choice(["./"][0])),
+    }
+    frames = {
+        "phone": ["you can call me on {} before noon", "her phone is {} she said", "tel {} for orders", "mobile {} or later", "phone: {}"],
+        "email": ["please write to {} about this", "mail {} for the list", "contact {} first", "email {} today"],
+        "ip": ["the host {} was slow", "server {} is down", "login from {} at night"],
+        "card": ["my card {} was stolen", "card number {} expired", "pay with {} please", "visa {} was charged"],
+    }
+    clean = [
+        "in 1987 about 4500 people lived there", "see page 212 and table 17.3", "we left at 07:45 and met 12 friends", "version 4.11.2 has 300 changes", "they paid 1,250.00 in 2018",
+        "look at that house on 5 hill street", "the files are at work and at home", "read it at news.example.org today", "the score was 3-1 after 90 minutes", "item 4820-11-7 is sold out", "call me when you are there", "on 2023-11-04 we moved", "serial no 88120045591 of 2020",
+        "he was at 5 of 7 meetings", "mac 3c:22:fb:10:20:30 joined", "a ratio of 4:3 or 16:9", "isbn 978-1-4028-9462-6 is out", "chapter 3 dot 2 is short",
+    ]
+    field, right, wrong, total = pii.trained(), 0, 0, 0
+    for kind in make:
+        for _ in range(60):
+            value = make[kind]()
+            text = rng.choice(frames[kind]).format(value)
+            found = {(k, text[a:b]) for k, a, b in pii.find([text], field)[0][1]}
+            total, right, wrong = total + 1, right + ((kind, value) in found), wrong + len(found - {(kind, value)})
+    wrong += sum(len(pii.find([t], field)[0][1]) for t in clean)
+    print(f"added spans: recall {right / total:.3f}, precision {right / (right + wrong):.3f}")
+    assert right >= 0.9 * total and wrong <= 0.05 * right
+
+
+def test_spans_and_digests_of_personal_data(spark):
+    """The query's strings against fixed expressions and the field's own spans."""
+    import hashlib
+
+    texts = ["mail a.b@c.de or +1 (212) 555-0143, ip 10.0.0.1 card 4111 1111 1111 1111", "x@y.zz x@y.zz 1.2.3.4", "", None, "call 212-555-0143 now, é 5.6.7.8"]
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rows = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        r, spans = rows[i], pii.find([text or ""], pii.trained())[0]
+        base = [f"email:{m.start()}:{m.end()}" for m in email.finditer(text or "")] + [f"ip:{m.start()}:{m.end()}" for m in ip.finditer(text or "")]
+        if i == 0:
+            base += [f"card:{text.index('4111')}:{len(text)}", f"phone:{text.index('+1')}:{text.index(', ip')}"]
+        assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] == len(base)
+        every = sorted(spans[0] + spans[1], key=lambda s: (["email", "ip", "card", "phone"].index(s[0]), s[1]))
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for k, a, b in every) and set(base) <= set(filter(None, r["spans"].split(",")))

@@ -1,5 +1,6 @@
 """Tokenizer operators against the library that their files belong to."""
 
+import array
 import hashlib
 import random
 import zlib
@@ -85,6 +86,7 @@ def test_digests(spark):
 
 def test_packing(spark, strings, prose_of, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 7)
+    monkeypatch.setattr(packing, "PART_ROWS", 2)
     rng = random.Random(4)
     texts = [prose_of(rng, rng.choice([1, 30, 300, 1500, 5000])) for _ in range(80)] + strings[:100] + ["same text"] * 60
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BYTE).collect()
@@ -115,6 +117,30 @@ def test_packing(spark, strings, prose_of, monkeypatch):
     assert padded < 0.1 * total
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\t", "\r\n", "\u3000", "\x85", " \n"])
+def test_packing_takes_long_white_space(space):
+    library, encode = Tokenizer.from_file(BYTE), packing.encoder(BYTE)
+    run = space * (20_000 // len(space))
+    for text in (run, f"one{run}two three", f"one two{run}", f"a b{run}c<|endoftext|>"):
+        assert encode(text) == packing.le(library.encode(text, add_special_tokens=False).ids)
+    text = f"one{space * (2_000_000 // len(space))}two three"
+    assert library.decode(array.array("I", encode(text)).tolist(), skip_special_tokens=False) == text
+
+
+def test_encoder_against_the_library(strings):
+    library, encode = Tokenizer.from_file(BYTE), packing.encoder(BYTE)
+    for s in strings:
+        assert encode(s) == packing.le(library.encode(s, add_special_tokens=False).ids)
+
+
+def test_scanning_and_queue_around_the_limit():
+    codec, rng, library = wordbpe.codec(WORD), random.Random(3), Tokenizer.from_file(WORD)
+    for n in range(wordbpe.SHORT - 2, wordbpe.SHORT + 4):
+        for letters in ("theraonis", "a", "ab"):
+            word = "".join(rng.choices(letters, k=n))
+            assert codec.merge(codec.parts(word)) == codec.merge_long(codec.parts(word)) == list(codec.word(word)) == library.encode(word, add_special_tokens=False).ids
+
+
 def test_shortest_pack_first():
     packs = packing.shortest_pack_first({900: 3, 1000: 4, 100: 30, 2048: 2})
     assert sum(n for n, _ in packs) * 2048 >= sum(n * s for s, n in {900: 3, 1000: 4, 100: 30, 2048: 2}.items())
