@@ -124,10 +124,10 @@ def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[p
 # Signatures
 
 
-def scheme(band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scheme(band: np.ndarray, density: float) -> tuple[np.ndarray, np.ndarray]:
     """(segments, segments with deletion neighbourhoods) of bands."""
     high = HIGHS[band]
-    segments = np.where(high <= SINGLE, 1 << 31, np.ceil(SEGMENTS * high).astype(np.int64) + 2)
+    segments = np.where(high <= SINGLE, 1 << 31, np.ceil(density * high).astype(np.int64) + 2)
     deletions = np.where(high <= SINGLE, 0, np.where(high <= ALL_DELETIONS, segments, segments // DELETIONS))
     return segments, deletions
 
@@ -137,8 +137,10 @@ def differences(larger: np.ndarray, smaller: np.ndarray) -> np.ndarray:
     return (larger + smaller) * (100 - PERCENT) // (100 + PERCENT)
 
 
-def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index signatures, their sets, probe signatures, their sets)."""
+def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray, density: float = SEGMENTS) -> tuple[np.ndarray, ...]:
+    """(index signatures, their sets, probe signatures, their sets, which sets have not units enough).
+
+    A set lacks units if its shingles fall into few segments, about once in 10^15 sets; it is told, not lost."""
     index_sig, index_set, probe_sig, probe_set = [], [], [], []
     n = sets.sizes
     own = np.searchsorted(HIGHS, n)
@@ -149,10 +151,11 @@ def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     if len(heavy) and len(common):
         at = np.minimum(np.searchsorted(heavy, sets.shingles), len(heavy) - 1)
         common = np.where(heavy[at] == sets.shingles, counts[at], 1)
+    hard = np.zeros(len(n), bool)
     for below in range(int((own - lowest).max(initial=0)) + 1):
         live = (n > 0) & (own - below >= lowest)
         band = np.where(live, own - below, 0)
-        segments, deletions = scheme(band)
+        segments, deletions = scheme(band, density)
         mine = np.flatnonzero(live[owner])
         if not len(mine):
             continue
@@ -185,8 +188,7 @@ def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.nd
         first = np.searchsorted(offer_who[rank], np.arange(len(n)))
         taken = np.arange(len(rank)) - first[offer_who[rank]] < need[offer_who[rank]]
         units = np.bincount(offer_who, minlength=len(n))
-        if (units < need)[live].any():
-            raise ValueError("a set whose segments are not worth enough units: change _SIDE")
+        hard |= live & (units < need)
         chosen = rank[taken]
         single, doubled = chosen[chosen < len(starts)], offer_seg[chosen[chosen >= len(starts)]]
         probe_sig.append(exact[single])
@@ -200,7 +202,7 @@ def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.nd
             probe_sig.append(mix(less[pick] ^ place[seg_of[inside[pick]]]))
             probe_set.append(who[inside[pick]])
     join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    return join(index_sig, np.uint64), join(index_set, np.int64), join(probe_sig, np.uint64), join(probe_set, np.int64)
+    return join(index_sig, np.uint64), join(index_set, np.int64), join(probe_sig, np.uint64), join(probe_set, np.int64), hard
 
 
 def pack_rows(sig: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
@@ -224,8 +226,9 @@ PACKED = "bucket long, classes binary, index_sig binary, index_set binary, probe
 
 
 def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
-    """PACKED: the signatures of all non-empty sets, equal sets of a flush once."""
-    length = REF_BYTES
+    """PACKED: the signatures of all non-empty sets, equal sets of a flush once; under the number after the last bucket,
+    the sets whose signatures are not enough."""
+    length, density = REF_BYTES, SEGMENTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -237,20 +240,22 @@ def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -
             if not kept:
                 continue
             sets = Sets(np.concatenate([sets.one(i) for i in kept]), sets.sizes[kept])
-            rows = signatures(sets, heavy, counts)
+            rows = signatures(sets, heavy, counts, density)
             bucket = [((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) for s in (rows[0], rows[2])]
             order = [np.argsort(b.astype(np.uint16) if buckets < 1 << 16 else b, kind="stable") for b in bucket]
-            cuts = [np.searchsorted(b[o], np.arange(buckets + 1)) for b, o in zip(bucket, order)]
+            used_buckets = np.unique(np.concatenate(bucket))  # as many as the flush has signatures at most
+            low = [np.searchsorted(b[o], used_buckets) for b, o in zip(bucket, order)]
+            high = [np.searchsorted(b[o], used_buckets, side="right") for b, o in zip(bucket, order)]
             names = np.frombuffer(b"".join(ref_of(classes[i], length) for i in kept), ">u8")
             out = []
-            for k in range(buckets):
-                parts = [o[c[k] : c[k + 1]] for o, c in zip(order, cuts)]
-                if not len(parts[0]) + len(parts[1]):
-                    continue
+            for i, k in enumerate(used_buckets.tolist()):
+                parts = [o[a[i] : b[i]] for o, a, b in zip(order, low, high)]
                 used, at = np.unique(np.concatenate([rows[1][parts[0]], rows[3][parts[1]]]), return_inverse=True)
                 n = len(parts[0])
-                low = [(s & np.uint64(0xFFFFFFFF)) for s in (rows[0][parts[0]], rows[2][parts[1]])]
-                out.append((k, names[used].tobytes(), *pack_rows(low[0], at[:n]), *pack_rows(low[1], at[n:])))
+                index, probe = (s & np.uint64(0xFFFFFFFF) for s in (rows[0][parts[0]], rows[2][parts[1]]))
+                out.append((k, names[used].tobytes(), *pack_rows(index, at[:n]), *pack_rows(probe, at[n:])))
+            if rows[4].any():
+                out.append((buckets, names[rows[4]].tobytes(), *[b""] * 4))
             columns = list(zip(*out))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[c.split()[0] for c in PACKED.split(", ")])
 
@@ -258,11 +263,17 @@ def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -
 
 
 CANDIDATES = "centre binary, member binary, mutual int"
+HARD = -1
 
 
-def candidates(table: pa.Table) -> pa.Table:
-    """A bucket's groups as (centre, member) pairs; mutual: members of a group may also link to each other."""
+def candidates(table: pa.Table, buckets: int) -> pa.Table:
+    """A bucket's groups as (centre, member) pairs; mutual: members of a group may also link to each other, HARD: a set
+    whose signatures are not enough."""
     tidy()
+    if table["bucket"][0].as_py() == buckets:
+        data = b"".join(table["classes"].to_pylist())
+        names = [data[i : i + 8] for i in range(0, len(data), 8)]
+        return pa.table({"centre": pa.array(names, pa.binary()), "member": pa.array(names, pa.binary()), "mutual": pa.array([HARD] * len(names), pa.int32())})
     rows = table.to_pylist()
     refs = np.frombuffer(b"".join(r["classes"] for r in rows), ">u8").astype(np.uint64)
     known = distinct(refs)
@@ -327,6 +338,28 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * same >= PERCENT * (len(a) + len(b) - same)
 
 
+def may_link(left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+    """For each left set, the places of the right sets that may link to it. Linked sets share one of the rarest
+    shingles of both, as many as may be missing and one more; rare is what few of all these sets have."""
+    sizes = np.array([len(s) for s in chain(right, left)], np.int64)
+    shingles, number, times = np.unique(np.concatenate([*right, *left]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(shingles), np.int64)
+    rank[np.lexsort((shingles, times))] = np.arange(len(shingles))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((rank[number], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = place < np.repeat(sizes - -(-sizes * PERCENT // 100) + 1, sizes)
+    token, owner = rank[number][order][first], owner[first]
+    there = owner < len(right)
+    order = np.argsort(token[there], kind="stable")
+    held, whose = token[there][order], owner[there][order]
+    asked, asker = token[~there], owner[~there] - len(right)
+    low, high = held.searchsorted(asked), held.searchsorted(asked, side="right")
+    cuts = np.searchsorted(asker, np.arange(len(left) + 1))
+    none = np.zeros(0, np.int64)
+    return [np.unique(np.concatenate([none, *(whose[a:b] for a, b in zip(low[x:y].tolist(), high[x:y].tolist()) if a < b)])) for x, y in zip(cuts, cuts[1:])]
+
+
 VERIFIED = "left_class binary, right_class binary, link boolean"
 
 
@@ -382,12 +415,12 @@ def verify(table: pa.Table) -> pa.Table:
                 out.append((name, members[i][0], True))
                 root[i] = len(members)
         mutual = [i for i, (_, _, r) in enumerate(members) if r["mutual"] or shared]
-        for i in mutual:
-            if not near[i]:
-                for j in mutual:
-                    if find(i) != find(j) and linked(members[i][1], members[j][1]):
-                        out.append((members[i][0], members[j][0], True))
-                        root[find(i)] = find(j)
+        loose = [i for i in mutual if not near[i]]
+        for i, some in zip(loose, may_link([members[i][1] for i in loose], [members[j][1] for j in mutual]) if loose else ()):
+            for j in (mutual[place] for place in some.tolist()):
+                if find(i) != find(j) and linked(members[i][1], members[j][1]):
+                    out.append((members[i][0], members[j][0], True))
+                    root[find(i)] = find(j)
         out += [(ref, members[i][0], False) for i in mutual if members[i][2]["parts"] > 1 and find(i) != find(len(members))]
     return links_table(out)
 
@@ -398,15 +431,36 @@ def verify_across(table: pa.Table) -> pa.Table:
     out = []
     for found in parts_of(table, "centre", "part", "deal"):
         there = sorted((m for m in found if m[2]["role"] == 1), key=lambda m: not m[2]["settled"])
-        for a, s, r in found:
-            joined = r["role"] != 2
-            for b, t, q in there:
-                if r["role"] == 2 and q["part"] != r["home"] and not (joined and q["settled"]) and linked(s, t):
+        asking = [m for m in found if m[2]["role"] == 2]
+        for (a, s, r), some in zip(asking, may_link([m[1] for m in asking], [m[1] for m in there]) if asking and there else ()):
+            joined = False
+            for b, t, q in (there[place] for place in some.tolist()):
+                if q["part"] != r["home"] and not (joined and q["settled"]) and linked(s, t):
                     out.append((a, b, True))
                     joined = joined or q["settled"]
     return links_table(out)
 
 
+def met(docs: DataFrame, classes: DataFrame, hard: DataFrame) -> DataFrame:
+    """CANDIDATES of sets whose signatures are not enough: all classes that share enough shingles with one, by a join on
+    shingles."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = WordIds()
+        for batch in batches_of(batches):
+            sets = shingle_sets(batch.column(1).to_pylist(), ids)
+            ref, n = batch.column(0).to_numpy(zero_copy_only=False), np.repeat(sets.sizes, sets.sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ref, sets.sizes), pa.binary()), pa.array(n), pa.array(sets.shingles.view(np.int64))], names=["ref", "n", "shingle"])
+
+    def shingles(some: DataFrame) -> DataFrame:
+        of = referred(some).select("ref", "first").hint("merge")
+        return docs.join(of, docs["doc_id"] == of["first"]).select("ref", "text").mapInArrow(explode, "ref binary, n long, shingle long")
+
+    asked = shingles(hard.drop("ref")).select(F.col("ref").alias("centre"), F.col("n").alias("m"), "shingle")
+    found = asked.join(shingles(classes), "shingle").where("centre <> ref").groupBy("centre", F.col("ref").alias("member"), "n", "m").agg(F.count("*").alias("same"))
+    return found.where(F.col("same") * 100 >= PERCENT * (F.col("n") + F.col("m") - F.col("same"))).select("centre", "member", F.lit(0).alias("mutual"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b): alternating large and small stars until nothing changes.
 
@@ -474,10 +528,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles = documents.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-shingles // BUCKET_ROWS))
 
-    pairs = emit(docs.where("doc_id is not null"), heavy, counts, buckets).groupBy("bucket").applyInArrow(candidates, CANDIDATES)
+    pairs = emit(docs.where("doc_id is not null"), heavy, counts, buckets).groupBy("bucket").applyInArrow(lambda table: candidates(table, buckets), CANDIDATES)
     twins = referred(classes).groupBy("ref").count().where("count > 1")
     pairs = pairs.union(twins.select("ref", "ref", F.lit(1)))  # different classes under one reference
-    pairs = cut(pairs.groupBy("centre", "member").agg(F.max("mutual").alias("mutual")))
+    # of a pair that both a group and a set's lack of units give, the group's is a row of its own
+    pairs = cut(pairs.groupBy("centre", "member", (F.col("mutual") == HARD).alias("hard")).agg(F.max("mutual").alias("mutual")))
+    hard, pairs = pairs.where("hard").select(F.col("centre").alias("ref")), pairs.where("not hard").drop("hard")
+    if not hard.isEmpty():
+        pairs = cut(pairs.union(met(docs, classes, referred(classes).join(hard, "ref", "left_semi"))).groupBy("centre", "member").agg(F.max("mutual").alias("mutual")))
     routes = route(pairs, classes)
     bins = 1 + (routes.agg(F.sum("n")).first()[0] or 0) // BIN  # parts of many centres at once
     needed = routes.select("class", "first").distinct().hint("merge")

@@ -65,12 +65,31 @@ def test_jaccard_components(spark, monkeypatch):
         assert [found[i]["component_id"] for i in range(len(texts))] == roots
 
 
+def test_sets_without_units_enough_lose_no_link(spark, monkeypatch):
+    """With so few segments that most sets lack units, and none has them by chance."""
+    texts = near_copies(random.Random(3))
+    sizes, roots = plain_components(texts)
+    monkeypatch.setattr(jaccard, "SEGMENTS", 0.02)
+    found = {r["doc_id"]: r for r in jaccard.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i]["component_id"] for i in range(len(texts))] == roots
+
+
+def test_may_link_misses_no_pair():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        base = rng.integers(0, 80, size=int(rng.integers(1, 40))).astype(np.uint64)
+        sets = [jaccard.distinct(np.where(rng.random(len(base)) < rng.choice([0.0, 0.05, 0.3]), rng.integers(0, 200, size=len(base)).astype(np.uint64), base)) for _ in range(25)]
+        found = jaccard.may_link(sets[:10], sets)
+        for i, some in enumerate(found):
+            assert {j for j in range(25) if jaccard.linked(sets[i], sets[j])} <= set(some.tolist())
+
+
 def test_top_products(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(5, 8))
     vectors = [(centres[i % 5] + 0.2 * rng.normal(size=8)).tolist() for i in range(900)] + [[0.5] * 8] * 300
-    monkeypatch.setattr(knn, "BLOCK", 50)
-    monkeypatch.setattr(knn, "QUERIES", 4)
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 50 * 64)
+    monkeypatch.setattr(knn, "QUERY_BYTES", 4 * 64)
     found = collections.defaultdict(list)
     table = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>")
     for r in knn.top_products(table).orderBy("query_id", "rank").collect():
@@ -87,11 +106,22 @@ def test_top_products_of_a_repeated_id(spark):
     vectors = [[1.0] + [0.0] * 7] * 12 + [[0.5, *rng.normal(scale=0.3, size=7)] for _ in range(40)]  # all are pivots
     ids = [0] * 12 + list(range(1, 41))
     table = spark.createDataFrame(list(zip(ids, [list(map(float, v)) for v in vectors])), "vec_id long, embedding array<float>")
-    found = [(r["vec_id"], r["score"]) for r in knn.top_products(table).orderBy("rank").collect()]
+    found = collections.Counter(map(tuple, knn.top_products(table).collect()))
     whole = np.floor(1024 * np.array(vectors, np.float32).astype(float)).astype(int)
-    scores = whole @ whole[0]
-    order = [i for i in np.lexsort((ids, -scores)) if ids[i]][:10]
-    assert found == [(ids[i], scores[i]) for i in order]
+    wanted = collections.Counter()
+    for q in range(12):
+        scores = whole @ whole[q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:10]
+        wanted.update((0, n, ids[i], scores[i]) for n, i in enumerate(order, 1))
+    assert found == wanted
+
+
+def test_groups_that_cannot_reach_the_floor_are_not_asked():
+    rng = np.random.default_rng(3)
+    pivots = np.eye(6) * 100
+    rows = [{"cell": 6 * knn.STEP + i + 1, "n": 50, "radius": 5.0, "norm": 105.0, "nearest": [1.0] * 11} for i in range(6)]
+    floor, needed = knn.Groups(rows, 6, pivots, 10).wanted(np.eye(6)[:1] * 80 + rng.normal(size=(1, 6)))
+    assert needed.tolist() == [[True] + [False] * 5] and 7000 < floor[0] < 8500
 
 
 def test_pipeline_keeps_one_of_each(spark, prose_of):

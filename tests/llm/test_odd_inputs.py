@@ -71,4 +71,5 @@ def test_vectors(spark):
     assert [r[:3] for r in found if r[0] == 0] == [(0, 1, 1), (0, 2, 100), (0, 3, 100)]
     assert [r for r in found if r[0] == 0][1][3] == 1024 * 1024 * 5
     assert {r[0] for r in found} == {0, 100}
+    assert [r[1:3] for r in found if r[0] == 100] == [(1, 1), (1, 1), (2, 0), (2, 0), (3, 100), (3, 100)]  # each row of 100 asks
     assert knn.top_products(vectors.where("false")).collect() == []
