@@ -72,4 +72,42 @@ def test_short_texts_have_bands(prose_of):
         assert not row[5] and not row[6], (size, row)
     for size in (100, 130, 170, 210, 255):
         assert quality.verdict(prose_of(rng, 80, 8000).encode()[:size], compress)[2]
-    assert quality.out_of_band(204, 0.299) and quality.out_of_band(120, 0.5) and not quality.out_of_band(99, 0.299)
+    assert quality.out_of_band(204, 0.299) and quality.out_of_band(120, 0.5) and quality.out_of_band(99, 0.299) and not quality.out_of_band(40, 1.2)
+
+
+def test_texts_of_every_length_are_judged(prose_of):
+    """Texts under 100 bytes that say words again go, passages of prose stay; a short last chunk joins the one before."""
+    rng = random.Random(5)
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+    words = [w for w in sorted(set(prose_of(rng, 9000, 8000).replace(".", " ").lower().split())) if len(w) > 3]
+    for size in (64, 75, 85, 95):
+        row = quality.measure(said_again(rng, words, 5, size), compress)
+        assert not row[6], (size, row)
+    for size in (40, 55, 65, 75, 85, 95):
+        for _ in range(50):
+            assert quality.verdict(prose_of(rng, 80, 8000).encode()[:size], compress)[2]
+    prose = prose_of(rng, 3000, 5000).encode()[:8192]
+    for tail in (1, 100, 255, 256, 300):
+        ratio, bad, good = quality.verdict(prose + b"x" * tail, compress)
+        assert good and bad == (tail / (8192 + tail) if tail >= 256 else 0.0), (tail, bad)
+
+
+def test_verdicts_against_plain_ones(spark, prose_of):
+    """The query's ratio, share of bad chunk bytes and verdict against the rules written out."""
+    rng = random.Random(6)
+    texts = [prose_of(rng, n, 3000) for n in (12, 40, 300, 900, 2500)] + ["again and over " * n for n in (5, 300)] + ["".join(rng.choices("abcdef ghij#", k=9000)), "", None]
+    compress = zstandard.ZstdCompressor(level=quality.LEVEL).compress
+
+    def band(data: bytes) -> bool:
+        ratio = len(compress(data)) / len(data)
+        low, high = [limits for least, *limits in quality.BANDS if len(data) >= least][-1]
+        return low <= ratio <= high
+
+    for r in quality.compression_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        chunks = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+        if chunks and len(chunks[-1]) < 256:
+            chunks[-2:] = [chunks[-2] + chunks[-1]]
+        bad = sum(len(c) for c in chunks if not band(c)) / max(1, len(data))
+        assert r["zstd_ratio"] == (len(compress(data)) / len(data) if data else 0.0) and r["bad_chunk_share"] == bad
+        assert (r["base_failed"], r["kept"]) == (plain(texts[r["doc_id"]] or "")[5], not plain(texts[r["doc_id"]] or "")[5] and band(data) and bad <= 0.25)
