@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -90,8 +91,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, **options) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors
-    cost no recomputation of what came before. The shuffle files that led to it go at once, the table when the
-    driver exits. options: of the writer."""
+    cost no recomputation of what came before. The shuffle files that led to it go at once, the table with free() or
+    when the driver exits. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pixelloom-{uuid.uuid4().hex}"
     before = spark.conf.get(SHUFFLE_CLEANUP, "false")
@@ -101,15 +102,25 @@ def cut(df: DataFrame, **options) -> DataFrame:
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.pixelloom_path = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes tables made by cut() that nothing will read any more."""
+    for table in tables:
+        remove(table.sparkSession, table.pixelloom_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        jvm = spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
     except Exception:  # the JVM may have gone first
-        pass
+        if path.startswith("file://"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)

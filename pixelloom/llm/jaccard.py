@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, lower_ascii, mix, texts, tidy
+from .common import WordIds, cut, free, lower_ascii, mix, texts, tidy
 
 WORDS, PERCENT = 5, 80
 #: Bands grow by this factor, more than 100 / PERCENT, so that a set mostly probes two. Up to SINGLE shingles each
@@ -486,7 +486,8 @@ def components(edges: DataFrame) -> DataFrame:
         sign = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before:
             break
-        now, before = cut(star(star(now, True), False)), sign
+        last, now, before = now, cut(star(star(now, True), False)), sign
+        free(last)
     return now.join(left, now["a"] == left["i"]).select(left["a"].alias("node"), "b").join(right.withColumnRenamed("b", "root"), F.col("b") == F.col("j")).select("node", "root")
 
 
@@ -551,7 +552,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not unsettled.isEmpty():
         across = sent_to(route_across(routes, unsettled), "centre", "part", "deal").applyInArrow(verify_across, VERIFIED)
         edges = edges.union(across.select("left_class", "right_class"))
-    roots = components(edges)
+    roots = cut(components(edges))
+    free(needed_texts, verified)
     of_root = (
         roots.join(classes, roots["node"] == classes["class"]).select("root", "first")
         .union(roots.select("root").distinct().join(classes, F.col("root") == classes["class"]).select("root", "first"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, mix, remainder, texts
+from .common import WordIds, cut, mix, remainder, texts, tidy
 
 @dataclass(frozen=True)
 class Settings:
@@ -277,16 +277,32 @@ class Run:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes as the greatest needs: that number, then their byte planes, lowest first, so
-    that compression finds the zeros."""
+    """Unsigned numbers as the byte planes that the greatest needs, lowest first; a plane that compresses is compressed.
+    In front: the number of planes, and the bytes of each."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
     wide = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([wide]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
+    planes = []
+    for i in range(wide):
+        plane = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8)[i::8]).tobytes()
+        small = press(plane)
+        planes.append(small if len(small) < len(plane) else plane)
+    sizes = np.array([wide, len(values), *map(len, planes)], "<u4").tobytes()
+    return sizes + b"".join(planes)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    wide = data[0]
-    out = np.zeros(((len(data) - 1) // wide, 8), np.uint8)
-    out[:, :wide] = np.frombuffer(data, np.uint8, offset=1).reshape(wide, -1).T
+    import zstandard
+
+    wide, n = np.frombuffer(data, "<u4", 2).tolist()
+    expand = zstandard.ZstdDecompressor().decompress
+    out = np.zeros((n, 8), np.uint8)
+    at = 8 + 4 * wide
+    for i, size in enumerate(np.frombuffer(data, "<u4", wide, 8).tolist()):
+        plane = data[at : at + size]
+        at += size
+        out[:, i] = np.frombuffer(plane if size == n else expand(plane), np.uint8)
     return out.view("<u8").reshape(-1)
 
 
@@ -402,6 +418,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     blocks = cut(docs.mapInArrow(lambda batches: deal(batches, settings), BLOCKS), **{"parquet.block.row.count.limit": 8, "compression": "uncompressed"})
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 columns = list(zip(*Block(data.as_py(), settings).questions()))
@@ -415,6 +432,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sett
     tokens, words = total["tokens"] or 0, total["words"] or 0
 
     def walk(mine: pa.Table, replies: pa.Table) -> pa.Table:
+        tidy()
         block = Block(mine["data"][0].as_py(), settings)
         n, known, base, score, backoffs = block.walk(block.totals(replies), tokens, words, begins)
         return pa.table(
