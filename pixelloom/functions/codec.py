@@ -6,8 +6,10 @@ Everything that isn't is written a second time as column expressions in pixelloo
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -80,7 +82,10 @@ class Header:
 
     @property
     def scanline_size(self) -> int:
-        return sum((self.row_bytes(w) + 1) * h for *_, w, h in self.passes())
+        size = sum((self.row_bytes(w) + 1) * h for *_, w, h in self.passes())
+        if size >= (1 << 63) - 1:  # what a buffer can be asked for
+            raise PngError("ImageTooLarge")
+        return size
 
     def data(self) -> bytes:
         return self.width.to_bytes(4, "big") + self.height.to_bytes(4, "big") + bytes([self.bit_depth, self.color_type, 0, 0, self.interlace])
@@ -384,7 +389,8 @@ def check_metadata(metadata: dict) -> None:
 
 @dataclass
 class Options:
-    """Of decoding: CRCs are checked; ancillary chunks are skipped unless asked for; errors in them are, too."""
+    """Of decoding. Metadata and raw chunks are kept unless turned off, as in a DataFrame a column that nobody selects
+    costs little; errors in ancillary chunks skip the chunk unless strict."""
 
     validate_crc: bool = True
     preserve_metadata: bool = True
@@ -400,7 +406,7 @@ class File:
     metadata: dict = field(default_factory=dict)
     ancillary: list[Chunk] = field(default_factory=list)
     chunks: list[Chunk] = field(default_factory=list)  # all after IHDR, up to IEND
-    animation: list[tuple] | None = None
+    animation: tuple[int, int, list] | None = None  # frames, plays and the frames' controls
 
     @property
     def image_data(self) -> bytes:
@@ -453,6 +459,21 @@ def read_file(content: bytes, options: Options = Options()) -> File:
     raise PngError("MissingImageEnd")
 
 
+def read_chunks(content: bytes, options: Options = Options()) -> File:
+    """read_file() with all chunks from IHDR on, metadata whatever the options say, and the animation's controls. An
+    animation that is laid out wrong is none, or with strict_ancillary an error; its data is not inflated."""
+    file = read_file(content, replace(options, preserve_metadata=True))
+    try:
+        plays, _, frames = animation_layout(file)
+        file.animation = len(frames), plays, [control for control, _ in frames]
+    except PngError as e:
+        if options.strict_ancillary and e.code != "NotAnimated":
+            raise
+    first = next(scan(content, options.validate_crc))
+    file.chunks.insert(0, replace(first, position=BEFORE_PALETTE))
+    return file
+
+
 def inflate(data: bytes, expected: int) -> bytes:
     """Exactly the expected bytes, and the stream's end."""
     stream = zlib.decompressobj()
@@ -486,6 +507,10 @@ def paeth(a, b, c):
     return np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
 
 
+def rows_of(rows: list[list[int]]) -> np.ndarray:
+    return np.array(rows, np.uint8)
+
+
 def unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
     """Rows with a filter byte each to rows of plain bytes.
 
@@ -519,20 +544,73 @@ def unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
 
     if first:
         easy(0, first)
-    kind = kinds[first:last, None]
-    is_sub, is_up, is_mean, is_paeth = (kind == k for k in range(1, 5))
-    for t in range(pixels + last - first - 1 if first < last else 0):
-        lo, hi = max(0, t - pixels + 1), min(last - first, t + 1)
-        r = np.arange(first + lo, first + hi)
-        x = t - np.arange(lo, hi)
-        a, b, c = (out[i, j].astype(np.int32) for i, j in ((r + 1, x), (r, x + 1), (r, x)))
-        guess = np.where(is_paeth[lo:hi], paeth(a, b, c), np.where(is_mean[lo:hi], (a + b) >> 1, np.where(is_up[lo:hi], b, np.where(is_sub[lo:hi], a, 0))))
-        out[r + 1, x + 1] += guess.astype(np.uint8)
+    band = max(1, LANE_BYTES // bpp)
+    while band > 1 and band * (pixels + band) * bpp > BAND_BYTES:
+        band //= 2
+    for start in range(first, last, band):
+        wavefront(out[start : min(start + band, last) + 1, 1:], kinds[start : min(start + band, last)])
     if last < height:
         easy(last, height)
     return np.ascontiguousarray(out[1:, 1:]).reshape(height, -1)[:, :size]
 
 
+#: Bytes that wavefront() handles in one step at most, and of its buffer.
+LANE_BYTES, BAND_BYTES = 16_384, 128 << 20
+#: What a pixel of so many bytes is moved as.
+PIXEL = {1: "u1", 2: "u2", 3: "V3", 4: "u4", 6: "V6", 8: "u8"}
+
+
+def wavefront(rows: np.ndarray, kinds: np.ndarray) -> None:
+    """Reconstructs rows (the first one plain, the others of the given filters) in place: (row, pixel, byte).
+
+    The rows are moved into a skewed buffer, each one place on from the row above, so that pixels which depend on
+    nothing but earlier ones (an anti-diagonal) lie side by side; they go at once, in plain byte operations."""
+    count, width, bpp = rows.shape
+    lane, steps = count * bpp, width + count
+    skew = np.zeros((steps + 1, lane), np.uint8)  # a row of zeros before the first anti-diagonal
+    places = np.lib.stride_tricks.as_strided(skew[1:].reshape(-1).view(PIXEL[bpp]), (count, width), (lane + bpp, lane))
+    packed = rows.view(PIXEL[bpp])[..., 0]
+    places[...] = packed
+    every = np.repeat(np.append(0, kinds).astype(np.uint8), bpp)
+    masks = [np.where(every == k, 255, 0).astype(np.uint8) for k in range(5)]
+    used = [k for k in range(1, 5) if masks[k].any()]
+    for t in range(1, steps):
+        lo, hi = max(1, t - width + 1) * bpp, min(count, t + 1) * bpp
+        if lo >= hi:
+            continue
+        a, b, c = skew[t, lo:hi], skew[t, lo - bpp : hi - bpp], skew[t - 1, lo - bpp : hi - bpp]
+        here = skew[t + 1, lo:hi]
+        for k in used:
+            guess = a if k == 1 else b if k == 2 else (a & b) + ((a ^ b) >> 1) if k == 3 else nearest_byte(a, b, c)
+            here += guess & masks[k][lo:hi] if len(used) > 1 or not masks[k][lo:hi].all() else guess
+    packed[...] = places
+
+
+def nearest_byte(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """paeth() within bytes: the distances of a and b from the estimate are |b - c| and |a - c|, and that of c is their
+    sum where a and b lie on the same side of c (so that c is never nearest), else their difference."""
+    to_a, to_b = np.maximum(b, c), np.maximum(a, c)
+    to_a -= np.minimum(b, c)
+    to_b -= np.minimum(a, c)
+    to_c = np.maximum(to_a, to_b)
+    to_c -= np.minimum(to_a, to_b)
+    side = a >= c
+    side ^= b < c  # the same side
+    to_c |= np.negative(side.view(np.uint8))
+    second = to_b <= to_c
+    first = to_a <= to_b
+    to_a = to_a <= to_c
+    first &= to_a
+    # c, then b instead of c, then a instead of either, by exclusive or
+    out = b ^ c
+    out &= np.negative(second.view(np.uint8))
+    out ^= c
+    swap = out ^ a
+    swap &= np.negative(first.view(np.uint8))
+    out ^= swap
+    return out
+
+
 def filtered(rows: np.ndarray, bpp: int) -> np.ndarray:
     """(filter, row, byte): every row under each of the five filters, from plain neighbours."""
     v = rows.astype(np.int32)
@@ -788,8 +866,8 @@ class EncodeOptions:
     palette: str = "keep"  # keep or auto
     strip: str = "keep"  # keep, safe or all
     keep_unsafe: bool = False
-    segments: bool = False
-    crop: bool = True
+    crop: bool = False
+    threads: str | int = "single"  # single: one stream; auto or a number: segments, on so many threads
 
 
 def chunk_bytes(kind: str, data: bytes) -> bytes:
@@ -826,8 +904,11 @@ def join_segments(segments: list[bytes], checksum: int, level: int, compression:
 
 
 def compress(data: bytes, options: EncodeOptions) -> bytes:
-    if options.segments and len(data) > SEGMENT:
-        parts = [compress_segment(data[i : i + SEGMENT], options.level, options.compression) for i in range(0, len(data), SEGMENT)]
+    if options.threads != "single" and len(data) > SEGMENT:
+        one = lambda i: compress_segment(data[i : i + SEGMENT], options.level, options.compression)
+        count = os.process_cpu_count() or 1 if options.threads == "auto" else max(1, int(options.threads))
+        with ThreadPoolExecutor(count) as pool:  # zlib works without the interpreter's lock
+            parts = list(pool.map(one, range(0, len(data), SEGMENT)))
         return join_segments(parts, zlib.adler32(data), options.level, options.compression)
     stream = _compressor(options.level, options.compression, False)
     return stream.compress(data) + stream.flush()
@@ -928,8 +1009,8 @@ def written_by_encoder(file: File) -> set[str]:
     return out
 
 
-def assemble(file: File, body: list[tuple[str, bytes]], options: EncodeOptions, keep_unsafe: bool, control: bytes | None = None) -> bytes:
-    """A whole file around its image data chunks, in the format's order."""
+def around(file: File, options: EncodeOptions, keep_unsafe: bool, control: bytes | None = None) -> tuple[bytes, bytes]:
+    """What stands before and after a file's image data chunks, in the format's order."""
     typed = metadata_chunks(file.metadata, options.level)
     blocked = written_by_encoder(file)
     extra = lambda position: [(c.type, c.data) for c in file.ancillary if c.position == position and c.type not in blocked and (keep_unsafe or is_safe_to_copy(c.type))]
@@ -938,8 +1019,14 @@ def assemble(file: File, body: list[tuple[str, bytes]], options: EncodeOptions,
     parts += [(k, d) for k, d, early in typed if early] + extra(BEFORE_PALETTE)
     parts += [("PLTE", file.palette)] if file.palette else []
     parts += [("tRNS", file.transparency.data())] if file.transparency else []
-    parts += [(k, d) for k, d, early in typed if not early] + extra(BEFORE_IMAGE) + body + extra(AFTER_IMAGE) + [("IEND", b"")]
-    return SIGNATURE + b"".join(chunk_bytes(k, d) for k, d in parts)
+    parts += [(k, d) for k, d, early in typed if not early] + extra(BEFORE_IMAGE)
+    return SIGNATURE + b"".join(chunk_bytes(k, d) for k, d in parts), b"".join(chunk_bytes(k, d) for k, d in [*extra(AFTER_IMAGE), ("IEND", b"")])
+
+
+def assemble(file: File, body: list[tuple[str, bytes]], options: EncodeOptions, keep_unsafe: bool, control: bytes | None = None) -> bytes:
+    """A whole file around its image data chunks."""
+    head, tail = around(file, options, keep_unsafe, control)
+    return b"".join([head, *(chunk_bytes(k, d) for k, d in body), tail])
 
 
 def pieces(kind: str, data: bytes, most: int = MAX_LENGTH) -> list[tuple[str, bytes]]:
@@ -977,10 +1064,7 @@ def prepare(file: File, data: bytes, options: EncodeOptions = EncodeOptions()) -
     keep_unsafe = options.keep_unsafe
     if options.palette == "auto" and (found := palettize(file, [(file.header, data)])):
         file, data, keep_unsafe = found[0], found[1][0][1], False
-    mark = ("IDAT", b"")
-    whole = assemble(file, [mark], options, keep_unsafe)
-    head, tail = whole.split(chunk_bytes(*mark))
-    return Prepared(head, tail, scanlines(file.header, data, options.filter))
+    return Prepared(*around(file, options, keep_unsafe), scanlines(file.header, data, options.filter))
 
 
 def encode(file: File, data: bytes, options: EncodeOptions = EncodeOptions()) -> bytes:
@@ -1045,27 +1129,35 @@ def encode_animation(file: File, frames: list[tuple[Control, bytes]], plays: int
     check_image(file, still if still is not None else frames[0][1])
     if options.crop:
         frames = crop_frames(header, frames)
-    sized = lambda c: replace(file.header, width=c.width, height=c.height)
-    keep_unsafe = options.keep_unsafe
-    if options.palette == "auto":
-        images = ([(header, still)] if still is not None else []) + [(sized(c), d) for c, d in frames]
-        if found := palettize(file, images):
-            file, images = found
-            keep_unsafe = False
-            still = images.pop(0)[1] if still is not None else None
-            frames = [(c, d) for (c, _), (_, d) in zip(frames, images)]
-    body: list[tuple[str, bytes]] = []
-    if still is not None:
-        body += pieces("IDAT", compress(scanlines(file.header, still, options.filter), options))
-    sequence = 0
-    for i, (control, data) in enumerate(frames):
-        body.append(("fcTL", control.data(sequence)))
-        sequence += 1
-        packed = compress(scanlines(sized(control), data, options.filter), options)
-        if i == 0 and still is None:
-            body += pieces("IDAT", packed)
-        else:
+    sized = lambda f, c: replace(f.header, width=c.width, height=c.height)
+
+    def write(f: File, parts: list[tuple[Control, bytes]], default: bytes | None, keep_unsafe: bool) -> bytes:
+        body = pieces("IDAT", compress(scanlines(f.header, default, options.filter), options)) if default is not None else []
+        sequence = 0
+        for i, (control, data) in enumerate(parts):
+            body.append(("fcTL", control.data(sequence)))
+            sequence += 1
+            packed = compress(scanlines(sized(f, control), data, options.filter), options)
+            if i == 0 and default is None:
+                body += pieces("IDAT", packed)
+                continue
             for _, piece in pieces("fdAT", packed, MAX_LENGTH - 4):
                 body.append(("fdAT", sequence.to_bytes(4, "big") + piece))
                 sequence += 1
-    return assemble(file, body, options, keep_unsafe, len(frames).to_bytes(4, "big") + plays.to_bytes(4, "big"))
+        return assemble(f, body, options, keep_unsafe, len(parts).to_bytes(4, "big") + plays.to_bytes(4, "big"))
+
+    images = ([(header, still)] if still is not None else []) + [(sized(file, c), d) for c, d in frames]
+    if options.palette == "auto" and (found := palettize(file, images)):
+        converted = [d for _, d in found[1]]
+        default = converted.pop(0) if still is not None else None
+        smaller = write(found[0], [(c, d) for (c, _), d in zip(frames, converted)], default, False)
+        if sum(len(d) for _, d in images) > SMALL_IMAGE:
+            return smaller
+        plain = write(file, frames, still, options.keep_unsafe)
+        return smaller if len(smaller) < len(plain) else plain
+    return write(file, frames, still, options.keep_unsafe)
+
+
+def is_empty(metadata: dict) -> bool:
+    """Whether there is no typed metadata at all."""
+    return not any(value is not None and value != [] for value in metadata.values())

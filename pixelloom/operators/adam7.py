@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import ADAM7
@@ -33,8 +33,16 @@ def deinterlaced(px: DataFrame) -> DataFrame:
     return px.withColumn("x", at("px", 0)).withColumn("y", at("py", 1))
 
 
-def in_file_order(px: DataFrame, image: str = "img") -> DataFrame:
-    return interlaced(px).withColumn("at", F.row_number().over(Window.partitionBy(image).orderBy("pass", "py", "px")) - 1)
+def in_file_order(px: DataFrame) -> DataFrame:
+    """px has width and height of its image: pixels with their place `at` in the file. A pass's pixels begin after those
+    of all passes before it, so each pixel knows its place from its own row; nothing is sorted or dealt."""
+    side = lambda size, start, step: F.greatest(F.lit(0), F.floor((F.col(size) - start + step - 1) / step))
+    sizes = [(side("width", x0, dx), side("height", y0, dy)) for x0, y0, dx, dy in ADAM7]
+    before, found, wide = F.lit(0), F.lit(0), sizes[0][0]
+    for n, (w, h) in enumerate(sizes, 1):
+        found, wide = F.when(F.col("pass") == n, before).otherwise(found), F.when(F.col("pass") == n, w).otherwise(wide)
+        before = before + w * h
+    return interlaced(px).withColumn("at", (found + F.col("py") * wide + F.col("px")).cast("int"))
 
 
 def pass_sizes(images: DataFrame) -> DataFrame:

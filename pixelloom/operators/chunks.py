@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import COLOR_CHUNKS, KNOWN_CHUNKS, PLACED_CHUNKS
 from ..functions.expressions import is_safe_to_copy
+from .files import map_rows
 
 SINGLE = ("gAMA", "cHRM", "sRGB", "iCCP", "cICP", "pHYs", "tIME", "eXIf")
 
@@ -25,10 +26,12 @@ def placed(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("position", F.when(before("IDAT") > 0, "AfterImageData").when(before("PLTE") > 0, "BeforeImageData").otherwise("BeforePalette"))
 
 
-def outcomes(chunks: DataFrame) -> DataFrame:
-    """(file_id, outcome): OK, or the error that reading in order meets first; nothing after IEND counts."""
+def outcomes(chunks: DataFrame, indexed: Column | None = None) -> DataFrame:
+    """(file_id, outcome): OK, or the error that reading in order meets first; nothing after IEND counts. indexed: whether
+    a file's colors are indices, so that image data needs a palette before it; by default none are."""
+    indexed = F.lit(False) if indexed is None else indexed
     window = Window.partitionBy("file_id").orderBy("ord")
-    seen = chunks.select("file_id", "ord", "type", before("IDAT").alias("images"), before("PLTE").alias("palettes"), before("tRNS").alias("keys"), F.lag("type").over(window).alias("previous"))
+    seen = chunks.select("file_id", "ord", "type", before("IDAT").alias("images"), before("PLTE").alias("palettes"), before("tRNS").alias("keys"), F.lag("type").over(window).alias("previous"), indexed.alias("indexed"))
     kind, after = F.col("type"), F.col("images") > 0
     rule = (
         F.when((kind == "PLTE") & after, "PaletteAfterImageData")
@@ -37,6 +40,7 @@ def outcomes(chunks: DataFrame) -> DataFrame:
         .when((kind == "tRNS") & after, "TransparencyAfterImageData")
         .when((kind == "tRNS") & (F.col("keys") > 0), "DuplicateTransparency")
         .when((kind == "IDAT") & after & (F.col("previous") != "IDAT"), "NonConsecutiveImageData")
+        .when((kind == "IDAT") & ~after & F.col("indexed") & (F.col("palettes") == 0), "MissingPalette")
         .when(kind == "IEND", F.when(after, "OK").otherwise("MissingImageData"))
     )
     first = F.min(F.when(F.col("rule").isNotNull(), F.struct("ord", "rule")))["rule"]
@@ -46,8 +50,9 @@ def outcomes(chunks: DataFrame) -> DataFrame:
 def joined(chunks: DataFrame, kind: str = "IDAT") -> DataFrame:
     """The data of all chunks of a type, one after the other: file_id, pieces, data."""
     parts = chunks.where(F.col("type") == kind).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ord", "data"))).alias("parts"))
-    whole = F.aggregate("parts", F.lit(b"").cast("binary"), lambda done, part: F.concat(done, part["data"]))
-    return parts.select("file_id", F.size("parts").alias("pieces"), whole.alias("data"))
+    key = chunks.schema["file_id"].dataType.simpleString()
+    one = lambda row: [{"file_id": row["file_id"], "pieces": len(row["parts"]), "data": b"".join(p["data"] for p in row["parts"])}]
+    return map_rows(parts, f"file_id {key}, pieces int, data binary", one)
 
 
 def known_error(kind: Column, position: Column) -> Column:

@@ -76,6 +76,28 @@ def exif(data: Column) -> tuple[Column, Column]:
     return error, F.when(little, "LittleEndian").otherwise("BigEndian")
 
 
+def animation_control(data: Column) -> tuple[Column, Column]:
+    """acTL: how many frames, and how often they play (0: for ever)."""
+    return checked(data, 8, uint(data, 0, 4) != 0), F.struct(uint(data, 0, 4).alias("frames"), uint(data, 4, 4).alias("plays"))
+
+
+def frame_control(data: Column) -> tuple[Column, Column]:
+    """fcTL: a frame's place in the sequence, area, delay and operations."""
+    names = ("sequence", 0, 4), ("width", 4, 4), ("height", 8, 4), ("x", 12, 4), ("y", 16, 4), ("delay_num", 20, 2), ("delay_den", 22, 2), ("dispose", 24, 1), ("blend", 25, 1)
+    fits = lambda at: uint(data, at, 4).between(1, 2**31 - 1)
+    error = checked(data, 26, (uint(data, 24, 1) <= 2) & (uint(data, 25, 1) <= 1))
+    return F.coalesce(error, F.when(~(fits(4) & fits(8)), "InvalidDimensions")), F.struct(*[uint(data, at, n).alias(name) for name, at, n in names])
+
+
+def is_empty(metadata: Column, names: list[str]) -> Column:
+    """Whether a struct of typed metadata with these fields has none."""
+    empty = lambda f: F.size(F.coalesce(metadata[f], F.array())) == 0 if f == "text" else metadata[f].isNull()
+    every = F.lit(True)
+    for name in names:
+        every = every & empty(name)
+    return F.coalesce(metadata.isNull() | every, F.lit(True))
+
+
 def plain_text(data: Column) -> tuple[Column, Column]:
     """tEXt: a keyword, a zero byte and Latin-1 text."""
     text = F.decode(data, "ISO-8859-1")

@@ -65,6 +65,42 @@ FROM walk w JOIN numbered s ON s.file_id = w.file_id AND s.n = w.n + 1 WHERE w.o
 SELECT file_id, coalesce(max(outcome), 'MissingImageEnd') AS outcome FROM walk GROUP BY file_id"""
 
 
+def q_chunk_errors_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every second file has indexed colors, so that image data needs a palette before it."""
+    return C.outcomes(stream(spark, sf_dir), F.col("file_id") % 2 == 1)
+
+
+SQL_CHUNK_ERRORS_INDEXED = SQL_CHUNK_ERRORS.replace("WHEN s.type = 'IEND' AND w.img = 0", "WHEN s.type = 'IDAT' AND w.img = 0 AND w.pal = 0 AND w.file_id % 2 = 1 THEN 'MissingPalette' WHEN s.type = 'IEND' AND w.img = 0", 1)
+
+
+def q_animation_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """acTL from eight bytes of a digest, the first four modulo 3, so that some have no frame; some lack a byte."""
+    data = F.concat(F.unhex(F.lpad(F.hex(X.uint(F.col("digest"), 0, 4) % 3), 8, "0")), F.substring("digest", 5, 4))
+    error, value = M.animation_control(F.when(F.col("ord") % 5 == 4, F.substring(data, 1, 7)).otherwise(data))
+    return stream(spark, sf_dir).select("file_id", "ord", error.alias("error"), F.when(error.isNull(), value).alias("v")).select("file_id", "ord", "error", "v.frames", "v.plays")
+
+
+SQL_ANIMATION_CONTROL = f"""WITH {STREAM}, p AS (SELECT file_id, ord, {u32(0)} % 3 AS frames, {u32(4)} AS plays FROM stream),
+e AS (SELECT *, CASE WHEN ord % 5 = 4 THEN 'InvalidChunkLength' WHEN frames = 0 THEN 'InvalidChunkData' END AS error FROM p)
+SELECT file_id, ord, error, CASE WHEN error IS NULL THEN frames END AS frames, CASE WHEN error IS NULL THEN plays END AS plays FROM e"""
+
+
+def q_frame_control_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fcTL from a digest: areas from its bytes, operations modulo 4 and 3, so that some are not known."""
+    d = F.col("digest")
+    operations = F.unhex(F.concat(F.lpad(F.hex(X.uint(d, 14, 1) % 4), 2, "0"), F.lpad(F.hex(X.uint(d, 15, 1) % 3), 2, "0")))
+    data = F.concat(F.substring(d, 1, 4), F.lit(b"\0\0"), F.substring(d, 5, 2), F.lit(b"\0\0\0"), F.substring(d, 7, 1), F.substring(d, 1, 8), F.substring(d, 9, 4), operations)
+    error, value = M.frame_control(data)
+    names = ("sequence", "width", "height", "x", "y", "delay_num", "delay_den", "dispose", "blend")
+    return stream(spark, sf_dir).select("file_id", "ord", error.alias("error"), F.when(error.isNull(), value).alias("v")).select("file_id", "ord", "error", *[F.col(f"v.{n}").cast("long").alias(n) for n in names])
+
+
+_FRAME = {"sequence": u32(0), "width": f"{byte(4)} * 256 + {byte(5)}", "height": byte(6), "x": u32(0), "y": u32(4), "delay_num": f"{byte(8)} * 256 + {byte(9)}", "delay_den": f"{byte(10)} * 256 + {byte(11)}", "dispose": f"{byte(14)} % 4", "blend": f"{byte(15)} % 3"}
+SQL_FRAME_CONTROL_PARSE = f"""WITH {STREAM}, p AS (SELECT file_id, ord, {", ".join(f"{v} AS {n}" for n, v in _FRAME.items())} FROM stream),
+e AS (SELECT *, CASE WHEN dispose > 2 OR blend > 1 THEN 'InvalidChunkData' WHEN width = 0 OR height = 0 THEN 'InvalidDimensions' END AS error FROM p)
+SELECT file_id, ord, error, {", ".join(f"CASE WHEN error IS NULL THEN CAST({n} AS BIGINT) END AS {n}" for n in _FRAME)} FROM e"""
+
+
 def q_idat_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.joined(stream(spark, sf_dir)).select("file_id", "pieces", F.octet_length("data").alias("size"), F.md5("data").alias("digest"))
 

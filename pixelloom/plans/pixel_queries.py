@@ -34,7 +34,8 @@ SELECT *, row_number() OVER (PARTITION BY img, y ORDER BY cost, kind) AS n FROM
 def q_filter_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte under every filter, summed by image and filter with a weight for its place."""
     place = F.col("y") * 8 + F.col("x") + 1
-    return filters.filtered(gray(spark, sf_dir)).groupBy("img", "kind").agg(F.sum("byte").alias("total"), F.sum(F.col("byte") * place).alias("weighted"))
+    sums = [F.struct(F.lit(kind).alias("kind"), F.sum(name).alias("total"), F.sum(F.col(name) * place).alias("weighted")) for kind, name in enumerate(filters.BYTES)]
+    return filters.five_bytes(gray(spark, sf_dir)).groupBy("img").agg(F.array(*sums).alias("sums")).select("img", F.inline("sums"))
 
 
 SQL_FILTER_BYTES = f"""WITH {GRAY}, {_filter_sql("img", "gray")}
@@ -43,7 +44,7 @@ SELECT img, kind, CAST(sum(byte) AS BIGINT) AS total, CAST(sum(byte * (y * 8 + x
 
 def q_unfilter_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows filtered by type y mod 5, then reconstructed: the raster again."""
-    mixed = filters.filtered(gray(spark, sf_dir)).where(F.col("kind") == F.col("y") % 5)
+    mixed = filters.filtered(gray(spark, sf_dir), F.col("y") % 5)
     rows = mixed.groupBy("img", "y", "kind").agg(F.array_sort(F.collect_list(F.struct("x", "byte"))).alias("o")).select("img", "y", "kind", F.col("o.byte").alias("bytes"))
     return filters.reconstructed(rows)
 
@@ -52,7 +53,8 @@ SQL_UNFILTER_FOLD = f"WITH {GRAY} SELECT img, y, x, v FROM gray"
 
 
 def q_adam7_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adam7.in_file_order(gray(spark, sf_dir)).select("img", "at", "pass", "px", "py", "x", "y", "v")
+    sized = gray(spark, sf_dir).withColumns({"width": F.lit(8), "height": F.lit(8)})
+    return adam7.in_file_order(sized).select("img", "at", "pass", "px", "py", "x", "y", "v")
 
 
 _PASS = """CASE WHEN x % 8 = 0 AND y % 8 = 0 THEN 1 WHEN x % 8 = 4 AND y % 8 = 0 THEN 2 WHEN x % 4 = 0 AND y % 8 = 4 THEN 3 WHEN x % 4 = 2 AND y % 4 = 0 THEN 4
@@ -232,12 +234,12 @@ def _palette(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Palettes of 64 + img % 128 entries, alphas for the first img % 40 of them."""
     images = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"))
     entry = images.select("img", F.explode(F.expr("sequence(0, cast(63 + img % 128 as int))")).alias("idx"))
-    palette = entry.select("img", "idx", *[F.expr(f"cast((idx * {m} + img) % 256 as int)").alias(c) for c, m in zip("rgb", (67, 131, 199))])
+    palette = entry.select("img", "idx", *[F.expr(f"cast((idx * {m} + img) % 256 as int)").alias(c) for c, m in zip("rgb", (71, 113, 157))])
     return palette, entry.where("idx < img % 40").select("img", "idx", F.expr("cast(idx * 5 % 255 as int)").alias("a"))
 
 
 _PALETTE = """entry AS (SELECT vec_id AS img, unnest(range(64 + vec_id % 128)) AS idx FROM embeddings),
-pal AS (SELECT img, idx, (idx * 67 + img) % 256 AS r, (idx * 131 + img) % 256 AS g, (idx * 199 + img) % 256 AS b, CASE WHEN idx < img % 40 THEN idx * 5 % 255 ELSE 255 END AS a FROM entry),
+pal AS (SELECT img, idx, (idx * 71 + img) % 256 AS r, (idx * 113 + img) % 256 AS g, (idx * 157 + img) % 256 AS b, CASE WHEN idx < img % 40 THEN idx * 5 % 255 ELSE 255 END AS a FROM entry),
 ind AS (SELECT img, y * 8 + x AS pos, v AS idx FROM gray)"""
 
 
