@@ -2,7 +2,7 @@
 
 The source opens files itself, so its paths must be mounted on all executors. read_png() works with any store that
 Spark reads, since Spark's binaryFile source fetches the bytes, and is the general way. Options of both: mode (header,
-chunks, image, bitmap, frames, raw), on_error, alpha, validate_crc, strict.
+chunks, image, bitmap, frames, composited, raw), on_error, alpha, validate_crc, strict.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 import glob
 import operator
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +30,14 @@ NAME = "pixelloom_png"
 FILES_IN_PARTITION = 64
 COMPARISONS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda value, among: value in among}
 HEADER_COLUMNS = ("width", "height", "bit_depth", "color_type", "interlace")
+#: Bytes that hold a file's signature and header chunk (fixed value of the format).
+HEADER_BYTES = 33
+STAGING = f"_{NAME}"
 
 
 def read_png(spark: SparkSession, path: str, mode: str = "image", **options) -> DataFrame:
-    """Files under a path of any store, one file to a row (or one row for each frame or raw chunk), by path."""
+    """Files under a path of any store, one file to a row (or one row for each frame or raw chunk), by path. Spark
+    fetches whole files; where only headers are wanted and paths are mounted, the source reads 33 bytes of each."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", options.pop("glob", "*.png")).option("recursiveFileLookup", "true").load(path)
     return files.read(found.select(F.col("path"), F.col("content")), mode, "path", **options)
 
@@ -68,9 +74,14 @@ class PngReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
+    def paths(self) -> list[str]:
+        """All files, but for those in folders with hidden names."""
         found = sorted(glob.glob(os.path.join(self.path, "**", "*.png"), recursive=True)) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        found = [p for p in found if all(COMPARISONS[kind](p, value) for name, kind, value in self.filters if name == "path")]
+        found = [p for p in found if not any(part.startswith((".", "_")) for part in os.path.relpath(p, self.path).split(os.sep)[:-1])]
+        return found
+
+    def partitions(self) -> list[InputPartition]:
+        found = [p for p in self.paths() if all(COMPARISONS[kind](p, value) for name, kind, value in self.filters if name == "path")]
         return [Files(found[i : i + FILES_IN_PARTITION]) for i in range(0, len(found), FILES_IN_PARTITION)] or [Files([])]
 
     def wanted(self, content: bytes) -> bool:
@@ -87,49 +98,79 @@ class PngReader(DataSourceReader):
         arrow = to_arrow_schema(self.schema)
         for path in partition.paths:
             with open(path, "rb") as file:
-                content = file.read()
-            if self.wanted(content):
+                content = file.read(HEADER_BYTES)  # enough for the filters, and for all that header mode parses
+                wanted = self.wanted(content)
+                if wanted and self.mode != "header":
+                    content += file.read()
+            if wanted:
                 rows = files.guarded({"path": path}, "path", self.on_error, lambda content=content: files.read_one(content, self.mode, self.options, self.alpha))
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    """A finished attempt: its staging folder, and the files in it, by their paths below the target."""
+
+    def __init__(self, folder: str, paths: list[str]):
+        self.folder, self.paths = folder, paths
 
 
 class PngWriter(DataSourceArrowWriter):
-    """Rows with path (a name relative to the target), header fields and data, or with content, become files. Each is
-    written beside its place and renamed; an aborted job removes what it wrote."""
+    """Rows with path (a name relative to the target), header fields and data, or with content, become files.
+
+    Every attempt of a task writes to a staging folder of its own, so one that is retried after a lost executor meets
+    nothing of the first. The driver moves the files of the attempts that Spark committed to their places, and removes
+    the staging folder, whether the job ends well or not. overwrite removes the files that were there before."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.target, self.overwrite = options["path"], overwrite
+        self.staging = os.path.join(self.target, STAGING, uuid.uuid4().hex)
+        threads = options.get("threads", "single").lower()
         self.encode = codec.EncodeOptions(
             level=int(options.get("level", 6)), palette=options.get("palette", "keep"), strip=options.get("strip", "keep"), compression=options.get("compression", "dynamic"),
-            interlace=None if "interlace" not in options else options["interlace"].lower() == "true", segments=options.get("segments", "false").lower() == "true",
+            interlace=None if "interlace" not in options else options["interlace"].lower() == "true", threads=int(threads) if threads.isdigit() else threads,
         )
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        paths = []
+        folder, paths = os.path.join(self.staging, uuid.uuid4().hex), []
         for batch in iterator:
             for row in batch.to_pylist():
-                path = os.path.join(self.target, row["path"].lstrip("/"))
-                if os.path.exists(path) and not self.overwrite:
-                    raise FileExistsError(path)
+                path = os.path.normpath(row["path"].lstrip("/"))
+                if path.split(os.sep)[0] in ("..", ".", STAGING):
+                    raise ValueError(f"{row['path']} is not below the target")
                 content = row.get("content") or codec.encode(files._file(row), row["data"], self.encode)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(f"{path}.part", "wb") as file:
+                place = os.path.join(folder, path)
+                os.makedirs(os.path.dirname(place), exist_ok=True)
+                with open(place, "wb") as file:
                     file.write(content)
-                os.replace(f"{path}.part", path)
                 paths.append(path)
-        return Written(paths)
+        return Written(folder, paths)
+
+    def commit(self, messages: list) -> None:
+        found = [(m.folder, path) for m in messages if m for path in m.paths]
+        names = [path for _, path in found]
+        taken = [p for p in names if os.path.exists(os.path.join(self.target, p))] if not self.overwrite else []
+        if taken or len(set(names)) < len(names):
+            self.clean()
+            raise FileExistsError(taken[0] if taken else "two rows have the same path")
+        if self.overwrite:
+            for path in PngReader(StructType(), {"path": self.target}).paths():
+                os.remove(path)
+        for folder, path in found:
+            place = os.path.join(self.target, path)
+            os.makedirs(os.path.dirname(place), exist_ok=True)
+            os.replace(os.path.join(folder, path), place)
+        self.clean()
 
     def abort(self, messages: list) -> None:
-        for message in messages:
-            for path in message.paths if message else ():
-                if os.path.exists(path):
-                    os.remove(path)
+        self.clean()
+
+    def clean(self) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
+        try:
+            os.rmdir(os.path.dirname(self.staging))  # unless another job writes
+        except OSError:
+            pass
 
 
 class PngSource(DataSource):

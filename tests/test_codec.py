@@ -324,3 +324,93 @@ def test_animation_layout_errors():
             C.decode_animation(build(("IHDR", header.data()), *chunks))
         assert found.value.code == code
     assert len(C.decode_animation(build(("IHDR", header.data()), control(2), frame(0), idat, frame(1), data(2), end))[3]) == 2
+
+
+def test_sizes_that_no_buffer_can_have():
+    for interlace in (0, 1):
+        header = C.Header(2**31 - 1, 2**31 - 1, 16, C.RGBA, interlace)
+        for size in ("image_size", "scanline_size"):
+            with pytest.raises(C.PngError, match="ImageTooLarge"):
+                getattr(header, size)
+        whole = C.SIGNATURE + C.chunk_bytes("IHDR", header.data()) + C.chunk_bytes("IDAT", zlib.compress(b"")) + C.chunk_bytes("IEND", b"")
+        with pytest.raises(C.PngError, match="ImageTooLarge"):
+            C.decode(whole)
+
+
+def test_preparing_a_file_with_image_data_inside_a_chunk():
+    """An ancillary chunk may hold the bytes of an empty image data chunk."""
+    header = C.Header(2, 2, 8, C.GRAY)
+    file = C.File(header, ancillary=[C.Chunk("loOm", b"x" + C.chunk_bytes("IDAT", b"") + b"y", 0, C.BEFORE_PALETTE)])
+    whole = C.prepare(file, bytes(4))
+    parts = [C.compress_segment(whole.segment(i), 6) for i in range(whole.segment_count)]
+    found, data = C.decode(whole.finish(parts, C.EncodeOptions()))
+    assert data == bytes(4) and found.ancillary[0].data == file.ancillary[0].data
+
+
+def animated(colors: int, options=C.EncodeOptions()) -> bytes:
+    rng = np.random.default_rng(0)
+    frames = [(C.Control(0, 2, 2, 0, 0, 1, 10, 0, 0), rng.integers(0, colors, 16, dtype=np.uint8).tobytes()) for _ in range(3)]
+    return C.encode_animation(C.File(C.Header(2, 2, 8, C.RGBA)), frames, 4, None, options)
+
+
+def test_animations_keep_the_smaller_form():
+    for colors in (2, 200):
+        plain, auto = animated(colors), animated(colors, C.EncodeOptions(palette="auto"))
+        assert len(auto) <= len(plain)
+        shown = [[C.to_bitmap(h, d, f.palette, f.transparency) for _, h, d in frames] for f, _, _, frames in (C.decode_animation(plain), C.decode_animation(auto))]
+        assert shown[0] == shown[1]
+
+
+def test_animations_of_chunks():
+    """Chunks begin with IHDR; an animation's controls come with them, or an error where it is laid out wrong and strict."""
+    content = animated(200)
+    file = C.read_chunks(content)
+    assert [c.type for c in file.chunks] == [c.type for c in C.scan(content)] and file.chunks[0].position == C.BEFORE_PALETTE
+    assert file.animation[:2] == (3, 4) and [c.sequence for c in file.animation[2]] == [0, 1, 3]
+    chunks = [(c.type, c.data) for c in C.scan(content)]
+    whole = lambda parts: C.SIGNATURE + b"".join(C.chunk_bytes(k, d) for k, d in parts)
+    for damage in ([(k, bytes(8) if k == "acTL" else d) for k, d in chunks], [c for c in chunks if c[0] != "fdAT"]):
+        assert C.read_chunks(whole(damage)).animation is None
+        with pytest.raises(C.PngError):
+            C.read_chunks(whole(damage), C.Options(strict_ancillary=True))
+    still = whole([c for c in chunks if c[0] not in ("acTL", "fcTL", "fdAT")])
+    assert C.read_chunks(still, C.Options(strict_ancillary=True)).animation is None
+
+
+def test_threads_give_the_same_segments():
+    data = np.random.default_rng(1).integers(0, 9, 5 * C.SEGMENT // 2, dtype=np.uint8).tobytes()
+    streams = {t: C.compress(data, C.EncodeOptions(level=1, threads=t)) for t in ("single", "auto", 1, 3)}
+    assert streams["auto"] == streams[1] == streams[3] != streams["single"]
+    assert all(zlib.decompress(s) == data for s in streams.values())
+
+
+def test_wavefront_over_bands(monkeypatch):
+    """Images of several bands, as wide and as high as they come."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(C, "LANE_BYTES", 12)
+    for bpp in (1, 2, 3, 4, 6, 8):
+        for height, width in ((40, 3), (3, 40), (25, 25), (1, 9), (9, 1)):
+            raw = rng.integers(0, 256, (height, 1 + width * bpp), dtype=np.uint8)
+            raw[:, 0] = rng.integers(0, 5, height)
+            assert C.unfilter(raw, bpp).tolist() == slow_unfilter(raw, bpp)
+
+
+def test_files_by_an_independent_route():
+    """Written files are read by their definition alone: chunks, one zlib stream, filters byte by byte."""
+    rng = np.random.default_rng(9)
+    for color, depth in FORMATS:
+        header = C.Header(7, 5, depth, color)
+        data = C.pack(rng.integers(0, 1 << depth, (5, 7, header.channels)).astype(np.uint16), depth).tobytes()
+        content, at, stream = C.encode(C.File(header, palette=palette(header)), data), 8, b""
+        assert content[:8] == b"\x89PNG\r\n\x1a\n"
+        while at < len(content):
+            size, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+            assert zlib.crc32(content[at + 4 : at + 8 + size]) == int.from_bytes(content[at + 8 + size : at + 12 + size], "big")
+            stream += content[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+            at += 12 + size
+        lines = np.frombuffer(zlib.decompress(stream), np.uint8).reshape(5, -1)
+        assert bytes(v for line in slow_unfilter(lines, header.filter_bpp) for v in line) == data
+
+
+def test_metadata_that_is_empty():
+    assert C.is_empty({}) and C.is_empty({"gamma": None, "text": []}) and not C.is_empty({"gamma": 45455}) and not C.is_empty({"text": [{"kind": "tEXt"}]})

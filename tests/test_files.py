@@ -1,7 +1,11 @@
 """Data source, error modes and the streaming compositor."""
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import StructType
 
 from pixelloom.functions import codec as C
 from pixelloom.operators import files
@@ -29,6 +33,57 @@ def test_source_round_trip(spark, images, tmp_path):
     assert png.needed_mode({"width", "height"}) == "header" and png.needed_mode({"metadata"}) == "chunks" and png.needed_mode({"data"}) == "image"
     with pytest.raises(Exception, match="FileExistsError"):
         images.write.format(png.NAME).mode("append").save(str(tmp_path))
+    assert {r["path"]: bytes(r["data"]) for r in found.collect()} == wanted and not (tmp_path / png.STAGING).exists()
+    images.where("width > 6").write.format(png.NAME).mode("overwrite").save(str(tmp_path))
+    assert sorted(r["width"] for r in spark.read.format(png.NAME).option("mode", "header").load(str(tmp_path)).collect()) == [7, 8]
+
+
+def test_a_writer_task_that_is_tried_again(images, tmp_path):
+    """An attempt that dies midway leaves nothing that the next one, or the table's readers, would meet."""
+    batches = images.toArrow().to_batches()
+    writer = png.PngWriter({"path": str(tmp_path)}, False)
+
+    def dies():
+        yield batches[0]
+        raise RuntimeError("lost executor")
+
+    with pytest.raises(RuntimeError):
+        writer.write(dies())
+    assert png.PngReader(None, {"path": str(tmp_path)}).paths() == []
+    writer.commit([writer.write(iter(batches)), None])
+    assert len(png.PngReader(None, {"path": str(tmp_path)}).paths()) == 5 and not (tmp_path / png.STAGING).exists()
+    bad = batches[0].slice(0, 1).to_pylist()[0]
+    for path in ("../out.png", "a/../../out.png"):
+        with pytest.raises(ValueError, match="below the target"):
+            writer.write(iter([pa.RecordBatch.from_pylist([bad | {"path": path}])]))
+
+
+def test_header_mode_reads_no_more_than_headers(images, tmp_path):
+    writer = png.PngWriter({"path": str(tmp_path)}, False)
+    writer.commit([writer.write(iter(images.toArrow().to_batches()))])
+    for path in png.PngReader(None, {"path": str(tmp_path)}).paths():
+        with open(path, "r+b") as file:
+            file.truncate(png.HEADER_BYTES)  # what comes after is gone, and header mode doesn't notice
+    source = png.PngSource({"path": str(tmp_path), "mode": "header"})
+    reader = source.reader(StructType.fromDDL(source.schema()))
+    found = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    assert sorted(r["width"] for r in found) == [4, 5, 6, 7, 8] and not any(r["error"] for r in found)
+
+
+def test_hostile_files_are_values(spark):
+    """A size that no buffer can have, and an exception that no rule foresees, are errors of their rows."""
+    huge = C.SIGNATURE + C.chunk_bytes("IHDR", (2**31 - 1).to_bytes(4, "big") * 2 + bytes([16, 6, 0, 0, 0])) + C.chunk_bytes("IDAT", zlib.compress(b"x")) + C.chunk_bytes("IEND", b"")
+    found = files.read(spark.createDataFrame([(1, huge)], "file_id long, content binary"), "image").collect()
+    assert found[0]["error"]["code"] == "ImageTooLarge"
+    broken = lambda: [][0]
+    assert files.guarded({"k": 1}, "k", "PERMISSIVE", broken)[0]["error"]["code"] == "Unforeseen" and files.guarded({"k": 1}, "k", "DROPMALFORMED", broken) == []
+
+
+def test_batches_end_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(files, "OUTPUT_BYTES", 1000)  # in this process
+    df = spark.range(3).repartition(1)
+    out = files.map_rows(df, "id long, data binary", lambda r: [{"id": r["id"], "data": bytes(400)}] * 7)
+    assert out.count() == 21
 
 
 def test_error_modes(spark):
