@@ -837,6 +837,14 @@ class Canvas:
         self.header = Header(width, height, 8, RGBA)
         self.pending = None
 
+    @classmethod
+    def restored(cls, width: int, height: int, pixels: bytes, area: tuple[int, int, int, int], left: bytes | None) -> Canvas:
+        """A canvas after a frame of an area (x, y, width, height), with what that leaves to settle."""
+        canvas, (x, y, w, h) = cls(width, height), area
+        canvas.pixels = np.frombuffer(pixels, np.uint8).reshape(height, width, 4).copy()
+        canvas.pending = np.s_[y : y + h, x : x + w], None if left is None else np.frombuffer(left, np.uint8).reshape(h, w, 4)
+        return canvas
+
     def render(self, control: Control, rgba: bytes) -> bytes:
         if not control.fits(self.header):
             raise PngError("FrameOutOfBounds")

@@ -97,18 +97,23 @@ def test_error_modes(spark):
         files.read(df, "image", on_error="FAILFAST").collect()
 
 
-def test_out_of_order_frames_wait():
-    row = lambda k, v: {"k": k, "canvas_width": 1, "canvas_height": 1, "width": 1, "height": 1, "x": 0, "y": 0, "dispose": 0, "blend": 0, "data": bytes([v] * 4)}
-    state, shown = compositor.advance(None, [row(1, 1)])
-    assert shown == []
-    state, shown = compositor.advance(state, [row(2, 2), row(0, 0)])
-    assert shown == [(k, bytes([k] * 4)) for k in range(3)]
-    assert compositor.advance(state, [row(1, 9)])[1] == []
+def test_canvases_in_rows():
+    """Frames over a canvas that is taken apart into a row and put together again after each."""
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        plain, row = C.Canvas(5, 4), None
+        for k in range(6):
+            x, y = int(rng.integers(0, 4)), int(rng.integers(0, 3))
+            w, h = int(rng.integers(1, 6 - x)), int(rng.integers(1, 5 - y))
+            dispose, blend, data = int(rng.integers(0, 3)), int(rng.integers(0, 2)), rng.integers(0, 256, w * h * 4, dtype=np.uint8).tobytes()
+            row, pixels = compositor.shown(row, (5, 4, w, h, x, y, dispose, blend, data, 6), k)
+            assert pixels == plain.render(C.Control(0, w, h, x, y, 0, 0, dispose, blend), data)
+        assert row[:2] == (6, True) and row[4] is None
 
 
 def test_stream(spark, tmp_path):
-    rows = [(f"f{f}", k, 2, 1, 1, 1, k % 2, 0, k % 3, k % 2, bytes([10 * k + f, 0, 0, 100 + k])) for f in range(2) for k in range(6)]
-    schema = "file_id string, k long, canvas_width long, canvas_height long, width long, height long, x long, y long, dispose int, blend int, data binary"
+    rows = [(f"f{f}", k, 2, 1, 1, 1, k % 2, 0, k % 3, k % 2, bytes([10 * k + f, 0, 0, 100 + k]), 6 if f else None) for f in range(2) for k in range(6)]
+    schema = "file_id string, k long, canvas_width long, canvas_height long, width long, height long, x long, y long, dispose int, blend int, data binary, num_frames long"
     for i, part in enumerate((rows[3:8], rows[:3] + rows[8:], rows[:2])):
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
