@@ -84,7 +84,7 @@ def deal(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.R
     from pyspark import TaskContext
 
     first = TaskContext.get().partitionId() << 32
-    press = zstandard.ZstdCompressor(level=1).compress
+    press = zstandard.ZstdCompressor(level=3).compress
     held: list[tuple] = []
     size = rows = blocks = 0
 
@@ -169,7 +169,8 @@ class Block:
             rank = np.argsort(keys)
             found = np.zeros(len(keys), np.int64)
             for where, part in ranges(keys[rank], self.settings.fan_bits):
-                found[rank[part]] = unpack(given[order, where])
+                found[rank[part]] = unpack(given[order, where])  # of all the others
+            found += self.counts[order - 1]
             out.append(found)
         return out
 
@@ -328,16 +329,16 @@ def unpack_keys(data: bytes, where: int, bits: int) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64) + least_of(where, bits)
 
 
-def merged(rows: list[dict], order: int, where: int, bits: int) -> tuple[list[int], np.ndarray, list[np.ndarray], np.ndarray]:
-    """Of one range's questions of an order: which they are, the distinct keys, where each question's keys are among
-    them, and the sums of the counts."""
+def merged(rows: list[dict], order: int, where: int, bits: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Of one range's questions of an order: (which it is, where its keys are among the distinct ones, its counts) of
+    each, the distinct keys, and the sums of the counts."""
     mine = [i for i, r in enumerate(rows) if r["gram_order"] == order]
     if not mine:
-        return [], np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
+        return [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
     counts = [unpack(rows[i]["counts"]) for i in mine]
     keys, at = np.unique(np.concatenate([unpack_keys(rows[i]["keys"], where, bits) for i in mine]), return_inverse=True)
     sums = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)  # exact up to 2 ** 53
-    return mine, keys, np.split(at, np.cumsum([len(c) for c in counts])[:-1]), sums
+    return list(zip(mine, np.split(at, np.cumsum([len(c) for c in counts])[:-1]), counts)), keys, sums
 
 
 def reply(rows: list[dict], totals: list[bytes], tokens: int, words: int) -> pa.Table:
@@ -352,7 +353,8 @@ def reply(rows: list[dict], totals: list[bytes], tokens: int, words: int) -> pa.
 
 
 def total_counts(asked: DataFrame, settings: Settings, levels: int, level: int = 1) -> DataFrame:
-    """ANSWER to each row of ASKED, whose ranges are of this level; the last level adds up, others ask finer ranges."""
+    """ANSWER to each row of ASKED, whose ranges are of this level: the counts of all other askers, as those are small
+    numbers where an n-gram is rare. The last level adds up, others ask finer ranges."""
     bits, fan_bits, orders = settings.fan_bits * level, settings.fan_bits, range(1, settings.order + 1)
     if level == levels:
 
@@ -361,9 +363,9 @@ def total_counts(asked: DataFrame, settings: Settings, levels: int, level: int =
             totals: list[bytes] = [b""] * len(rows)
             tokens = words = 0
             for order in orders:
-                mine, _, places, sums = merged(rows, order, rows[0]["range"], bits)
-                for i, at in zip(mine, places):
-                    totals[i] = pack(sums[at])
+                asked_here, _, sums = merged(rows, order, rows[0]["range"], bits)
+                for i, at, own in asked_here:
+                    totals[i] = pack(sums[at].astype(np.uint64) - own)
                 if order == 1:
                     tokens, words = int(sums.sum()), int((sums > 0).sum())
             return reply(rows, totals, tokens, words)
@@ -379,7 +381,7 @@ def total_counts(asked: DataFrame, settings: Settings, levels: int, level: int =
         rows, out = table.to_pylist(), []
         where = rows[0]["range"]
         for order in orders:
-            _, keys, _, sums = merged(rows, order, where, bits)
+            _, keys, sums = merged(rows, order, where, bits)
             for finer, part in ranges(keys, bits + fan_bits):
                 out.append((rows[0]["group"] << bits | where, finer, order, pack_keys(keys[part], finer, bits + fan_bits), pack(sums[part])))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -389,10 +391,10 @@ def total_counts(asked: DataFrame, settings: Settings, levels: int, level: int =
         rows, given = table.to_pylist(), sorted(answers.to_pylist(), key=lambda r: (r["gram_order"], r["finer"]))
         totals: list[bytes] = [b""] * len(rows)
         for order in orders:
-            mine, _, places, _ = merged(rows, order, rows[0]["range"], bits)
-            sums = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["totals"]) for r in given if r["gram_order"] == order)])
-            for i, at in zip(mine, places):
-                totals[i] = pack(sums[at])
+            asked_here, _, sums = merged(rows, order, rows[0]["range"], bits)
+            others = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["totals"]) for r in given if r["gram_order"] == order)])
+            for i, at, own in asked_here:
+                totals[i] = pack((others + sums.astype(np.uint64))[at] - own)
         return reply(rows, totals, sum(r["tokens"] for r in given), sum(r["words"] for r in given))
 
     finer = total_counts(asked.groupBy("group", "range").applyInArrow(ask, ASKED), settings, levels, level + 1)
