@@ -512,7 +512,12 @@ def rows_of(rows: list[list[int]]) -> np.ndarray:
 
 
 def unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
-    """Rows with a filter byte each to rows of plain bytes.
+    """Rows with a filter byte each to rows of plain bytes."""
+    return np.ascontiguousarray(reconstruct(raw, bpp))
+
+
+def reconstruct(raw: np.ndarray, bpp: int) -> np.ndarray:
+    """unfilter() as a view of a larger array.
 
     None, Sub and Up rows follow from prefix sums. Between the first and the last row that predicts from reconstructed
     neighbours on both sides, anti-diagonals are independent, so they go one at a time for all those rows."""
@@ -521,15 +526,11 @@ def unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
         raise PngError("InvalidFilterType", value=int(kinds[kinds > 4][0]))
     height, size = rows.shape
     pixels = -(-size // bpp)
-    if size == pixels * bpp and not kinds.any():
+    if not kinds.any():
         return rows
-    out = np.zeros((height + 1, pixels + 1, bpp), np.uint8)  # a row above and a pixel before of zeros
-    if size == pixels * bpp:
-        out[1:, 1:] = rows.reshape(height, pixels, bpp)
-    else:  # the last pixel of a row of odd bytes is filled up
-        padded = np.zeros((height, pixels * bpp), np.uint8)
-        padded[:, :size] = rows
-        out[1:, 1:] = padded.reshape(height, pixels, bpp)
+    out = np.zeros((height + 1, pixels + 1, bpp), np.uint8)  # a row above and a pixel before of zeros; odd bytes filled up
+    plain = out.reshape(height + 1, -1)[1:, bpp : bpp + size]  # whole rows move faster than pixels
+    plain[...] = rows
     hard = np.flatnonzero(kinds >= 3)
     first, last = (int(hard[0]), int(hard[-1]) + 1) if len(hard) else (height, height)
 
@@ -551,7 +552,7 @@ def unfilter(raw: np.ndarray, bpp: int) -> np.ndarray:
         wavefront(out[start : min(start + band, last) + 1, 1:], kinds[start : min(start + band, last)])
     if last < height:
         easy(last, height)
-    return np.ascontiguousarray(out[1:, 1:]).reshape(height, -1)[:, :size]
+    return plain
 
 
 #: Bytes that wavefront() handles in one step at most, and of its buffer.
@@ -682,7 +683,7 @@ def decode(content: bytes, options: Options = Options()) -> tuple[File, bytes]:
 def native_pixels(raw: bytes, header: Header) -> bytes:
     """Inflated scanlines to packed rows; without interlacing they need no unpacking."""
     if not header.interlace:
-        return unfilter(np.frombuffer(raw, np.uint8).reshape(header.height, -1), header.filter_bpp).tobytes()
+        return unfilter(np.frombuffer(raw, np.uint8).reshape(header.height, -1), header.filter_bpp).tobytes()  # contiguous first: that copies by rows
     return pack(decode_samples(raw, header), header.bit_depth).tobytes()
 
 
@@ -690,7 +691,11 @@ def to_bitmap(header: Header, data: bytes, palette: bytes | None, transparency:
     """RGBA8 or RGB8 pixels; what is that already stays as it is."""
     if header.bit_depth == 8 and header.color_type == (RGBA if alpha else RGB):
         return data
-    v = unpack(data, header.width, header.height, header.bit_depth, header.channels)
+    depth, keyed = header.bit_depth, alpha and transparency is not None and header.color_type != INDEXED
+    if depth == 16:  # the high bytes
+        scaled = np.frombuffer(data, np.uint8).reshape(header.height, header.width, header.channels, 2)[..., 0]
+    if depth < 16 or keyed:
+        v = unpack(data, header.width, header.height, depth, header.channels)
     if header.color_type == INDEXED:
         entries = len(palette) // 3
         if (beyond := v[v >= entries]).size:
@@ -699,22 +704,18 @@ def to_bitmap(header: Header, data: bytes, palette: bytes | None, transparency:
         table[:, :3] = np.frombuffer(palette, np.uint8).reshape(-1, 3)
         if transparency:
             table[: len(transparency.values), 3] = transparency.values
-        return np.ascontiguousarray(table[v[:, :, 0]][:, :, : 4 if alpha else 3]).tobytes()
-    depth = header.bit_depth
-    scaled = (v >> 8).astype(np.uint8) if depth == 16 else v if depth == 8 else (v.astype(np.uint16) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+        return np.ascontiguousarray(table[:, : 4 if alpha else 3])[v[:, :, 0]].tobytes()
+    if depth < 16:
+        scaled = v if depth == 8 else (v.astype(np.uint16) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    out = np.empty((header.height, header.width, 4 if alpha else 3), np.uint8)
     has_alpha = header.color_type in (GRAY_ALPHA, RGBA)
-    colors = scaled[:, :, :-1] if has_alpha else scaled
-    if colors.shape[2] == 1:
-        colors = np.repeat(colors, 3, 2)
-    if not alpha:
-        return np.ascontiguousarray(colors).tobytes()
-    if has_alpha:
-        opacity = scaled[:, :, -1:]
-    elif transparency:  # keyed at the file's own depth
-        opacity = np.where((v == np.array(transparency.values)).all(2, keepdims=True), 0, 255).astype(np.uint8)
-    else:
-        opacity = np.full((*v.shape[:2], 1), 255, np.uint8)
-    return np.concatenate([colors, opacity], 2).tobytes()
+    for place in range(3):
+        out[..., place] = scaled[..., place if header.color_type in (RGB, RGBA) else 0]
+    if alpha:
+        out[..., 3] = scaled[..., -1] if has_alpha else 255
+        if keyed:  # at the file's own depth
+            out[..., 3][(v == np.array(transparency.values)).all(2)] = 0
+    return out.tobytes()
 
 
 # Animation
