@@ -1,6 +1,7 @@
 """A corpus pipeline: language, quality, near duplicates, personal data, packing.
 
-Every stage works on all that the one before kept. All but the last return the columns of documents.
+Every stage works on all that the one before kept. All but the last return the columns of documents, as they came,
+whatever else is in them. Ids may be null or repeated; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import jaccard, language, packing, pii, quality, vocabulary
-from pixelloom.llm.common import cut
+from pixelloom.llm.common import cut, free
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which string kernels recognise a language; those without text or letters go."""
+    """Documents in which string kernels recognise a language: the one predicted must be among the learned ones, and
+    have most of the text's n-grams. Those without text or letters go, as do all where nothing can be learned."""
     return language.recognised(docs, language.learn(docs))
 
 
 def compressible(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules and their compression bands keep."""
+    """Documents that the quality rules and their compression bands keep; null and empty texts go, as they have no words.
+    Rows that repeat are judged alike."""
     return quality.kept(docs)
 
 
@@ -39,13 +42,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked in the text, and n_chars to match."""
+    """Personal data masked in the text, and n_chars to match, which is null for a null text. No row goes."""
     masked = pii.masked(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences; a null text counts as empty and has its end id."""
     return packing.pack(docs, vocabulary.public_path("byte_bpe_50k.json"))
 
 
@@ -61,7 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over the whole documents table: the packed pieces of what is kept. Each stage's
+    output is a table, which goes when the next stage's is there."""
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        kept = cut(stage(spark, docs, sf_dir))
+        if made is not None:
+            free(made)
+        docs = made = kept
     return STAGES[-1][1](spark, docs, sf_dir)
