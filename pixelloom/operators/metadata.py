@@ -153,6 +153,13 @@ def transparency_error(data: Column, color_type: Column, palette_size: Column) -
     )
 
 
+def transparency_values(data: Column, color_type: Column, depth: Column) -> Column:
+    """Of good data: the key's samples, cut to the file's depth, or the alpha of each palette entry."""
+    sample = lambda i: uint(data, 2 * i, 2).bitwiseAND((F.pow(F.lit(2), depth) - 1).cast("long"))
+    alphas = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+    return F.when(color_type == 0, F.array(sample(0))).when(color_type == 2, F.array(*map(sample, range(3)))).otherwise(alphas)
+
+
 def in_writing_order(types: DataFrame) -> DataFrame:
     """types has file_id, type: the types of each file in the order they are written."""
     rank = F.array_position(F.array(*map(F.lit, WRITING_ORDER)), F.col("type"))

@@ -191,6 +191,20 @@ WHEN color_type = 3 AND n = 0 THEN 'InvalidTransparencyLength' WHEN color_type =
 WHEN color_type = 0 AND n <> 2 THEN 'InvalidTransparencyLength' WHEN color_type = 2 AND n <> 6 THEN 'InvalidTransparencyLength' END AS error FROM cr"""
 
 
+def q_trns_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of good transparency: key samples cut to the depth, or alphas."""
+    color, size = F.expr("element_at(array(0, 2, 3), cast(file_id % 3 + 1 as int))"), F.expr("element_at(array(2, 6, cast(ord % 7 + 1 as int)), cast(file_id % 3 + 1 as int))")
+    depth = F.expr("element_at(array(1, 2, 4, 8, 16), cast(ord % 5 + 1 as int))")
+    rows = stream(spark, sf_dir).select("file_id", "ord", F.substring(F.col("digest"), F.lit(1), size).alias("data"), color.alias("color_type"), depth.alias("depth"))
+    values = M.transparency_values(F.col("data"), F.col("color_type"), F.col("depth"))
+    return rows.select("file_id", "ord", F.array_join(F.transform(values, lambda v: v.cast("string")), " ").alias("key"))
+
+
+_KEYS = [" || ' ' || ".join(f"CAST(({byte(2 * i)} * 256 + {byte(2 * i + 1)}) % (1 << depth) AS VARCHAR)" for i in range(n)) for n in (1, 3)]
+SQL_TRNS_VALUES = f"""WITH {STREAM}, d AS (SELECT *, [1, 2, 4, 8, 16][ord % 5 + 1] AS depth FROM stream)
+SELECT file_id, ord, CASE file_id % 3 WHEN 0 THEN {_KEYS[0]} WHEN 1 THEN {_KEYS[1]} ELSE array_to_string(list_transform(range(ord % 7 + 1), lambda i: {_at("i")}), ' ') END AS key FROM d"""
+
+
 def _bytes(*values: Column) -> Column:
     return F.concat(*[F.unhex(F.lpad(F.hex(v.cast("long")), 2, "0")) for v in values])
 
@@ -249,34 +263,36 @@ FROM p GROUP BY 1, 2"""
 
 
 def q_meta_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as tEXt: the first word is the keyword, the rest Latin-1 text."""
-    word = F.substring_index("text", " ", 1)
-    data = F.concat(F.encode(word, "ISO-8859-1"), F.unhex(F.lit("00")), F.encode("text", "ISO-8859-1"))
-    latin = ~F.col("text").rlike("[^\\x00-\\xff]")
-    error, value = M.plain_text(F.col("data"))
-    rows = table(spark, sf_dir, "documents").where(latin & ~F.col("text").contains("\0")).select("doc_id", data.alias("data"))
+    """Documents as tEXt: the first word is the keyword, the rest Latin-1 text; what isn't, or holds a zero, is an error."""
+    fits = ~F.col("text").rlike("[^\\x01-\\xff]")
+    text = F.when(fits, F.col("text"))
+    data = F.concat(F.encode(F.substring_index(text, " ", 1), "ISO-8859-1"), F.unhex(F.lit("00")), F.encode(text, "ISO-8859-1"))
+    bad, value = M.plain_text(F.col("data"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", data.alias("data"), fits.alias("fits"))
+    error = F.when(~F.col("fits"), M.DATA).otherwise(bad)
     good = lambda c: F.when(error.isNull(), c)
     return rows.select("doc_id", error.alias("error"), good(value["keyword"]).alias("keyword"), good(F.md5(value["text"].cast("binary"))).alias("digest"))
 
 
 _WORD_OK = r"length(word) BETWEEN 1 AND 79 AND NOT regexp_matches(word, '[^ -~\x{00a1}-\x{00ff}]') AND word NOT LIKE ' %' AND word NOT LIKE '% ' AND word NOT LIKE '%  %'"
-SQL_META_TEXT = rf"""WITH k AS (SELECT doc_id, text, split_part(text, ' ', 1) AS word FROM documents WHERE NOT regexp_matches(text, '[^\x{{0000}}-\x{{00ff}}]') AND strpos(text, chr(0)) = 0),
-e AS (SELECT *, CASE WHEN NOT ({_WORD_OK}) THEN 'InvalidChunkData' END AS error FROM k)
+SQL_META_TEXT = rf"""WITH k AS (SELECT doc_id, text, split_part(text, ' ', 1) AS word, NOT regexp_matches(text, '[^\x{{0001}}-\x{{00ff}}]') AS fits FROM documents),
+e AS (SELECT *, CASE WHEN NOT fits OR NOT ({_WORD_OK}) THEN 'InvalidChunkData' END AS error FROM k)
 SELECT doc_id, error, CASE WHEN error IS NULL THEN word END AS keyword, CASE WHEN error IS NULL THEN md5(text) END AS digest FROM e"""
 
 
 def q_meta_international(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as iTXt without compression, in UTF-8."""
+    """Documents as iTXt without compression, in UTF-8; one with a zero in it is an error."""
     zero = F.unhex(F.lit("00"))
     data = F.concat(F.lit("Title").cast("binary"), zero, zero, F.when(F.expr("doc_id % 7 = 0"), F.unhex(F.lit("01"))).otherwise(zero), F.col("lang").cast("binary"), zero, F.col("source").cast("binary"), zero, F.col("text").cast("binary"))
-    error, value = M.international_text(F.col("data"))
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").contains("\0")).select("doc_id", data.alias("data"))
+    bad, value = M.international_text(F.col("data"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", data.alias("data"), F.col("text").contains("\0").alias("zero"))
+    error = F.when(F.col("zero"), M.DATA).otherwise(bad)
     good = lambda c: F.when(error.isNull(), c)
     return rows.select("doc_id", error.alias("error"), good(value["language"]).alias("language"), good(value["translated"]).alias("translated"), good(F.md5(value["text"].cast("binary"))).alias("digest"))
 
 
-SQL_META_INTERNATIONAL = """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'InvalidChunkData' END AS error, CASE WHEN doc_id % 7 <> 0 THEN lang END AS language,
-CASE WHEN doc_id % 7 <> 0 THEN source END AS translated, CASE WHEN doc_id % 7 <> 0 THEN md5(text) END AS digest FROM documents WHERE strpos(text, chr(0)) = 0"""
+SQL_META_INTERNATIONAL = """SELECT doc_id, CASE WHEN bad THEN 'InvalidChunkData' END AS error, CASE WHEN NOT bad THEN lang END AS language,
+CASE WHEN NOT bad THEN source END AS translated, CASE WHEN NOT bad THEN md5(text) END AS digest FROM (SELECT *, doc_id % 7 = 0 OR strpos(text, chr(0)) > 0 AS bad FROM documents)"""
 
 
 def q_meta_order(spark: SparkSession, sf_dir: str) -> DataFrame:
