@@ -31,15 +31,15 @@ FROM embeddings, (SELECT unnest(range(64)) AS i))"""
 
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img, pos, r, g, b, a"""
-    lines = table(spark, sf_dir, "lineitem").withColumn("img", F.expr("l_orderkey % 97"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("img", F.expr("l_orderkey div 1024"))
     return lines.select(
         "img", (F.row_number().over(Window.partitionBy("img").orderBy(*LINEITEM)) - 1).alias("pos"), F.expr("cast(l_quantity * 5 as int)").alias("r"),
         F.expr("cast((img % 8) * round(l_discount * 100) as int)").alias("g"), F.lit(0).alias("b"), F.expr("case l_returnflag when 'A' then 0 when 'R' then 128 else 255 end").alias("a"),
     )
 
 
-COLORS = f"""colors AS (SELECT l_orderkey % 97 AS img, row_number() OVER (PARTITION BY l_orderkey % 97 ORDER BY {", ".join(LINEITEM)}) - 1 AS pos,
-CAST(l_quantity * 5 AS INT) AS r, CAST((l_orderkey % 97 % 8) * round(l_discount * 100) AS INT) AS g, 0 AS b,
+COLORS = f"""colors AS (SELECT l_orderkey // 1024 AS img, row_number() OVER (PARTITION BY l_orderkey // 1024 ORDER BY {", ".join(LINEITEM)}) - 1 AS pos,
+CAST(l_quantity * 5 AS INT) AS r, CAST((l_orderkey // 1024 % 8) * round(l_discount * 100) AS INT) AS g, 0 AS b,
 CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 128 ELSE 255 END AS a FROM lineitem)"""
 
 
