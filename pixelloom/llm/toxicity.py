@@ -115,13 +115,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     weight = np.where(y, n0 / n1, 1.0) ** 0.5 / len(y)
     for step in range(1, STEPS + 1):
-        z = np.clip(np.bincount(row, theta[column], len(owner)) + theta[-1], -40, 40)
-        p = 1 / (1 + np.exp(-z))
-        quiet = np.bincount(owner, np.logaddexp(0, z), len(y))  # minus the log chance that nothing offends
-        pull = np.where(y, -1 / np.expm1(np.clip(quiet, 1e-9, 500)), 1.0) * weight
-        slope = pull[owner] * p
-        gradient = np.append(np.bincount(column, slope[row], len(vocabulary)), slope.sum())
-        gradient[:-1] += RIDGE / len(y) * theta[:-1]
+        gradient = loss(theta, row, column, owner, y, weight)[1]
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
     z = np.bincount(row, theta[column], len(owner)) + theta[-1]
@@ -129,6 +123,19 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     return Model(float(theta[-1]), {f: float(theta[i]) for f, i in vocabulary.items()}, slope, shift)
 
 
+def loss(theta: np.ndarray, row: np.ndarray, column: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """The weighted noisy-or loss with its penalty, and its gradient. theta: weights of features and the bias; row and
+    column: which sentence has which feature; owner: the document of each sentence."""
+    z = np.clip(np.bincount(row, theta[column], len(owner)) + theta[-1], -40, 40)
+    quiet = np.bincount(owner, np.logaddexp(0, z), len(y))  # minus the log chance that nothing offends
+    bounded = np.clip(quiet, 1e-9, 500)
+    total = np.where(y, -np.log(-np.expm1(-bounded)), quiet) @ weight + RIDGE / len(y) / 2 * theta[:-1] @ theta[:-1]
+    slope = (np.where(y, -1 / np.expm1(bounded), 1.0) * weight)[owner] / (1 + np.exp(-z))
+    gradient = np.append(np.bincount(column, slope[row], len(theta) - 1), slope.sum())
+    gradient[:-1] += RIDGE / len(y) * theta[:-1]
+    return float(total), gradient
+
+
 def log_odds(quiet):
     """Of a noisy-or, from minus the log chance that nothing offends."""
     return np.clip(np.log(np.expm1(np.clip(quiet, 1e-9, 12))), -12, 12)

@@ -171,6 +171,28 @@ def test_noisy_or_against_the_definition(prose_of):
         assert toxicity.score(model, sums, text)[0] == pytest.approx(1 / (1 + math.exp(-(1.3 * odds - 0.4))), abs=1e-6)
 
 
+def test_gradient_of_the_noisy_or_loss():
+    """Against differences of the loss, and the loss against products of plain chances."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    owner, y = np.sort(rng.integers(0, 6, 15)), np.array([True, False] * 3)
+    owner = np.unique(np.concatenate([owner, np.arange(6)]), return_inverse=True)[0]
+    owner.sort()
+    row, column, theta, weight = rng.integers(0, len(owner), 40), rng.integers(0, 5, 40), rng.normal(size=6), rng.random(6)
+    total, gradient = toxicity.loss(theta, row, column, owner, y, weight)
+    for i in range(6):
+        step = np.eye(6)[i] * 1e-6
+        slope = (toxicity.loss(theta + step, row, column, owner, y, weight)[0] - toxicity.loss(theta - step, row, column, owner, y, weight)[0]) / 2e-6
+        assert gradient[i] == pytest.approx(slope, rel=1e-4, abs=1e-7)
+    plain = 0.05 / 6 / 2 * sum(t * t for t in theta[:-1])
+    for d in range(6):
+        chances = [1 / (1 + math.exp(-theta[-1] - sum(theta[c] for r, c in zip(row, column) if r == s))) for s in range(len(owner)) if owner[s] == d]
+        quiet = math.prod(1 - p for p in chances)
+        plain -= weight[d] * math.log(1 - quiet if y[d] else quiet)
+    assert total == pytest.approx(plain, rel=1e-9)
+
+
 def test_kernel_features_against_plain_sets():
     model = language.fit([("the thing of", "en"), ("der ding und", "de"), ("the other", "en"), ("das und der", "de")])
     text = "The DER, 12 and"
