@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, free, lower_ascii, mix, texts, tidy
+from .common import WordIds, cut, free, lower_ascii, mix, pack, texts, tidy, unpack
 
 WORDS, PERCENT = 5, 80
 #: Bands grow by this factor, more than 100 / PERCENT, so that a set mostly probes two. Up to SINGLE shingles each
@@ -36,6 +36,8 @@ GROWTH, SINGLE, SEGMENTS, ALL_DELETIONS, DELETIONS = 1.3, 32, 0.3, 400, 8
 #: Shingles handled at once, of a bucket, of the members in a part of a centre's group, and of parts checked at once:
 #: memory follows from shingles, as texts may be long.
 FLUSH, BUCKET_ROWS, PART, BIN = 600_000, 1_500_000, 500_000, 1_000_000
+#: Ranges of buckets that rows are dealt to at once; the bucket number, and the mark, of sets to be joined by shingles.
+FAN, HARD = 256, -1
 #: Bytes of a class that signature rows carry; classes that share them are candidates together, and then told apart.
 REF_BYTES = 8
 #: Commonest shingles that a task reports, from so many documents on, and that the allocation knows.
@@ -206,16 +208,13 @@ def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray, density: float
 
 
 def pack_rows(sig: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
-    """Signature rows of a bucket, ascending: differences of 32 bits and 16-bit owners, byte planes apart so that
-    the shuffle's compression finds the zeros."""
+    """Signature rows, ascending: the signatures as differences, and their owners."""
     order = np.argsort(sig)
-    steps = np.diff(sig[order].astype(np.uint32), prepend=np.uint32(0)).astype("<u4")
-    return steps.view(np.uint8).reshape(-1, 4).T.tobytes(), owner[order].astype("<u2").tobytes()
+    return pack(np.diff(sig[order], prepend=np.uint64(0))), pack(owner[order])
 
 
 def unpack_rows(sig: bytes, owner: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(sig, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint64), np.frombuffer(owner, "<u2").astype(np.int64)
+    return np.cumsum(unpack(sig), dtype=np.uint64), unpack(owner).astype(np.int64)
 
 
 def ref_of(name: bytes, length: int) -> bytes:
@@ -223,11 +222,34 @@ def ref_of(name: bytes, length: int) -> bytes:
 
 
 PACKED = "bucket long, classes binary, index_sig binary, index_set binary, probe_sig binary, probe_set binary"
-
-
-def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -> DataFrame:
-    """PACKED: the signatures of all non-empty sets, equal sets of a flush once; under the number after the last bucket,
-    the sets whose signatures are not enough."""
+LOW = np.uint64(32)
+
+
+def packed_rows(names: np.ndarray, rows: tuple[np.ndarray, ...], buckets: tuple[np.ndarray, np.ndarray], width: int, out: list[tuple]) -> None:
+    """Adds PACKED rows to out: index and probe signatures by the range of `width` buckets they fall into. A signature is
+    its bucket's place in the range, then its low half; owners are numbers among the classes that the row names."""
+    ranges = [b // width for b in buckets]
+    order = [np.argsort(r.astype(np.uint16) if r.max(initial=0) < 1 << 16 else r, kind="stable") for r in ranges]
+    used_ranges = np.unique(np.concatenate(ranges))  # as many as there are signatures at most
+    low = [np.searchsorted(r[o], used_ranges) for r, o in zip(ranges, order)]
+    high = [np.searchsorted(r[o], used_ranges, side="right") for r, o in zip(ranges, order)]
+    value = [(b % width).astype(np.uint64) << LOW | s & np.uint64(0xFFFFFFFF) for b, s in zip(buckets, (rows[0], rows[2]))]
+    for i, k in enumerate(used_ranges.tolist()):
+        index, probe = (o[a[i] : b[i]] for o, a, b in zip(order, low, high))
+        used, at = np.unique(np.concatenate([rows[1][index], rows[3][probe]]), return_inverse=True)
+        n = len(index)
+        out.append((k, names[used].tobytes(), *pack_rows(value[0][index], at[:n]), *pack_rows(value[1][probe], at[n:])))
+
+
+def packed_batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out)) or [()] * 6
+    kinds = [pa.int64(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+
+def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int, width: int) -> DataFrame:
+    """PACKED: the signatures of all non-empty sets, equal sets of a flush once; under HARD, the sets whose signatures
+    are not enough."""
     length, density = REF_BYTES, SEGMENTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,36 +263,63 @@ def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int) -
                 continue
             sets = Sets(np.concatenate([sets.one(i) for i in kept]), sets.sizes[kept])
             rows = signatures(sets, heavy, counts, density)
-            bucket = [((s >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) for s in (rows[0], rows[2])]
-            order = [np.argsort(b.astype(np.uint16) if buckets < 1 << 16 else b, kind="stable") for b in bucket]
-            used_buckets = np.unique(np.concatenate(bucket))  # as many as the flush has signatures at most
-            low = [np.searchsorted(b[o], used_buckets) for b, o in zip(bucket, order)]
-            high = [np.searchsorted(b[o], used_buckets, side="right") for b, o in zip(bucket, order)]
             names = np.frombuffer(b"".join(ref_of(classes[i], length) for i in kept), ">u8")
-            out = []
-            for i, k in enumerate(used_buckets.tolist()):
-                parts = [o[a[i] : b[i]] for o, a, b in zip(order, low, high)]
-                used, at = np.unique(np.concatenate([rows[1][parts[0]], rows[3][parts[1]]]), return_inverse=True)
-                n = len(parts[0])
-                index, probe = (s & np.uint64(0xFFFFFFFF) for s in (rows[0][parts[0]], rows[2][parts[1]]))
-                out.append((k, names[used].tobytes(), *pack_rows(index, at[:n]), *pack_rows(probe, at[n:])))
+            out: list[tuple] = []
+            packed_rows(names, rows, tuple(((s >> LOW) % np.uint64(buckets)).astype(np.int64) for s in (rows[0], rows[2])), width, out)
             if rows[4].any():
-                out.append((buckets, names[rows[4]].tobytes(), *[b""] * 4))
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[c.split()[0] for c in PACKED.split(", ")])
+                out.append((HARD, names[rows[4]].tobytes(), *[pack(np.zeros(0, np.uint64))] * 4))
+            yield packed_batch(out)
 
     return docs.mapInArrow(run, PACKED)
 
 
+def finer(packed: DataFrame, width: int, narrower: int, groups: int) -> DataFrame:
+    """PACKED by ranges of fewer buckets: about FAN rows of a range are merged at a time and dealt to its parts, so that
+    rows stay as long, and as many from each, as they were."""
+
+    def split(table: pa.Table) -> pa.Table:
+        tidy()
+        rows = table.to_pylist()
+        if rows[0]["bucket"] == HARD:
+            return table.select([c.split()[0] for c in PACKED.split(", ")])
+        names, classes = np.unique(np.frombuffer(b"".join(r["classes"] for r in rows), ">u8"), return_inverse=True)
+        starts = np.cumsum([0] + [len(r["classes"]) // 8 for r in rows])
+        found: list[list[np.ndarray]] = [[], [], [], []]
+        for r, start in zip(rows, starts.tolist()):
+            for i, kind in enumerate(("index", "probe")):
+                sig, owner = unpack_rows(r[f"{kind}_sig"], r[f"{kind}_set"])
+                found[2 * i].append(sig)
+                found[2 * i + 1].append(classes[start + owner])
+        merged = tuple(map(np.concatenate, found))
+        buckets = tuple(rows[0]["bucket"] * width + (s >> LOW).astype(np.int64) for s in (merged[0], merged[2]))
+        out: list[tuple] = []
+        packed_rows(names, merged, buckets, narrower, out)
+        return pa.Table.from_batches([packed_batch(out)])
+
+    return packed.withColumn("part", F.pmod(F.xxhash64("classes"), F.lit(groups))).groupBy("bucket", "part").applyInArrow(split, PACKED)
+
+
+def by_bucket(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int, shingles: int) -> DataFrame:
+    """PACKED by bucket. A flush sends to FAN ranges at most, however many buckets there are; ranges are cut into FAN
+    again until each is one bucket."""
+    width = 1
+    while -(-buckets // width) > FAN:
+        width *= FAN
+    packed = emit(docs, heavy, counts, buckets, width)
+    while width > 1:
+        table = cut(packed)
+        packed, width = finer(table, width, width // FAN, 1 + shingles // (FLUSH * FAN)), width // FAN
+    return packed
+
+
 CANDIDATES = "centre binary, member binary, mutual int"
-HARD = -1
 
 
-def candidates(table: pa.Table, buckets: int) -> pa.Table:
+def candidates(table: pa.Table) -> pa.Table:
     """A bucket's groups as (centre, member) pairs; mutual: members of a group may also link to each other, HARD: a set
     whose signatures are not enough."""
     tidy()
-    if table["bucket"][0].as_py() == buckets:
+    if table["bucket"][0].as_py() == HARD:
         data = b"".join(table["classes"].to_pylist())
         names = [data[i : i + 8] for i in range(0, len(data), 8)]
         return pa.table({"centre": pa.array(names, pa.binary()), "member": pa.array(names, pa.binary()), "mutual": pa.array([HARD] * len(names), pa.int32())})
@@ -529,7 +578,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles = documents.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-shingles // BUCKET_ROWS))
 
-    pairs = emit(docs.where("doc_id is not null"), heavy, counts, buckets).groupBy("bucket").applyInArrow(lambda table: candidates(table, buckets), CANDIDATES)
+    pairs = by_bucket(docs.where("doc_id is not null"), heavy, counts, buckets, shingles).groupBy("bucket").applyInArrow(candidates, CANDIDATES)
     twins = referred(classes).groupBy("ref").count().where("count > 1")
     pairs = pairs.union(twins.select("ref", "ref", F.lit(1)))  # different classes under one reference
     # of a pair that both a group and a set's lack of units give, the group's is a row of its own

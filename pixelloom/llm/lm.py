@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, mix, remainder, texts, tidy
+from .common import WordIds, cut, mix, pack, remainder, texts, tidy, unpack
 
 @dataclass(frozen=True)
 class Settings:
@@ -277,36 +277,6 @@ class Run:
 # Questions and answers
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned numbers as the byte planes that the greatest needs, lowest first; a plane that compresses is compressed.
-    In front: the number of planes, and the bytes of each."""
-    import zstandard
-
-    press = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
-    wide = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    planes = []
-    for i in range(wide):
-        plane = np.ascontiguousarray(values.astype("<u8", copy=False).view(np.uint8)[i::8]).tobytes()
-        small = press(plane)
-        planes.append(small if len(small) < len(plane) else plane)
-    sizes = np.array([wide, len(values), *map(len, planes)], "<u4").tobytes()
-    return sizes + b"".join(planes)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
-    wide, n = np.frombuffer(data, "<u4", 2).tolist()
-    expand = zstandard.ZstdDecompressor().decompress
-    out = np.zeros((n, 8), np.uint8)
-    at = 8 + 4 * wide
-    for i, size in enumerate(np.frombuffer(data, "<u4", wide, 8).tolist()):
-        plane = data[at : at + size]
-        at += size
-        out[:, i] = np.frombuffer(plane if size == n else expand(plane), np.uint8)
-    return out.view("<u8").reshape(-1)
-
-
 def least_of(where: int, bits: int) -> np.uint64:
     """The lowest key of a range, of which there are 2 ** bits."""
     return np.uint64(where << 64 - bits)

@@ -56,7 +56,8 @@ def test_jaccard_components(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     for small in (False, True):
         if small:
-            monkeypatch.setattr(jaccard, "BUCKET_ROWS", 2500)
+            monkeypatch.setattr(jaccard, "BUCKET_ROWS", 700)
+            monkeypatch.setattr(jaccard, "FAN", 3)  # several levels of ranges
             monkeypatch.setattr(jaccard, "PART", 150)
             monkeypatch.setattr(jaccard, "FLUSH", 1500)
             monkeypatch.setattr(jaccard, "REF_BYTES", 1)  # many classes share their short form
