@@ -126,3 +126,17 @@ def test_stream(spark, tmp_path):
         for r in (r for r in rows if r[0] == f"f{f}"):
             wanted[r[0], r[1]] = canvas.render(C.Control(0, *r[4:8], 0, 0, *r[8:10]), r[10])
     assert found == wanted
+
+
+def test_empty_metadata_columns(spark):
+    from pyspark.sql import functions as F
+
+    from pixelloom.operators import metadata
+
+    header = C.Header(1, 1, 8, C.GRAY)
+    text = {"kind": "tEXt", "keyword": "Title", "language": "", "translated": "", "compressed": False, "text": "x"}
+    made = [C.encode(C.File(header, metadata=m), b"\1") for m in ({}, {"gamma": 45455}, {"text": [text]})]
+    found = files.read(spark.createDataFrame(list(enumerate(made)), "file_id long, content binary"), "chunks")
+    names = found.schema["metadata"].dataType.names
+    rows = found.select("file_id", metadata.is_empty(F.col("metadata"), names).alias("empty")).collect()
+    assert {r["file_id"]: r["empty"] for r in rows} == {0: True, 1: False, 2: False}
