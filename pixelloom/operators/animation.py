@@ -1,13 +1,17 @@
-"""Animations: layout and rules as windows over chunks, cropping as a comparison of frames, rendering as a fold."""
+"""Animations: layout and rules as windows over chunks, cropping as a comparison of frames, rendering as a pass over
+the frames of many pixels at once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import blend_over
-
-RGBA = "struct<r:int,g:int,b:int,a:int>"
+from ..functions import codec
 
 
 def laid_out(chunks: DataFrame) -> DataFrame:
@@ -66,26 +70,40 @@ def rendered(px: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """What each pixel shows at each frame: keys, k, r, g, b, a.
 
     px has the keys of a pixel, k, covered, dispose, blend and r, g, b, a. Pixels don't touch each other, so each is
-    a fold over its frames; the state is its color and, where the frame before leaves something to settle, the color
-    to go back to. On the first frame there is nothing to go back to but an empty canvas."""
-    frame = F.struct("k", "covered", "dispose", "blend", F.struct(*[F.col(c).cast("int").alias(c) for c in "rgba"]).alias("above"))
+    a pass over its own frames, in order; a batch of pixels goes through its first frames together, then its second ones,
+    and so on. The state is a pixel's color and, where the frame before leaves something to settle, the color to go back
+    to. On the first frame there is nothing to go back to but an empty canvas."""
+    from ..plans.shipping import ship
+
+    ship(px.sparkSession)
+    whole = {c: "long" if c == "k" else "boolean" if c == "covered" else "int" for c in ("k", "covered", "dispose", "blend", *"rgba")}
+    frame = F.struct(*[F.col(c).cast(kind).alias(c) for c, kind in whole.items()])
     ordered = px.groupBy(*keys).agg(F.array_sort(F.collect_list(frame)).alias("frames"))
-    empty = F.struct(*[F.lit(0).alias(c) for c in "rgba"])
-
-    def step(state, now):
-        canvas = F.when(state["back"].isNull(), state["canvas"]).otherwise(state["back"])
-        back = F.when(now["dispose"] == 0, F.lit(None).cast(RGBA)).when((now["dispose"] == 1) | (now["k"] == 0), empty).otherwise(canvas)
-        drawn = F.when(now["blend"] == 0, now["above"]).otherwise(blend_over(canvas, now["above"]))
-        shown = F.when(now["covered"], drawn).otherwise(canvas)
-        return F.struct(
-            shown.cast(RGBA).alias("canvas"),
-            F.when(now["covered"], back).cast(RGBA).alias("back"),
-            F.array_append(state["out"], F.struct(now["k"].alias("k"), shown.cast(RGBA).alias("c"))).alias("out"),
-        )
-
-    start = F.struct(empty.cast(RGBA).alias("canvas"), F.lit(None).cast(RGBA).alias("back"), F.array().cast(f"array<struct<k:bigint,c:{RGBA}>>").alias("out"))
-    folded = ordered.withColumn("frames", F.transform("frames", lambda f: f.withField("k", f["k"].cast("bigint")))).select(*keys, F.aggregate("frames", start, step)["out"].alias("out"))
-    return folded.select(*keys, F.explode("out").alias("o")).select(*keys, "o.k", "o.c.r", "o.c.g", "o.c.b", "o.c.a")
+    kinds = {f.name: f.dataType.simpleString() for f in px.schema.fields if f.name in keys}
+    names = [*keys, "k", *"rgba"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            sizes = pc.list_value_length(lists).to_numpy()
+            flat, starts = lists.flatten(), np.cumsum(sizes) - sizes
+            k, covered, dispose, blend, *color = (pc.fill_null(flat.field(i), False if i == 1 else 0).to_numpy(zero_copy_only=False) for i in range(len(whole)))
+            above, out = np.stack(color, 1).astype(np.uint8), np.zeros((len(k), 4), np.uint8)
+            canvas, back, settle = np.zeros((len(sizes), 4), np.uint8), np.zeros((len(sizes), 4), np.uint8), np.zeros(len(sizes), bool)
+            for step in range(int(sizes.max(initial=0))):
+                live = np.flatnonzero(sizes > step)
+                at = starts[live] + step
+                before = np.where(settle[live, None], back[live], canvas[live])
+                drawn = np.where(blend[at, None] == 0, above[at], codec.blend_over(before, above[at]))
+                canvas[live] = out[at] = np.where(covered[at, None], drawn, before)
+                settle[live] = covered[at] & (dispose[at] != 0)
+                back[live] = np.where((dispose[at, None] == 1) | (k[at, None] == 0), 0, before)
+            row = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            columns = [*(batch.column(i).take(row) for i in range(len(keys))), pa.array(k), *(pa.array(out[:, i].astype(np.int32)) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), "k long", *(f"{c} int" for c in "rgba")])
+    return ordered.select(*keys, "frames").mapInArrow(run, schema)
 
 
 def changed_areas(px: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:

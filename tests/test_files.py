@@ -140,3 +140,17 @@ def test_empty_metadata_columns(spark):
     names = found.schema["metadata"].dataType.names
     rows = found.select("file_id", metadata.is_empty(F.col("metadata"), names).alias("empty")).collect()
     assert {r["file_id"]: r["empty"] for r in rows} == {0: True, 1: False, 2: False}
+
+
+def test_blending_as_columns(spark):
+    from pyspark.sql import functions as F
+
+    from pixelloom.functions import expressions as X
+
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 256, (300, 8), dtype=np.uint8)
+    v[::3, 7], v[1::5, 7], v[::4, 3] = 0, 255, 0
+    df = spark.createDataFrame([(i, *map(int, row)) for i, row in enumerate(v)], "i int, r int, g int, b int, a int, r2 int, g2 int, b2 int, a2 int")
+    two = [F.struct(*[F.col(c + n).alias(c) for c in "rgba"]) for n in ("", "2")]
+    found = df.select("i", X.blend_over(*two).alias("o")).select("i", "o.r", "o.g", "o.b", "o.a").orderBy("i").collect()
+    assert [list(r[1:]) for r in found] == C.blend_over(v[:, :4], v[:, 4:]).tolist()
