@@ -43,7 +43,7 @@ OUTPUT_BYTES = 32 << 20
 
 
 def map_rows(df: DataFrame, schema: str, function: Callable[[dict], list[dict]], batch: int = 64) -> DataFrame:
-    """Every row to any number of rows, in Arrow batches that end after `batch` input rows or OUTPUT_BYTES."""
+    """Every row to any number of rows, in Arrow batches that end after about `batch` rows or OUTPUT_BYTES."""
     from ..plans.shipping import ship
 
     ship(df.sparkSession)
@@ -53,14 +53,16 @@ def map_rows(df: DataFrame, schema: str, function: Callable[[dict], list[dict]],
         for whole in batches:
             rows: list[dict] = []
             size = 0
-            for at in range(len(whole)):
-                for out in function(whole.slice(at, 1).to_pylist()[0]):
-                    rows.append(out)
-                    size += sum(len(v) for v in out.values() if isinstance(v, bytes))
-                    if size >= OUTPUT_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, arrow)
-                        rows, size = [], 0
-                if rows and (at + 1) % batch == 0:
+            step = max(1, min(batch, OUTPUT_BYTES * len(whole) // max(1, whole.nbytes)))  # input rows turned into objects at once
+            for at in range(0, len(whole), step):
+                for row in whole.slice(at, step).to_pylist():
+                    for out in function(row):
+                        rows.append(out)
+                        size += sum(len(v) for v in out.values() if isinstance(v, bytes))
+                        if size >= OUTPUT_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, arrow)
+                            rows, size = [], 0
+                if len(rows) >= batch:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
                     rows, size = [], 0
             if rows:
