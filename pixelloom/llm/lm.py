@@ -40,7 +40,7 @@ class Settings:
     order: int = 3
     priors: tuple[float, ...] = (200.0, 20.0, 10.0, 5.0)
     add: float = 0.1
-    block_bytes: int = 6_000_000
+    block_bytes: int = 7_000_000
     range_grams: int = 1_500_000
     fan_bits: int = 8
     stride: int = 512
@@ -84,7 +84,7 @@ def deal(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.R
     from pyspark import TaskContext
 
     first = TaskContext.get().partitionId() << 32
-    press = zstandard.ZstdCompressor(level=3).compress
+    press = zstandard.ZstdCompressor(level=6).compress
     held: list[tuple] = []
     size = rows = blocks = 0
 
