@@ -16,6 +16,7 @@ split into parts, with a second round across the parts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -39,7 +40,7 @@ FLUSH, BUCKET_ROWS, PART, BIN = 600_000, 1_500_000, 500_000, 1_000_000
 #: Ranges of buckets that rows are dealt to at once; the bucket number, and the mark, of sets to be joined by shingles.
 FAN, HARD = 256, -1
 #: Bytes of a class that signature rows carry; classes that share them are candidates together, and then told apart.
-REF_BYTES = 8
+REF_BYTES = 5
 #: Commonest shingles that a task reports, from so many documents on, and that the allocation knows.
 HEAVY_TASK, HEAVY_LEAST, HEAVY = 2000, 4, 50_000
 CACHE_WORDS = 120_000
@@ -217,6 +218,15 @@ def unpack_rows(sig: bytes, owner: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unpack(sig), dtype=np.uint64), unpack(owner).astype(np.int64)
 
 
+def pack_names(names: np.ndarray) -> bytes:
+    """Names of classes, ascending, as differences: one that a row names costs less than its bytes, the more the row has."""
+    return pack(np.diff(names, prepend=np.uint64(0)))
+
+
+def unpack_names(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
 def ref_of(name: bytes, length: int) -> bytes:
     return name[:length] + bytes(8 - length)
 
@@ -227,7 +237,8 @@ LOW = np.uint64(32)
 
 def packed_rows(names: np.ndarray, rows: tuple[np.ndarray, ...], buckets: tuple[np.ndarray, np.ndarray], width: int, out: list[tuple]) -> None:
     """Adds PACKED rows to out: index and probe signatures by the range of `width` buckets they fall into. A signature is
-    its bucket's place in the range, then its low half; owners are numbers among the classes that the row names."""
+    its bucket's place in the range, then its low half; owners are numbers among the classes that the row names. names:
+    ascending."""
     ranges = [b // width for b in buckets]
     order = [np.argsort(r.astype(np.uint16) if r.max(initial=0) < 1 << 16 else r, kind="stable") for r in ranges]
     used_ranges = np.unique(np.concatenate(ranges))  # as many as there are signatures at most
@@ -238,7 +249,7 @@ def packed_rows(names: np.ndarray, rows: tuple[np.ndarray, ...], buckets: tuple[
         index, probe = (o[a[i] : b[i]] for o, a, b in zip(order, low, high))
         used, at = np.unique(np.concatenate([rows[1][index], rows[3][probe]]), return_inverse=True)
         n = len(index)
-        out.append((k, names[used].tobytes(), *pack_rows(value[0][index], at[:n]), *pack_rows(value[1][probe], at[n:])))
+        out.append((k, pack_names(names[used]), *pack_rows(value[0][index], at[:n]), *pack_rows(value[1][probe], at[n:])))
 
 
 def packed_batch(out: list[tuple]) -> pa.RecordBatch:
@@ -258,32 +269,34 @@ def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int, w
         for batch in batches_of(batches):
             sets = shingle_sets(batch.column(1).to_pylist(), ids)
             classes = sets.classes()
-            kept = sorted({c: i for i, c in reversed(list(enumerate(classes))) if c is not None}.values())
+            kept = [i for _, i in sorted({c: i for i, c in reversed(list(enumerate(classes))) if c is not None}.items())]
             if not kept:
                 continue
             sets = Sets(np.concatenate([sets.one(i) for i in kept]), sets.sizes[kept])
             rows = signatures(sets, heavy, counts, density)
-            names = np.frombuffer(b"".join(ref_of(classes[i], length) for i in kept), ">u8")
+            names = np.frombuffer(b"".join(ref_of(classes[i], length) for i in kept), ">u8").astype(np.uint64)
             out: list[tuple] = []
             packed_rows(names, rows, tuple(((s >> LOW) % np.uint64(buckets)).astype(np.int64) for s in (rows[0], rows[2])), width, out)
             if rows[4].any():
-                out.append((HARD, names[rows[4]].tobytes(), *[pack(np.zeros(0, np.uint64))] * 4))
+                out.append((HARD, pack_names(names[rows[4]]), *[pack(np.zeros(0, np.uint64))] * 4))
             yield packed_batch(out)
 
     return docs.mapInArrow(run, PACKED)
 
 
 def finer(packed: DataFrame, width: int, narrower: int, groups: int) -> DataFrame:
-    """PACKED by ranges of fewer buckets: about FAN rows of a range are merged at a time and dealt to its parts, so that
-    rows stay as long, and as many from each, as they were."""
+    """PACKED by ranges of fewer buckets: rows of a range are merged, in `groups` groups, and dealt to its parts. Groups are
+    dealt by place, as copies of whole flushes have equal classes."""
 
     def split(table: pa.Table) -> pa.Table:
         tidy()
         rows = table.to_pylist()
-        if rows[0]["bucket"] == HARD:
+        first = rows[0]["bucket"]
+        if first == HARD:
             return table.select([c.split()[0] for c in PACKED.split(", ")])
-        names, classes = np.unique(np.frombuffer(b"".join(r["classes"] for r in rows), ">u8"), return_inverse=True)
-        starts = np.cumsum([0] + [len(r["classes"]) // 8 for r in rows])
+        named = [unpack_names(r["classes"]) for r in rows]
+        names, classes = np.unique(np.concatenate(named), return_inverse=True)
+        starts = np.cumsum([0, *map(len, named)])
         found: list[list[np.ndarray]] = [[], [], [], []]
         for r, start in zip(rows, starts.tolist()):
             for i, kind in enumerate(("index", "probe")):
@@ -291,24 +304,28 @@ def finer(packed: DataFrame, width: int, narrower: int, groups: int) -> DataFram
                 found[2 * i].append(sig)
                 found[2 * i + 1].append(classes[start + owner])
         merged = tuple(map(np.concatenate, found))
-        buckets = tuple(rows[0]["bucket"] * width + (s >> LOW).astype(np.int64) for s in (merged[0], merged[2]))
+        del rows, classes, found
+        buckets = tuple(first * width + (s >> LOW).astype(np.int64) for s in (merged[0], merged[2]))
         out: list[tuple] = []
         packed_rows(names, merged, buckets, narrower, out)
         return pa.Table.from_batches([packed_batch(out)])
 
-    return packed.withColumn("part", F.pmod(F.xxhash64("classes"), F.lit(groups))).groupBy("bucket", "part").applyInArrow(split, PACKED)
+    return packed.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))).groupBy("bucket", "part").applyInArrow(split, PACKED)
 
 
 def by_bucket(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int, shingles: int) -> DataFrame:
-    """PACKED by bucket. A flush sends to FAN ranges at most, however many buckets there are; ranges are cut into FAN
-    again until each is one bucket."""
-    width = 1
-    while -(-buckets // width) > FAN:
-        width *= FAN
+    """PACKED by bucket. A flush sends to FAN ranges at most, however many buckets there are; ranges are cut again until
+    each is one bucket. All levels have about the same number of ranges, so that rows stay as long as they were, and what
+    is merged at a time has the shingles of a flush, however much there is. Levels are shuffles of one query: a table
+    between them would take more disk."""
+    levels = 1
+    while (fan := math.ceil(buckets ** (1 / levels))) > FAN:
+        levels += 1
+    width = fan ** (levels - 1)
     packed = emit(docs, heavy, counts, buckets, width)
     while width > 1:
-        table = cut(packed)
-        packed, width = finer(table, width, width // FAN, 1 + shingles // (FLUSH * FAN)), width // FAN
+        ranges = -(-buckets // width)
+        packed, width = finer(packed, width, width // fan, 1 + shingles // (ranges * FLUSH)), width // fan
     return packed
 
 
@@ -320,18 +337,18 @@ def candidates(table: pa.Table) -> pa.Table:
     whose signatures are not enough."""
     tidy()
     if table["bucket"][0].as_py() == HARD:
-        data = b"".join(table["classes"].to_pylist())
+        data = np.concatenate([unpack_names(c) for c in table["classes"].to_pylist()]).astype(">u8").tobytes()
         names = [data[i : i + 8] for i in range(0, len(data), 8)]
         return pa.table({"centre": pa.array(names, pa.binary()), "member": pa.array(names, pa.binary()), "mutual": pa.array([HARD] * len(names), pa.int32())})
     rows = table.to_pylist()
-    refs = np.frombuffer(b"".join(r["classes"] for r in rows), ">u8").astype(np.uint64)
+    named = [unpack_names(r["classes"]) for r in rows]
+    refs = np.concatenate(named)
     known = distinct(refs)
     number = known.searchsorted(refs).astype(np.uint64)
     data = known.astype(">u8").tobytes()
     names = [data[i : i + 8] for i in range(0, len(data), 8)]
     sig, who, at = [], [], 0
-    for r in rows:
-        n = len(r["classes"]) // 8
+    for r, n in zip(rows, map(len, named)):
         mine = number[at : at + n]
         at += n
         for kind, name in enumerate(("index", "probe")):
@@ -587,11 +604,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not hard.isEmpty():
         pairs = cut(pairs.union(met(docs, classes, referred(classes).join(hard, "ref", "left_semi"))).groupBy("centre", "member").agg(F.max("mutual").alias("mutual")))
     routes = route(pairs, classes)
-    bins = 1 + (routes.agg(F.sum("n")).first()[0] or 0) // BIN  # parts of many centres at once
     needed = routes.select("class", "first").distinct().hint("merge")
     needed_texts = cut(docs.join(needed, docs["doc_id"] == needed["first"]).select("class", "text"))
 
     def sent_to(routes: DataFrame, *keys: str) -> DataFrame:
+        bins = 1 + (routes.agg(F.sum("n")).first()[0] or 0) // BIN  # parts of many centres at once
         sent = needed_texts.join(routes.drop("first", "n").hint("merge"), "class")
         return sent.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins))).groupBy("bin")
 

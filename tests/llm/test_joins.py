@@ -75,6 +75,30 @@ def test_sets_without_units_enough_lose_no_link(spark, monkeypatch):
     assert [found[i]["component_id"] for i in range(len(texts))] == roots
 
 
+def test_merged_groups_do_not_grow(monkeypatch):
+    """What a task merges of a range of buckets stays about a flush, however many buckets there are."""
+    merged = []
+    monkeypatch.setattr(jaccard, "emit", lambda docs, heavy, counts, buckets, width: merged.append((width, 1)))
+    monkeypatch.setattr(jaccard, "finer", lambda packed, width, narrower, groups: merged.append((narrower, groups * -(-buckets // width))))
+    monkeypatch.setattr(jaccard, "cut", lambda df: df)
+    for buckets in (1, 256, 257, 1040, 5000, 65_537, 10**6):
+        merged.clear()
+        jaccard.by_bucket(None, None, None, buckets, buckets * jaccard.BUCKET_ROWS)
+        widths, groups = zip(*merged)
+        assert widths[-1] == 1 and all(-(-a // b) <= jaccard.FAN for a, b in zip((buckets, *widths), widths))
+        assert all(buckets * jaccard.BUCKET_ROWS <= n * jaccard.FLUSH for n in groups[1:])
+
+
+def test_equal_rows_are_not_merged_at_once(spark):
+    """Copies of whole flushes name the same classes."""
+    out: list[tuple] = []
+    rows = np.arange(8, dtype=np.uint64) << jaccard.LOW, np.zeros(8, np.int64)
+    jaccard.packed_rows(np.array([7], np.uint64), (*rows, *rows), (np.arange(8),) * 2, 8, out)
+    packed = spark.createDataFrame([tuple(out[0])] * 60, jaccard.PACKED).repartition(4)
+    found = jaccard.finer(packed, 8, 1, 10).groupBy("bucket").count().collect()
+    assert sorted(r["bucket"] for r in found) == list(range(8)) and all(5 <= r["count"] <= 10 for r in found)
+
+
 def test_may_link_misses_no_pair():
     rng = np.random.default_rng(4)
     for _ in range(60):
