@@ -32,7 +32,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are compared by themselves, whatever their id: those that share an id but not a text may be in different
     components, and rows without an id link too. A text without words links to nothing but its own copies under its id."""
     row, id_ = "pixelloom_row", F.col("doc_id").cast("long")
-    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # a written table, so that the numbers stay
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), compression="zstd")  # a written table, so that the numbers stay
     linked = jaccard.link_components(numbered, id_col=row).select(F.col("doc_id").alias("linked"), "component_id", "n_shingles")
     rows = numbered.select(row, id_.alias("id"), F.xxhash64("text").alias("hash")).join(linked, F.col(row) == F.col("linked"))
     wordless = F.col("n_shingles") == 0

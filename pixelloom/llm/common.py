@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,8 +44,11 @@ def tidy() -> None:
     arrays by themselves and give free memory back."""
     import ctypes
 
+    import pyarrow as pa
+
     for clear in CACHES:
         clear()
+    pa.default_memory_pool().release_unused()
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
@@ -89,18 +95,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session's setting for what runs meanwhile."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame, **options) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors
     cost no recomputation of what came before. The shuffle files that led to it go at once, the table with free() or
     when the driver exits. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pixelloom-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with setting(spark, SHUFFLE_CLEANUP, "true"):
         df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
     atexit.register(remove, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.pixelloom_path = path

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, free, lower_ascii, mix, pack, texts, tidy, unpack
+from .common import BATCH_BYTES, WordIds, cut, free, lower_ascii, mix, pack, setting, texts, tidy, unpack
 
 WORDS, PERCENT = 5, 80
 #: Bands grow by this factor, more than 100 / PERCENT, so that a set mostly probes two. Up to SINGLE shingles each
@@ -37,6 +37,10 @@ GROWTH, SINGLE, SEGMENTS, ALL_DELETIONS, DELETIONS = 1.3, 32, 0.3, 400, 8
 #: Shingles handled at once, of a bucket, of the members in a part of a centre's group, and of parts checked at once:
 #: memory follows from shingles, as texts may be long.
 FLUSH, BUCKET_ROWS, PART, BIN = 600_000, 1_500_000, 500_000, 1_000_000
+#: Bytes of a batch of rows on their way to Python, which take several times as many in the JVM: the text of two flushes.
+BATCH = 7_000_000
+#: Shingles, and signature rows, that are worked on at once within these: what arithmetic needs in between is many times as large.
+STEP = 100_000
 #: Ranges of buckets that rows are dealt to at once; the bucket number, and the mark, of sets to be joined by shingles.
 FAN, HARD = 256, -1
 #: Bytes of a class that signature rows carry; classes that share them are candidates together, and then told apart.
@@ -88,10 +92,14 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(batch: list[str | None], ids: WordIds) -> Sets:
-    words = [lower_ascii(t).split() if t else [] for t in batch]
-    counts = np.array([len(w) for w in words], np.int64)
-    numbers = np.fromiter(map(ids.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+    numbered = [np.zeros(0, np.int64)]
+    for text in batch:  # the words of one text at a time, as objects take many times the text's bytes
+        words = lower_ascii(text).split() if text else []
+        numbered.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words)))
+    counts = np.array([len(n) for n in numbered[1:]], np.int64)
+    numbers = np.concatenate(numbered)
     tokens = ids.hashes()[numbers] if len(numbers) else np.zeros(0, np.uint64)
+    del numbered, numbers
     if len(ids) > CACHE_WORDS:
         ids.forget()
     rolled = mix(tokens)
@@ -208,6 +216,18 @@ def signatures(sets: Sets, heavy: np.ndarray, counts: np.ndarray, density: float
     return join(index_sig, np.uint64), join(index_set, np.int64), join(probe_sig, np.uint64), join(probe_set, np.int64), hard
 
 
+def stepwise(sets: Sets, heavy: np.ndarray, counts: np.ndarray, density: float = SEGMENTS) -> tuple[np.ndarray, ...]:
+    """signatures(), of about STEP shingles' sets at a time."""
+    starts, found, at = np.append(sets.starts, len(sets.shingles)), [], 0
+    while at < len(sets.sizes):
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + STEP, side="right")) - 1)
+        some = Sets(sets.shingles[starts[at] : starts[end]], sets.sizes[at:end])
+        index_sig, index_set, probe_sig, probe_set, hard = signatures(some, heavy, counts, density)
+        found.append((index_sig, index_set + at, probe_sig, probe_set + at, hard))
+        at = end
+    return tuple(map(np.concatenate, zip(*found)))
+
+
 def pack_rows(sig: np.ndarray, owner: np.ndarray) -> tuple[bytes, bytes]:
     """Signature rows, ascending: the signatures as differences, and their owners."""
     order = np.argsort(sig)
@@ -263,23 +283,27 @@ def emit(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, buckets: int, w
     are not enough."""
     length, density = REF_BYTES, SEGMENTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tidy()
-        ids = WordIds()
-        for batch in batches_of(batches):
-            sets = shingle_sets(batch.column(1).to_pylist(), ids)
-            classes = sets.classes()
-            kept = [i for _, i in sorted({c: i for i, c in reversed(list(enumerate(classes))) if c is not None}.items())]
-            if not kept:
-                continue
+    def flush(batch: pa.RecordBatch, ids: WordIds) -> list[tuple]:
+        sets = shingle_sets(batch.column(1).to_pylist(), ids)
+        classes = sets.classes()
+        kept = [i for _, i in sorted({c: i for i, c in reversed(list(enumerate(classes))) if c is not None}.items())]
+        out: list[tuple] = []
+        if kept:
             sets = Sets(np.concatenate([sets.one(i) for i in kept]), sets.sizes[kept])
-            rows = signatures(sets, heavy, counts, density)
             names = np.frombuffer(b"".join(ref_of(classes[i], length) for i in kept), ">u8").astype(np.uint64)
-            out: list[tuple] = []
+            rows = stepwise(sets, heavy, counts, density)
+            del sets
             packed_rows(names, rows, tuple(((s >> LOW) % np.uint64(buckets)).astype(np.int64) for s in (rows[0], rows[2])), width, out)
             if rows[4].any():
                 out.append((HARD, pack_names(names[rows[4]]), *[pack(np.zeros(0, np.uint64))] * 4))
-            yield packed_batch(out)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
+        ids = WordIds()
+        for batch in batches_of(batches):
+            if out := flush(batch, ids):
+                yield packed_batch(out)
 
     return docs.mapInArrow(run, PACKED)
 
@@ -340,27 +364,41 @@ def candidates(table: pa.Table) -> pa.Table:
         data = np.concatenate([unpack_names(c) for c in table["classes"].to_pylist()]).astype(">u8").tobytes()
         names = [data[i : i + 8] for i in range(0, len(data), 8)]
         return pa.table({"centre": pa.array(names, pa.binary()), "member": pa.array(names, pa.binary()), "mutual": pa.array([HARD] * len(names), pa.int32())})
-    rows = table.to_pylist()
-    named = [unpack_names(r["classes"]) for r in rows]
-    refs = np.concatenate(named)
-    known = distinct(refs)
-    number = known.searchsorted(refs).astype(np.uint64)
-    data = known.astype(">u8").tobytes()
-    names = [data[i : i + 8] for i in range(0, len(data), 8)]
-    sig, who, at = [], [], 0
-    for r, n in zip(rows, map(len, named)):
-        mine = number[at : at + n]
-        at += n
+    named = [unpack_names(c) for c in table["classes"].to_pylist()]
+    known = distinct(np.concatenate(named))
+    named = [known.searchsorted(n).astype(np.uint32) for n in named]
+    packed = []
+    for row, mine in zip(table.select(["index_sig", "index_set", "probe_sig", "probe_set"]).to_batches(max_chunksize=1), named):
+        of = row.to_pylist()[0]
         for kind, name in enumerate(("index", "probe")):
-            s, o = unpack_rows(r[f"{name}_sig"], r[f"{name}_set"])
-            sig.append(s)
-            who.append(mine[o] << np.uint64(1) | np.uint64(kind))
-    keys = distinct(np.concatenate(sig) << np.uint64(32) | np.concatenate(who))
+            sig, owner = unpack_rows(of[f"{name}_sig"], of[f"{name}_set"])
+            packed.append(sig << np.uint64(32) | mine[owner].astype(np.uint64) << np.uint64(1) | np.uint64(kind))
+    keys = np.concatenate(packed)  # signature, class, kind
+    del named, packed
+    keys.sort()
+    pairs, at = [np.zeros(0, np.uint64)], 0
+    while at < len(keys):  # whole groups, some after others
+        last = keys[min(at + STEP, len(keys)) - 1] | np.uint64(0xFFFFFFFF)
+        end = int(keys.searchsorted(last, side="right"))
+        pairs.append(pairs_of(keys[at:end]))
+        at = end
+    found = distinct(np.concatenate(pairs))
+    last = np.append(found[1:] >> np.uint64(1) != found[:-1] >> np.uint64(1), True) if len(found) else found.astype(bool)
+    found = found[last]  # mutual if any group says so
+    names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(known), [None, pa.py_buffer(known.astype(">u8"))])
+    left, right = (names.take(pa.array(found >> np.uint64(shift) & np.uint64(0x7FFFFFFF))).cast(pa.binary()) for shift in (33, 1))
+    return pa.table({"centre": left, "member": right, "mutual": pa.array((found & np.uint64(1)).astype(np.int32))})
+
+
+def pairs_of(keys: np.ndarray) -> np.ndarray:
+    """The pairs of some signatures' groups: the centre's number, the member's, and whether they are mutual. keys:
+    ascending."""
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
     # only signatures of more than one class matter
     near = np.flatnonzero((keys[1:] >> np.uint64(32) == keys[:-1] >> np.uint64(32)) & (keys[1:] >> np.uint64(1) != keys[:-1] >> np.uint64(1)))
     shared = distinct(keys[near] >> np.uint64(32))
     if not len(shared):
-        return pa.table({"centre": pa.array([], pa.binary()), "member": pa.array([], pa.binary()), "mutual": pa.array([], pa.int32())})
+        return np.zeros(0, np.uint64)
     at = np.minimum(np.searchsorted(shared, keys >> np.uint64(32)), len(shared) - 1)
     keys = keys[shared[at] == keys >> np.uint64(32)]
     both = keys >> np.uint64(1)  # signature and class
@@ -386,11 +424,7 @@ def candidates(table: pa.Table) -> pa.Table:
             else:
                 members = distinct(part)
                 pairs.append((members[0] << np.uint64(32) | members[1:]) << np.uint64(1) | np.uint64(1))
-    found = distinct(np.concatenate(pairs))
-    last = np.append(found[1:] >> np.uint64(1) != found[:-1] >> np.uint64(1), True) if len(found) else found.astype(bool)
-    found = found[last]  # mutual if any group says so
-    left, right = ([names[i] for i in (found >> np.uint64(shift) & np.uint64(0x7FFFFFFF)).tolist()] for shift in (33, 1))
-    return pa.table({"centre": pa.array(left, pa.binary()), "member": pa.array(right, pa.binary()), "mutual": pa.array((found & np.uint64(1)).astype(np.int32))})
+    return distinct(np.concatenate(pairs))
 
 
 # Exact comparison
@@ -564,7 +598,11 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to nothing and has no component. Rows that repeat have equal sets, so they link. Rows that share an id but not
     a text are documents of their own. An empty table gives an empty one; other columns are ignored. Sets are
     compared by the 64-bit hashes of their shingles."""
-    docs = texts(docs, id_col, text_col)
+    with setting(docs.sparkSession, BATCH_BYTES, f"{BATCH}b"):  # what is returned runs no Python
+        return linked_documents(texts(docs, id_col, text_col))
+
+
+def linked_documents(docs: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -605,7 +643,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = cut(pairs.union(met(docs, classes, referred(classes).join(hard, "ref", "left_semi"))).groupBy("centre", "member").agg(F.max("mutual").alias("mutual")))
     routes = route(pairs, classes)
     needed = routes.select("class", "first").distinct().hint("merge")
-    needed_texts = cut(docs.join(needed, docs["doc_id"] == needed["first"]).select("class", "text"))
+    needed_texts = cut(docs.join(needed, docs["doc_id"] == needed["first"]).select("class", "text"), compression="zstd")
 
     def sent_to(routes: DataFrame, *keys: str) -> DataFrame:
         bins = 1 + (routes.agg(F.sum("n")).first()[0] or 0) // BIN  # parts of many centres at once

@@ -2,11 +2,14 @@
 
 import collections
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 
 from pixelloom.llm import jaccard, knn
+from pixelloom.llm.common import BATCH_BYTES
 
 
 def near_copies(rng: random.Random) -> list:
@@ -99,6 +102,77 @@ def test_equal_rows_are_not_merged_at_once(spark):
     assert sorted(r["bucket"] for r in found) == list(range(8)) and all(5 <= r["count"] <= 10 for r in found)
 
 
+def traced(run) -> int:
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def wide_bucket(classes: int, rows: int, per_row: int) -> pa.Table:
+    """A bucket whose rows name many classes, with few signatures of each."""
+    rng, out = np.random.default_rng(6), []
+    for _ in range(rows):
+        names = np.unique(rng.integers(0, 1 << 62, size=classes // rows).astype(np.uint64))
+        sig = [rng.integers(0, 1 << 32, size=per_row).astype(np.uint64) for _ in range(2)]
+        for s in sig:
+            s[: per_row // 5] = rng.integers(0, 2000, size=per_row // 5)
+        owner = [rng.integers(0, len(names), size=per_row) for _ in range(2)]
+        jaccard.packed_rows(names, (sig[0], owner[0], sig[1], owner[1]), (np.zeros(per_row, np.int64),) * 2, 1, out)
+    return pa.Table.from_batches([jaccard.packed_batch(out)])
+
+
+def test_memory_of_a_bucket():
+    """At 6 GB a bucket names 800,000 classes under 2 million signatures; two tasks share what the heap leaves."""
+    table = wide_bucket(200_000, 20, 12_000)
+    assert traced(lambda: jaccard.candidates(table)) < 50 * 2 * 20 * 12_000
+
+
+def test_memory_of_a_flush():
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(20_000)]
+    lines = [" ".join(rng.choices(words, k=600)) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], names=["doc_id", "text"])
+
+    class Here:
+        def mapInArrow(self, run, schema):
+            return list(run([batch]))
+
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    assert traced(lambda: jaccard.emit(Here(), *none, 1000, 32)) < 100 * 600 * 600
+
+
+def test_steps_change_no_result(monkeypatch):
+    texts = [t for t in near_copies(random.Random(5)) if t and t.split()]
+    sets = jaccard.shingle_sets(texts, jaccard.WordIds())
+    none, table = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), wide_bucket(900, 9, 400)
+    whole = jaccard.signatures(sets, *none)
+    linked = [(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j and jaccard.linked(sets.one(i), sets.one(j))]
+    assert linked
+    pairs = {tuple(p.values()) for p in jaccard.candidates(table).to_pylist()}
+    for step in (1, 40, 10**6):
+        monkeypatch.setattr(jaccard, "STEP", step)
+        index_sig, index_set, probe_sig, probe_set, hard = jaccard.stepwise(sets, *none)
+        assert sorted(zip(index_sig.tolist(), index_set.tolist())) == sorted(zip(whole[0].tolist(), whole[1].tolist()))
+        assert len(probe_sig) and (hard == whole[4]).all()
+        holders = collections.defaultdict(set)  # which of equally cheap units are probed is free, but linked sets meet
+        for sig, i in zip(index_sig.tolist(), index_set.tolist()):
+            holders[sig].add(i)
+        meet = {(i, j) for sig, j in zip(probe_sig.tolist(), probe_set.tolist()) for i in holders[sig]}
+        each = [sets.one(i) for i in range(len(texts))]
+        for i, j in linked:
+            assert (i, j) in meet or hard[j] or len(each[j]) < len(each[i])
+        found = jaccard.candidates(table).to_pylist()
+        assert {tuple(p.values()) for p in found} == pairs and len(found) == len(pairs) > 100
+
+
+def test_settings_are_given_back(spark):
+    before = spark.conf.get(BATCH_BYTES)
+    jaccard.link_components(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
+    assert spark.conf.get(BATCH_BYTES) == before
+
+
 def test_may_link_misses_no_pair():
     rng = np.random.default_rng(4)
     for _ in range(60):
